@@ -29,8 +29,9 @@ QUERY = "op10_quality_rules"
 BUCKETS = 1 << 14
 #: Documents with a lower mean log-likelihood ratio go.
 THRESHOLD = -0.1
-#: Added to every bucket's count.
-SMOOTHING = 1.0
+#: Pseudo-counts: of the raw multinomial (one a bucket), and of the target, dealt out as the raw corpus is,
+#: so a bucket that the target can't be expected to hold yet says little.
+RAW_SMOOTHING, TARGET_SMOOTHING = 1.0, 8 * BUCKETS
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SYMBOL = np.zeros(textvec.SEPARATOR + 1, bool)
@@ -121,11 +122,12 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Per bucket log(target share / raw share); at most ``buckets`` rows come to the driver."""
-    raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
+    raw, target = np.full(buckets, RAW_SMOOTHING), np.zeros(buckets)
     for r in counts.collect():
         raw[r.bucket] += r.raw
         target[r.bucket] += r.target
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    return np.log((target + TARGET_SMOOTHING * raw) / (target.sum() + TARGET_SMOOTHING)) - np.log(raw)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
