@@ -9,20 +9,20 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from weftline.llm import bpe
+from weftline.llm import bpe, textvec
 
 PATH = public_tokenizers.path(bpe.TOKENIZER)
 LIBRARY = Tokenizer.from_file(PATH)
 TEXTS = [
     "", " ", "a", "Hello   World\n\tagain", "don't we'll they've I'm he'd it's 'tis 'S !'s", "aaaaaaaaaaaaaaaaaaaaaaaa", "abababababab",
     "Éçmentelle les übergrößenträger ñandú", "x" * 5000, "12 345 ٣٤ ½", "🙂🙃 日本語テキスト", "ΟΔΟΣ Σ İstanbul ẞ ſtraße", "a<|endoftext|>b <|startoftext|>",
-    "é café", "  wide　space\x85next\x1cfs", "mail@example.com,,, --- ***!!! ###", "\x00\x01control",
+    "é café", "  wide　space\x85next\x1cfs", "mail@example.com,,, --- ***!!! ###", "\x00\x01control", ":\U00013460 \u0558a",
 ]
 
 
 @pytest.fixture(scope="module")
 def enc():
-    return bpe.encoder(PATH)
+    return bpe.encoder(PATH, textvec.kind_runs())
 
 
 def same(enc, text):

@@ -35,8 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: A worker forgets its words when it holds so many.
 CACHE_WORDS = 400_000
 
-#: Fixed by the tokenizer file: how it splits normalised text into words.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of their own by the tokenizer file; otherwise it splits into letters, single numbers and other signs.
 CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
 _INF = 1 << 60
 
@@ -173,11 +172,12 @@ class Vocabulary:
             n -= length[n - 1]
         return out[::-1]
 
+    def encode_bytes(self, chars: str) -> list[int]:
+        """Ids of a word given in the byte alphabet."""
+        return self.encode_symbols([*chars[:-1], chars[-1] + self.mark]) if chars else []
+
     def encode_word(self, word: str) -> list[int]:
-        symbols = [self.alphabet[b] for b in word.encode("utf-8", "replace")]
-        if symbols:
-            symbols[-1] += self.mark
-        return self.encode_symbols(symbols)
+        return self.encode_bytes("".join([self.alphabet[b] for b in word.encode("utf-8", "replace")]))
 
     def decode(self, ids) -> str:
         """The tokens themselves with spaces between: the tokenizer file names no decoder."""
@@ -190,28 +190,17 @@ def normalise(text: str) -> str:
     return regex.sub(r"\s+", " ", text).replace("Σ", "σ").lower()
 
 
-def _classes() -> np.ndarray:
-    """0 white space, 1 letter, 2 number, 3 other, for every code point; 0 for the separator."""
-    out = np.full(textvec.SEPARATOR + 1, 3, np.uint8)
-    for cp in range(textvec.SEPARATOR):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind == "L":
-            out[cp] = 1
-        elif kind == "N":
-            out[cp] = 2
-    for cp in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]:
-        out[cp] = 0
-    out[textvec.SEPARATOR] = 0
-    return out
-
-
 class Encoder:
     """Encodes batches of texts with one vocabulary; keeps the words it has met, up to a bound."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, runs):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.vocab = Vocabulary(path)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.vocab.specials)) + ")") if self.vocab.specials else None
-        self.classes = _classes()
+        self.classes = textvec.char_kinds(runs)
         self._forget()
 
     def _forget(self) -> None:
@@ -220,14 +209,14 @@ class Encoder:
         self.decoded: list[bytes] = []
 
     def _slow(self, text: str) -> tuple[np.ndarray, bytes]:
-        """One text by regular expression: where contractions or special tokens occur."""
+        """One text split by the library: where contractions, special tokens or unfamiliar letters occur."""
         ids: list[int] = []
         for part in self.special.split(text) if self.special else [text]:
             if part in self.vocab.specials:
                 ids.append(self.vocab.specials[part])
             else:
-                for word in WORD.findall(normalise(part)):
-                    ids += self.vocab.encode_word(word)
+                for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part)):
+                    ids += self.vocab.encode_bytes(word)
         return np.array(ids, np.uint32), self.vocab.decode(ids).encode()
 
     def encode(self, texts) -> list[tuple[np.ndarray, bytes]]:
@@ -245,13 +234,16 @@ class Encoder:
             else:
                 plain.append(normal)
                 at.append(k)
-        for k, found in zip(at, self._fast(plain), strict=True):
+        points, starts = textvec.code_points(plain)
+        kind = self.classes[points]
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(kind & textvec.UNFAMILIAR), "right") - 1)
+        for k, found in zip(at, self._fast(points, starts, kind & textvec.KIND), strict=True):
             out[k] = found
+        for k in odd.tolist():
+            out[at[k]] = self._slow(texts[at[k]])
         return out
 
-    def _fast(self, texts: list[str]):
-        points, starts = textvec.code_points(texts)
-        kind = self.classes[points]
+    def _fast(self, points: np.ndarray, starts: np.ndarray, kind: np.ndarray):
         edge = np.ones(len(points) + 1, bool)
         edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         begins = np.flatnonzero(edge)
@@ -281,7 +273,7 @@ class Encoder:
         word_bounds = np.searchsorted(begins, starts)
         texts_of = [self.decoded[w] for w in place.tolist()]
         order = inverse.tolist()
-        for k in range(len(texts)):
+        for k in range(len(starts) - 1):
             a, b = word_bounds[k], word_bounds[k + 1]
             yield ids[bounds[a] : bounds[b]], b" ".join([texts_of[w] for w in order[a:b]])
 
@@ -289,18 +281,20 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+def encoder(path: str, runs) -> Encoder:
+    """The worker's encoder for a tokenizer file; ``runs``: see :func:`textvec.kind_runs`."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, runs)
     return _ENCODERS[path]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded text of every document."""
 
+    runs = textvec.kind_runs()
+
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, runs)
         for batch in batches:
             found = enc.encode(batch.column("text").to_pylist())
             ids = pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32()))
@@ -312,8 +306,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text, without sending either to the JVM."""
 
+    runs = textvec.kind_runs()
+
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, runs)
         for batch in batches:
             found = enc.encode(batch.column("text").to_pylist())
             columns = [

@@ -6,6 +6,9 @@ span's hash is a polynomial over its code points modulo 2**64, taken from prefix
 
 from __future__ import annotations
 
+from functools import cache
+from unicodedata import category
+
 import numpy as np
 
 SEPARATOR = 0x110000
@@ -74,3 +77,37 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[at] = starts
     out[at[1:]] -= starts[:-1] + lengths[:-1] - 1
     return np.cumsum(out)
+
+
+#: Bits of a character's kind.
+BLANK, LETTER, NUMBER, OTHER, KIND, UNFAMILIAR = 0, 1, 2, 3, 3, 8
+
+
+@cache
+def kind_runs() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of all code points as runs (last code points, kinds), read off the tokenizers library.
+
+    UNFAMILIAR marks letters and numbers that the library's Unicode tables have and Python's lack. Takes
+    seconds, so the driver makes the runs once and tasks get them.
+    """
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    kinds = np.full(SEPARATOR + 1, OTHER, np.uint8)
+    points = [c for c in range(SEPARATOR) if not 0xD800 <= c < 0xE000]
+    texts = ["\x00".join(map(chr, points[k : k + 20_000])) for k in range(0, len(points), 20_000)]
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        split = Split(Regex(pattern), "removed", invert=True)
+        kinds[[ord(c) for text in texts for c, _ in split.pre_tokenize_str(text)]] = kind
+    for c in np.flatnonzero((kinds == LETTER) | (kinds == NUMBER)).tolist():
+        if category(chr(c)) == "Cn":
+            kinds[c] |= UNFAMILIAR
+    kinds[SEPARATOR] = BLANK
+    last = np.concatenate((np.flatnonzero(np.diff(kinds)), [SEPARATOR]))
+    return last, kinds[last]
+
+
+def char_kinds(runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The kind of every code point, and of the separator."""
+    last, kinds = runs
+    return np.repeat(kinds, np.diff(np.concatenate(([-1], last))))
