@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("bpe", "toxicity", "quality_rules")
+_MODULES = ("sstable", "bpe", "toxicity", "quality_rules")
 
 
 def _modules():
