@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("sstable", "bpe", "toxicity", "quality_rules")
+_MODULES = ("warc", "sstable", "bpe", "toxicity", "quality_rules")
 
 
 def _modules():
