@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("warc", "sstable", "html_text", "bpe", "toxicity", "quality_rules")
+_MODULES = ("warc", "sstable", "topk", "html_text", "bpe", "toxicity", "quality_rules")
 
 
 def _modules():
