@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("warc", "secret_scan", "sstable", "topk", "html_text", "bpe", "toxicity", "quality_rules")
+_MODULES = ("warc", "secret_scan", "sstable", "topk", "html_text", "bpe", "toxicity", "mixing", "quality_rules")
 
 
 def _modules():
