@@ -2,6 +2,7 @@
 
 import math
 
+from tests.llm.oracle import rows_of_frame, rows_of_sql
 from weftline.llm import topk
 
 
@@ -33,3 +34,8 @@ def test_few_and_none(spark):
     assert run(spark, [(0, [1.0])]) == []
     rows = [(0, [1.0, -1.0]), (1, [0.5, 0.25]), (2, [0.5, 0.25])]
     assert run(spark, rows) == brute(rows, 5)
+
+
+def test_oracle(spark):
+    sf = "/root/testdata/sf0.001"
+    assert rows_of_frame(topk.query(spark, sf)) == rows_of_sql(topk.ORACLE_SQL, sf)
