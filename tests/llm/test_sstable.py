@@ -50,7 +50,7 @@ def test_table_lookup_and_order():
 
 @pytest.mark.parametrize("n", [0, 1, 60])
 def test_query_against_brute_force(spark, n):
-    rows = [(k * 3 - 20, TEXTS[k % len(TEXTS)], "z") for k in range(n)]
+    rows = [(k * 3 - 20, TEXTS[k % len(TEXTS)] if k % 7 else f"long {k} " * 999, "z") for k in range(n)]
     rows += [(None, "null id", "z"), (1, "repeated", "z"), (1, "repeated", "z")] if n > 1 else []
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
     folder = shared_dir(spark, "test")

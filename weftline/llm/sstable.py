@@ -233,7 +233,7 @@ class Table:
     """A shard's bytes, opened for lookup or for reading in order."""
 
     def __init__(self, data: bytes):
-        self.data = memoryview(data)
+        self.data = memoryview(data).cast("B")
         index_at, index_size, self.bloom_at, _, self.entries, self.tokens, magic = _FOOTER.unpack(self.data[-_FOOTER.size :])
         if magic != MAGIC:
             raise ValueError("not a table file")

@@ -178,7 +178,7 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, file_bytes:
 
 def parse(data) -> list[tuple[dict[str, str], bytes]]:
     """Headers and block of each gzip member of an archive."""
-    out, data = [], memoryview(data)
+    out, data = [], memoryview(data).cast("B")
     at = 0
     while at < len(data):
         inflate, parts = zlib.decompressobj(31), []
