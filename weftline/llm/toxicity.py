@@ -2,10 +2,10 @@
 
 Both classes have an interpolated Kneser-Ney model of characters given the ``ORDER - 1`` before. What a
 class has seen too rarely backs off to continuation counts that both classes share, so rare expressions
-weigh alike on both sides and cancel. Every character of a text then has a log-likelihood ratio; summed
-over a word and divided by its length it tells whether the word is likelier toxic. Three length-normalised
-numbers describe a text (the mean over all its characters, its most toxic word, and the mean of its three
-most toxic words), and a logistic function turns them into a score.
+weigh alike on both sides and cancel; ``SHARED_MASS`` pseudo-counts of the shared distribution in every
+context damp what few texts have shown. Every character of a text then has a log-likelihood ratio, and a word
+their sum. A text is described by its ratio a character, by what its words have above a bound, a word, and by
+its most toxic word and the mean of its three most toxic; a logistic function turns these into a score.
 
 Labelled rows are split by ``crc32(doc_id as text) % 5``: 0 is held out and never read, 1 to 3 give the
 counts, 4 fits the logistic function on at most ``CALIBRATION_ROWS`` rows (chosen by hash). Counts cover
@@ -35,8 +35,13 @@ QUERY = "op8_toxicity"
 ORDER, BITS, TABLE_BITS = 5, 12, 23
 #: At most so many labelled rows fit the logistic function.
 CALIBRATION_ROWS = 20_000
-#: Logistic weights before any label is seen (bias, mean, top word, top three), and how firmly they hold.
-PRIOR, PRIOR_STRENGTH = (-5.0, 1.0, 0.5, 2.0), 0.5
+#: Pseudo-counts of the shared distribution in each context of a class.
+SHARED_MASS = 30.0
+#: A word's ratio counts towards the excess between these bounds.
+WORD_LOW, WORD_HIGH = 1.5, 6.5
+#: Logistic weights before any label is seen (bias, mean, excess, top word, top three), and how firmly they hold.
+PRIOR, PRIOR_STRENGTH = (-5.0, 0.0, 1.0, 0.3, 0.5), 0.3
+FEATURES = 4
 _PAD = "\n" * (ORDER - 1)
 _LOW = (1 << BITS) - 1
 
@@ -125,7 +130,7 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
     def p(c: str, d: float):
         whole = F.col(f"{c}_all")
-        return F.when(whole > 0, (F.greatest(F.col(c) - d, F.lit(0.0)) + d * F.col(f"{c}_kinds") * F.col("p3")) / whole).otherwise(F.col("p3"))
+        return (F.greatest(F.col(c) - d, F.lit(0.0)) + (d * F.col(f"{c}_kinds") + SHARED_MASS) * F.col("p3")) / (whole + SHARED_MASS)
 
     return grams.join(context, "ctx").join(lower, "suf").select("key", (F.log(p("tox", d_tox)) - F.log(p("ord", d_ord))).alias("llr"), (F.col("tox") + F.col("ord")).alias("seen"))
 
@@ -146,27 +151,25 @@ def ratio_table(ratios: DataFrame) -> np.ndarray:
 
 
 def _features(texts, table: np.ndarray) -> np.ndarray:
-    """Per text: mean ratio of its characters, of its most toxic word, and of its three most toxic words."""
+    """Per text: ratio a character, excess a word (times 20), most toxic word, mean of the three most toxic."""
     keys, text, word = _grams(texts)
-    out = np.zeros((len(texts), 3))
+    n = len(texts)
+    out = np.zeros((n, FEATURES))
     if not len(keys):
         return out
     ratio = table[_slot(keys)].astype(float)
-    out[:, 0] = np.bincount(text, ratio, len(texts)) / np.maximum(1, np.bincount(text, minlength=len(texts)))
+    out[:, 0] = np.bincount(text, ratio, n) / np.maximum(1, np.bincount(text, minlength=n))
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    mean = np.add.reduceat(ratio, first) / np.maximum(4, np.diff(np.concatenate((first, [len(word)]))))
-    of = text[first]
-    order = np.lexsort((-mean, of))
-    mean, of = mean[order], of[order]
-    start = np.searchsorted(of, np.arange(len(texts)))
-    n = np.searchsorted(of, np.arange(len(texts)), "right") - start
+    total, of = np.add.reduceat(ratio, first), text[first]
+    out[:, 1] = 20 * np.bincount(of, np.clip(total - WORD_LOW, 0, WORD_HIGH - WORD_LOW), n) / np.maximum(1, np.bincount(of, minlength=n))
+    order = np.lexsort((-total, of))
+    total, of = total[order], of[order]
+    start, end = np.searchsorted(of, np.arange(n)), np.searchsorted(of, np.arange(n), "right")
     for k in range(3):
-        has = n > k
-        top = np.zeros(len(texts))
-        top[has] = mean[start[has] + k]
+        has = end - start > k
+        out[has, 3] += total[start[has] + k] / 3
         if k == 0:
-            out[:, 1] = top
-        out[:, 2] += top / 3
+            out[has, 2] = total[start[has]]
     return out
 
 
@@ -185,6 +188,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _scored(docs: DataFrame, extra: list[str], schema: str, table, finish) -> DataFrame:
+    """``extra`` columns and what ``finish`` makes of the features of text."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def score(batches):
@@ -192,7 +196,7 @@ def _scored(docs: DataFrame, extra: list[str], schema: str, table, finish) -> Da
             features = _features(batch.column("text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in extra] + finish(features), [f.partition(" ")[0].strip() for f in schema.split(", ")])
 
-    return docs.select("text", *extra).mapInArrow(score, schema)
+    return docs.select("text", *[c for c in extra if c != "text"]).mapInArrow(score, schema)
 
 
 class Model:
@@ -201,9 +205,10 @@ class Model:
     def __init__(self, table: np.ndarray, weights: np.ndarray):
         self.table, self.weights = table, weights
 
-    def score(self, docs: DataFrame, keep: list[tuple[str, str]]) -> DataFrame:
-        """``keep`` columns (name, type) of every row of ``docs``, with score."""
+    def score(self, docs: DataFrame, keep: list[tuple[str, str]], text: bool = False) -> DataFrame:
+        """``keep`` columns (name, type) of every row of ``docs``, with score, and with text if asked for."""
         w = self.weights
+        keep = [*keep, ("text", "string")] if text else keep
 
         def finish(x):
             return [pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))]
@@ -217,9 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = marks.withColumn("fold", fold(F.col("doc_id"))).where("fold > 0")
     marked = join_bounded(docs.select("doc_id", "text"), marks, "doc_id", "inner")
     table = ratio_table(log_ratios(gram_counts(marked.where("fold < 4"))))
-    chosen = marked.where("fold = 4").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    rows = _scored(chosen, ["toxic"], "toxic int, a double, b double, c double", table, lambda x: [pa.array(x[:, k]) for k in range(3)]).toArrow()
-    x = np.column_stack([rows.column(c).to_numpy() for c in "abc"]) if rows.num_rows else np.zeros((0, 3))
+    # described before they are chosen, so that what meets in one task is numbers, not texts
+    described = _scored(marked.where("fold = 4"), ["doc_id", "toxic"], "doc_id long, toxic int, a double, b double, c double, d double", table, lambda x: [pa.array(x[:, k]) for k in range(FEATURES)])
+    rows = described.orderBy(F.xxhash64("doc_id"), "doc_id", "a", "b", "c", "d").limit(CALIBRATION_ROWS).toArrow()
+    x = np.column_stack([rows.column(c).to_numpy() for c in "abcd"]) if rows.num_rows else np.zeros((0, FEATURES))
     return Model(table, _fit(x, rows.column("toxic").to_numpy().astype(float)))
 
 
