@@ -26,6 +26,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 10, 7
 #: A shard holds about so many characters of text at most.
 SHARD_CHARS = 64 << 20
 #: A worker forgets its pieces when it holds so many.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 MAGIC = b"WEFTSST1"
 _FOOTER = struct.Struct("<QQQQQQ8s")
 _FLIP = 1 << 63
@@ -58,7 +59,8 @@ class PieceEncoder:
 
     Byte-level pre-tokenization makes pieces that are encoded one by one, so a text's ids are its pieces'
     ids in order. Pieces are found on arrays of code points: runs of letters, numbers or other signs, with
-    one blank before; of white space before another piece all but the last; white space at the end.
+    one blank before; of white space before another piece all but the last; white space at the end. Known
+    pieces are kept as sorted hashes with places in one array of ids.
     """
 
     def __init__(self, path: str, runs):
@@ -70,17 +72,33 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+    def _library_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that are a blank and letters: joined, they are split into themselves again."""
+        joined = ["".join(pieces[k : k + 512]) for k in range(0, len(pieces), 512)]
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for e in self.tokenizer.encode_batch(joined, add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.bincount(np.array(e.word_ids, np.int64)))
+        counts = np.concatenate(counts)
+        if len(counts) != len(pieces) or (counts == 0).any():
+            raise ValueError("joined pieces were split otherwise")
+        return np.concatenate(ids), counts
 
     def encode(self, texts) -> list[np.ndarray]:
         texts = ["" if t is None else t for t in texts]
         whole = [k for k, t in enumerate(texts) if "'" in t and CONTRACTION.search(t) or any(s in t for s in self.specials)]
         out: list = [None] * len(texts)
-        for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
+        flat, counts = self._library([texts[k] for k in whole])
+        for k, ids in zip(whole, np.split(flat, np.cumsum(counts)[:-1]) if whole else [], strict=True):
             out[k] = ids
         rest = [k for k in range(len(texts)) if out[k] is None]
         for k, ids in zip(rest, self._by_piece([texts[k] for k in rest]), strict=True):
@@ -103,24 +121,43 @@ class PieceEncoder:
         real = ~separator[begins] if len(begins) else np.zeros(0, bool)
         return begins[real], ends[real]
 
+    def _learn(self, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        """Encode new pieces and put them among the known."""
+        sizes = ends - begins
+        text = points[textvec.ragged(begins, sizes)].tobytes().decode("utf-32-le", "surrogatepass")
+        bounds = np.concatenate(([0], np.cumsum(sizes))).tolist()
+        strings = [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        plain = (points[begins] == 32) & (sizes > 1) & (self.kinds[points[np.minimum(begins + 1, len(points) - 1)]] == textvec.LETTER)
+        for which, encode in ((np.flatnonzero(plain), self._library_words), (np.flatnonzero(~plain), self._library)):
+            flat, counts = encode([strings[k] for k in which.tolist()])
+            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(counts) - counts))
+            self.size = np.concatenate((self.size, counts))
+            self.keys = np.concatenate((self.keys, keys[which]))
+            self.flat = np.concatenate((self.flat, flat))
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.at, self.size = self.keys[order], self.at[order], self.size[order]
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys among the known, and which are there."""
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return place, self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
     def _by_piece(self, texts: list[str]):
         points, starts = textvec.code_points(texts)
         begins, ends = self._pieces(points)
         found, first, inverse = np.unique(textvec.span_hashes(points, begins, ends), return_index=True, return_inverse=True)
-        if len(self.place) > CACHE_PIECES:
-            self._forget()
-        keys = found.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.place]
-        strings = [points[begins[first[k]] : ends[first[k]]].tobytes().decode("utf-32-le", "surrogatepass") for k in new]
-        for k, ids in zip(new, self._library(strings), strict=True):
-            self.place[keys[k]] = len(self.pool)
-            self.pool.append(ids)
-        pool = [self.pool[self.place[key]] for key in keys]
-        sizes = np.fromiter(map(len, pool), np.int64, len(pool))
-        flat = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
-        offsets = np.cumsum(sizes) - sizes
-        ids = flat[textvec.ragged(offsets[inverse], sizes[inverse])]
-        bounds = np.concatenate(([0], np.cumsum(sizes[inverse])))[np.searchsorted(begins, starts)]
+        place, known = self._known(found)
+        if not known.all():
+            if len(self.keys) > CACHE_PIECES:
+                self._forget()
+                known[:] = False
+            new = first[~known]
+            self._learn(points, begins[new], ends[new], found[~known])
+            place, _ = self._known(found)
+        place = place[inverse]
+        sizes = self.size[place]
+        ids = self.flat[textvec.ragged(self.at[place], sizes)]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(begins, starts)]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield ids[a:b]
 
