@@ -121,7 +121,7 @@ class Catalog:
     @cached_property
     def connector(self) -> DataFrame:
         """sid, from_instance, from_field, to_instance, to_field: consecutive instances, wired by part."""
-        order = Window.partitionBy("sid").orderBy("l_linenumber")
+        order = Window.partitionBy("sid").orderBy("l_linenumber", "l_partkey", "l_suppkey")
         nxt = lambda c: F.lead(c).over(order)
         rows = self.lines.select("sid", F.concat(F.lit("i_"), "l_linenumber").alias("from_instance"), F.concat(F.lit("f"), F.col("l_partkey") % 5).alias("from_field"), nxt(F.concat(F.lit("i_"), "l_linenumber")).alias("to_instance"), nxt(F.concat(F.lit("f"), F.col("l_partkey") % 5)).alias("to_field"))
         return rows.where("to_instance is not null")

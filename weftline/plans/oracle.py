@@ -1,6 +1,5 @@
 """SQL of the catalog for the DuckDB oracle: common table expressions that oracle queries build on."""
 
-_ROLES = "('source', 'target', 'lookup')"
 CTES = """
 WITH RECURSIVE cat_session0 AS (SELECT concat('S', o_orderkey) AS sid, o_orderkey AS k, o_custkey, CAST(floor(o_orderkey / 25) AS BIGINT) % 6 AS layer FROM orders WHERE o_orderkey % 25 = 0),
 cat_b AS (SELECT CAST(floor(count(*) / 50) AS BIGINT) AS b FROM part),
@@ -45,7 +44,7 @@ pairs AS (SELECT a.sid AS a, b.sid AS b, count(*) AS shared FROM (SELECT DISTINC
 sizes AS (SELECT sid, count(DISTINCT tname) AS n FROM cat_access GROUP BY sid),
 jaccard AS (SELECT a, b, shared / (x.n + y.n - shared) AS sim FROM pairs JOIN sizes x ON x.sid = a JOIN sizes y ON y.sid = b),
 cat_instance AS (SELECT sid, concat('i_', l_linenumber) AS inst_name, ['Source Definition', 'Filter', 'Joiner', 'Expression', 'Aggregator', 'Router', 'Target Definition'][l_linenumber] AS transformation_type, CAST(l_linenumber AS BIGINT) AS pos FROM cat_line),
-cat_connector AS (SELECT * FROM (SELECT sid, concat('i_', l_linenumber) AS from_instance, concat('f', l_partkey % 5) AS from_field, lead(concat('i_', l_linenumber)) OVER w AS to_instance, lead(concat('f', l_partkey % 5)) OVER w AS to_field FROM cat_line WINDOW w AS (PARTITION BY sid ORDER BY l_linenumber)) WHERE to_instance IS NOT NULL),
+cat_connector AS (SELECT * FROM (SELECT sid, concat('i_', l_linenumber) AS from_instance, concat('f', l_partkey % 5) AS from_field, lead(concat('i_', l_linenumber)) OVER w AS to_instance, lead(concat('f', l_partkey % 5)) OVER w AS to_field FROM cat_line WINDOW w AS (PARTITION BY sid ORDER BY l_linenumber, l_partkey, l_suppkey)) WHERE to_instance IS NOT NULL),
 cat_expression AS (SELECT sid, concat('i_', l_linenumber) AS transform, concat('f', l_partkey % 5) AS field, CASE l_partkey % 8
     WHEN 0 THEN concat('IIF(ISNULL(', x, '), 0, ', x, ')') WHEN 1 THEN concat('NVL(', x, ', ''x'')') WHEN 2 THEN concat('DECODE(', x, ', 1, ''A'', ''B'')') WHEN 3 THEN concat('SUBSTR(', x, ', INSTR(', x, ', ''-''), 3)')
     WHEN 4 THEN concat('TO_CHAR(', x, ', ''YYYY-MM-DD'')') WHEN 5 THEN concat('SUM(', x, ') / COUNT(', x, ')') WHEN 6 THEN concat('$$P_', x, ' || ', x) ELSE x END AS expression_text

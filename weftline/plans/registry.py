@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.catalog import Catalog
-from weftline.plans import lineage
+from weftline.plans import code, lineage, scores
 from weftline.plans.oracle import oracle
 
-_FAMILIES = (lineage.QUERIES,)
+_FAMILIES = (lineage.QUERIES, code.QUERIES, scores.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
