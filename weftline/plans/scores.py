@@ -35,7 +35,7 @@ def _latency(events):
     rank, n = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")), F.count("*").over(Window.partitionBy("event_type"))
     ranked = events.select("event_type", "value", "event_id", rank.alias("r"), n.alias("n"))
     at = lambda p: F.max(F.when(F.col("r") == F.ceil(F.col("n") * p / 100), F.col("value")))
-    return ranked.groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("requests"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round(F.avg("value"), 4).alias("mean"))
+    return ranked.groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("requests"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round(F.avg("value"), 7).alias("mean"))
 
 
 _Z = ", ".join(f"round(abs(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1.0 END), 6) AS {c}" for c in _DIMS)
@@ -81,7 +81,7 @@ QUERIES = {
     "user_rollup": (lambda c: c.table("customer").join(c.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("uploads"), F.sum(F.col("o_orderkey") % 7).alias("sessions")), "c_custkey", "left").select("c_custkey", F.coalesce("uploads", F.lit(0)).cast("long").alias("uploads"), F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions")), "WITH o AS (SELECT o_custkey, count(*) AS u, CAST(sum(o_orderkey % 7) AS BIGINT) AS s FROM orders GROUP BY 1) SELECT c_custkey, coalesce(u, 0) AS uploads, coalesce(s, 0) AS sessions FROM customer LEFT JOIN o ON o_custkey = c_custkey"),
     "project_rollup": (lambda c: c.table("customer").join(c.table("orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_mktsegment").alias("project")).agg(F.count("o_orderkey").alias("upload_count")), "WITH j AS (SELECT c_mktsegment, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey) SELECT c_mktsegment AS project, count(o_orderkey) AS upload_count FROM j GROUP BY 1"),
     "uploads_list": (lambda c: c.table("orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).offset(10).limit(25).select("o_orderkey", "o_custkey"), "WITH o AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 10) SELECT o_orderkey, o_custkey FROM o"),
-    "route_latency": (lambda c: _latency(c.table("events")), "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type AS route, count(*) AS requests, max(value) FILTER (r = ceil(n * 50 / 100)) AS p50, max(value) FILTER (r = ceil(n * 95 / 100)) AS p95, max(value) FILTER (r = ceil(n * 99 / 100)) AS p99, round(avg(value), 4) AS mean FROM r GROUP BY 1"),
+    "route_latency": (lambda c: _latency(c.table("events")), "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type AS route, count(*) AS requests, max(value) FILTER (r = ceil(n * 50 / 100)) AS p50, max(value) FILTER (r = ceil(n * 95 / 100)) AS p95, max(value) FILTER (r = ceil(n * 99 / 100)) AS p99, round(avg(value), 7) AS mean FROM r GROUP BY 1"),
     "error_summary": (lambda c: c.table("events").groupBy("event_type").agg(F.count("*").alias("count")), "WITH e AS (SELECT event_type FROM events) SELECT event_type, count(*) AS count FROM e GROUP BY 1"),
     "activity_log": (lambda c: c.table("events").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("events")), "WITH e AS (SELECT user_id, event_id FROM events) SELECT user_id, max(event_id) AS last_event, count(*) AS events FROM e GROUP BY 1"),
     # exports
