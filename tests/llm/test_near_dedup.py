@@ -64,6 +64,31 @@ def test_against_all_pairs(spark):
         assert sorted(got, key=str) == brute(rows, size, percent)
 
 
+def test_family_of_edited_copies(spark):
+    """Copies with up to ten edits of one base: similar near the base, less so to each other."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(220):
+        own = list(base)
+        for _ in range(k % 11):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[f"x{rng.randrange(10**6)}"], [], [own[at], f"y{rng.randrange(40)}"]])
+        rows.append((k * 7 % 223, " ".join(own)))
+        if k % 9 == 0:  # a near copy of a far member
+            rows.append((1000 + k, " ".join(own[:-1] + ["tail"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size, percent in ((3, 85), (5, 80)):
+        got = [(str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in n.near_duplicates(docs, size, percent).collect()]
+        assert sorted(got, key=str) == brute(rows, size, percent)
+
+
+def test_deduplicated(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, "other", "z"), (3, "other", "z"), (3, "second text", "z"), (None, "no id", "q"), (None, "no id", "q"), (None, "other", "q"), (5, None, "e"), (6, "", "e")]
+    out = n.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id", "text", "lang"]).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "3", "5", "6", "None"]
+
+
 def test_empty(spark):
     assert n.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 3, 85).count() == 0
 

@@ -10,11 +10,13 @@
 4. Components. Links are joined to components by label spreading with pointer jumping.
 
 Groups of thousands of near copies share many band keys, so pairs are not made within a key. First each
-member is compared with its key's hub (the least class of the key), and of the hubs of a class the most
-similar one is verified: a number of pairs linear in the classes, which joins nearly all of a large group.
-Then the keys that still hold two components or more are finished: every member outside the key's largest
-component meets all members of other components. So each pair that shares a key is either verified or
-already in one component, and no link between different components is lost.
+member is compared with its key's hub (the most central class of the key), and of the hubs of a class the
+most similar one is verified: a number of pairs linear in the classes, which joins the core of a large group.
+Then the keys that still hold two components or more are finished. Their members get an anchor, which nearly
+all of a large group share. Members with one anchor are compared by their exact differences from it, with a
+prefix filter on these small sets that leaves few pairs; members with different anchors and different
+components meet in their keys. So each pair that shares a key is verified, shown to be impossible, or already
+in one component, and no link between different components is lost.
 
 Shingle sets are only made for classes that share a key, and pairs carry them only for survivors. Every
 table that is used twice is written to the shared folder.
@@ -94,7 +96,7 @@ def node_of(values: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, values) of every document; null node: no shingles."""
+    """(doc_id, n_shingles, mark, node, bands, values) of every document; null node: no shingles."""
 
     def run(batches):
         for batch in batches:
@@ -112,11 +114,12 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             values = [None if s is None else (s[:VALUES] ^ (s[:VALUES] >> 16)).astype(np.uint16).tobytes() for s in signatures]
             columns = [
                 batch.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()),
-                pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary()),
+                batch.column("mark"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "bands", "values"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "mark", "node", "bands", "values"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, values binary")
+    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    return marked.mapInArrow(run, "doc_id long, n_shingles long, mark long, node long, bands array<long>, values binary")
 
 
 @cache
@@ -193,18 +196,64 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, anchor, size, d, linked, tokens) of pairs (node, anchor).
+
+    ``d`` is the size of the symmetric difference, ``linked`` whether the two are similar enough. Tokens are
+    the first elements of the difference, those that the anchor lacks before those that it has, each by
+    value; at most one more than the largest difference that a linked pair of this size can have.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column("x_items"), batch.column("y_items"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                own, lost = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x], y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]
+                same = len(x) - len(own)
+                most = (100 - percent) * len(x) // percent + 1
+                rows.append((len(x), len(own) + len(lost), 100 * same >= percent * (len(x) + len(y) - same), np.concatenate((own, lost))[:most].astype(np.int64)))
+            columns = [batch.column("node"), batch.column("anchor"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "anchor", "size", "d", "linked", "tokens"])
+
+    with_anchor = pairs.join(sets.select(F.col("node").alias("anchor"), F.col("items").alias("y_items")), "anchor")
+    both = with_anchor.join(sets.select("node", F.col("items").alias("x_items")), "node")
+    return both.select("node", "anchor", "x_items", "y_items").mapInArrow(run, "node long, anchor long, size long, d long, linked boolean, tokens array<long>")
+
+
+def _same_anchor(found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes with one anchor and different labels that can be similar enough.
+
+    Two sets differ by ``d1 + d2`` less twice what their differences from the anchor share, so similar ones
+    share at least ``alpha`` of it, and so one of the first ``d - alpha + 1`` elements of either in any common
+    order. If ``d1 + d2`` alone is small enough, both are linked to the anchor and have one label.
+    """
+    tokens = found.select("node", "anchor", "label", "size", "d", F.posexplode("tokens").alias("pos", "token"))
+    right = tokens.select(*[F.col(c).alias(f"r_{c}") for c in tokens.columns])
+    together = F.col("d") + F.col("r_d")
+    apart = F.expr(f"({100 - percent} * (size + r_size)) div {100 + percent}")
+    alpha = F.ceil((together - apart) / 2)
+    met = (tokens.anchor == right.r_anchor) & (tokens.token == right.r_token) & (tokens.node < right.r_node) & (tokens.label != right.r_label)
+    met = met & (together > apart) & (F.col("pos") <= F.col("d") - alpha) & (F.col("r_pos") <= F.col("r_d") - alpha)
+    return tokens.join(right, met).select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, mark (hash of the text), node, n_shingles, component_id and kept of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(sketch(rows, size), "sketches")
     classes = sketches.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     own = sketches.where("doc_id is not null").select("doc_id", F.col("node").alias("s_node"), "bands", "values")
     reps = own.join(classes, (own.s_node == classes.node) & (own.doc_id == classes.rep)).dropDuplicates(["node"]).select("node", "rep", "bands", "values")
     keyed = reps.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
-    members = stored(keyed.join(shared, "key"), "band-members")  # (key, node, hub)
-    involved = members.select("node").distinct()
-    signatures = stored(reps.join(involved, "node").select("node", "rep", "values"), "signatures")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = stored(keyed.join(shared, "key"), "band-members")  # (key, node, n)
+    # the hub of a key is its most central class: the one whose keys hold most members
+    central = stored(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "band-nodes")
+    weighed = crowded.join(central, "node").select("key", "node", "weight")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h"))
+    members = stored(crowded.select("key", "node").join(hubs, "key").select("key", "node", F.col("h.node").alias("hub"), F.col("h.weight").alias("weight")), "hub-members")
+    signatures = stored(reps.join(central, "node").select("node", "rep", "values"), "signatures")
     texts = signatures.select(F.col("node").alias("want"), F.col("rep").alias("doc_id")).join(rows, "doc_id")
     sets = stored(_sets(texts, size).dropDuplicates(["node"]), "shingle-sets")
 
@@ -218,24 +267,54 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = stored(verified(best, sets, percent), "hub-links")
     labels = components(links)
 
-    placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    placed = members.join(labels, "node", "left").select("key", "node", "hub", "weight", F.coalesce("label", "node").alias("label"))
     in_key = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = in_key.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("m.label").alias("main"))
-    open_ = stored(placed.join(main, "key"), "open-keys")  # (key, node, label, main)
-    left = open_.where("label <> main").select("key", F.col("node").alias("a"), F.col("label").alias("a_label"))
-    right = open_.select(F.col("key").alias("r_key"), F.col("node").alias("b"), F.col("label").alias("b_label"), "main")
-    rest = left.join(right, (left.key == right.r_key) & (left.a_label != right.b_label) & ((right.b_label == right.main) | (left.a < right.b)))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(verified(plausible(with_values(rest), percent), sets, percent), "more-links")
+    open_ = stored(placed.join(main, "key"), "open-keys")
+    # a node's anchor: the most central hub of its keys, or of the nodes that it shares a key with
+    first = open_.groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("anchor"))
+    of_key = open_.select("key", "node").join(first, "node").groupBy("key").agg(F.max("anchor").alias("anchor"))
+    anchors = stored(open_.select("key", "node", "label").join(of_key, "key").groupBy("node", "label").agg(F.max("anchor").alias("m")).select("node", "label", F.col("m.hub").alias("anchor")), "anchors")
+    apart = stored(differences(anchors.where("node <> anchor").select("node", "anchor"), sets, percent), "differences")
+    near = _same_anchor(apart.join(anchors.select("node", "label"), "node"), percent)
+
+    sided = open_.select("key", "node", "label", "main").join(anchors.select("node", "anchor"), "node")
+    left = sided.where("label <> main").select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("anchor").alias("a_anchor"))
+    right = sided.select(F.col("key").alias("r_key"), F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("anchor").alias("b_anchor"), "main")
+    far = left.join(right, (left.key == right.r_key) & (left.a_label != right.b_label) & (left.a_anchor != right.b_anchor) & ((right.b_label == right.main) | (left.a < right.b)))
+    rest = near.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    more = verified(plausible(with_values(rest), percent), sets, percent).unionByName(apart.where("linked").select(F.col("node").alias("a"), F.col("anchor").alias("b")))
+    more = stored(more, "more-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
     ids = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     grouped = labels.join(ids, "label").select("node", "component_id")
     final = classes.join(grouped, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+    out = sketches.select("doc_id", "mark", "n_shingles", "node").join(final, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "mark", "node", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame, columns: list[str], size: int = 5, percent: int = 80) -> DataFrame:
+    """``columns`` of one document of each component.
+
+    Of several texts with the kept id, and of repeated rows, one stays; of rows without id whose class has
+    none, one of each class. Rows without words stay, once for each id and text.
+    """
+    kept = _grouped(docs, size, percent).where("kept")
+    one = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("node")).alias("class")).agg(F.min("mark").alias("k_mark"), F.count("*").alias("n"))
+    one = stored(one.select(F.col("doc_id").alias("k_id"), "k_mark", "n"), "kept-ids")
+    rows = docs.select(*columns).withColumn("k_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = rows.join(one.select("k_id", "k_mark"), rows.doc_id.cast("long").eqNullSafe(one.k_id) & (rows.k_text == one.k_mark), "left_semi")
+    if one.where("n > 1").limit(1).count():  # repeated rows, or texts, of one id
+        joined = joined.dropDuplicates(["doc_id", "k_text"])
+    return joined.select(*columns)
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
