@@ -15,8 +15,13 @@ def _modules():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.QUERY: m.query for m in _modules()}
+    import corpus_pipeline
+
+    return {m.QUERY: m.query for m in _modules()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.QUERY: m.ORACLE_SQL for m in _modules() if getattr(m, "ORACLE_SQL", None)}
+    import corpus_pipeline
+
+    found = {m.QUERY: m.ORACLE_SQL for m in _modules() if getattr(m, "ORACLE_SQL", None)}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
