@@ -32,8 +32,8 @@ from weftline.llm.common import read
 
 QUERY = "op6_bpe"
 TOKENIZER = "word_bpe_49k.json"
-#: A worker forgets its words when it holds so many.
-CACHE_WORDS = 400_000
+#: A worker forgets its words, and its pairs of tokens, when it holds so many.
+CACHE_WORDS, CACHE_PAIRS = 150_000, 200_000
 
 #: Words of their own by the tokenizer file; otherwise it splits into letters, single numbers and other signs.
 CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
@@ -71,7 +71,7 @@ class Vocabulary:
             whole = self.ids[a + b]
             self.rank[self.ids[a], self.ids[b]] = k
             self.made.setdefault(whole, (k, self.ids[a], self.ids[b]))
-        self.compatible_pairs: dict[tuple[int, int], bool] = {}
+        self.compatible_pairs: dict[int, bool] = {}
         self._automaton()
 
     def symbols(self, token: str) -> tuple[str, ...]:
@@ -124,7 +124,7 @@ class Vocabulary:
         parts, on the right the chain of left parts. A merge of two touching parts happens if its rank comes
         before both merges that take them up; of equal ranks the leftmost place goes first.
         """
-        known = self.compatible_pairs.get((left, right))
+        known = self.compatible_pairs.get(left << 32 | right)
         if known is not None:
             return known
         lefts, rights = [(left, _INF)], [(right, _INF)]
@@ -147,9 +147,9 @@ class Vocabulary:
                 a -= 1
             else:
                 b -= 1
-        if len(self.compatible_pairs) > 2_000_000:
+        if len(self.compatible_pairs) > CACHE_PAIRS:
             self.compatible_pairs.clear()
-        self.compatible_pairs[left, right] = apart
+        self.compatible_pairs[left << 32 | right] = apart
         return apart
 
     def encode_symbols(self, symbols: list[str]) -> list[int]:

@@ -42,6 +42,8 @@ WORD_LOW, WORD_HIGH = 1.5, 6.5
 #: Logistic weights before any label is seen (bias, mean, excess, top word, top three), and how firmly they hold.
 PRIOR, PRIOR_STRENGTH = (-5.0, 0.0, 1.0, 0.3, 0.5), 0.3
 FEATURES = 4
+#: Texts that are turned into arrays at once when counting.
+PART_TEXTS = 128
 _PAD = "\n" * (ORDER - 1)
 _LOW = (1 << BITS) - 1
 
@@ -79,29 +81,21 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(key, tox, ord): counts of every gram in toxic and in ordinary texts; ``docs`` has text, toxic."""
 
     def count(batches):
-        keys, tox, total = [], [], 0
-
-        def packed():
-            k, t = np.concatenate(keys), np.concatenate(tox)
-            found, at = np.unique(k, return_inverse=True)
-            return found, np.stack([np.bincount(at, w, len(found)).astype(np.int64) for w in (t[:, 0], t[:, 1])], 1)
-
+        keys, tox, both = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            found, text, _ = _grams(batch.column("text").to_pylist())
-            if not len(found):
-                continue
-            bad = np.array([x == 1 for x in batch.column("toxic").to_pylist()], bool)[text]
-            keys.append(found)
-            tox.append(np.stack([bad, ~bad], 1).astype(np.int64))
-            total += len(found)
-            if total > 4_000_000:
-                k, t = packed()
-                keys, tox, total = [k], [t], 0
-        if keys:
-            k, t = packed()
-            for at in range(0, len(k), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(t[part, 0]), pa.array(t[part, 1])], ["key", "tox", "ord"])
+            texts, bad = batch.column("text").to_pylist(), [x == 1 for x in batch.column("toxic").to_pylist()]
+            for at in range(0, len(texts), PART_TEXTS):
+                part = slice(at, at + PART_TEXTS)
+                found, text, _ = _grams(texts[part])
+                marked = np.array(bad[part], bool)[text] if len(found) else np.zeros(0, bool)
+                found, of = np.unique(found, return_inverse=True)
+                more = np.bincount(of, minlength=len(found)), np.bincount(of, marked, len(found)).astype(np.int64)
+                keys, of = np.unique(np.concatenate((keys, found)), return_inverse=True)
+                both = np.bincount(of, np.concatenate((both, more[0])), len(keys)).astype(np.int64)
+                tox = np.bincount(of, np.concatenate((tox, more[1])), len(keys)).astype(np.int64)
+        for at in range(0, len(keys), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(tox[part]), pa.array(both[part] - tox[part])], ["key", "tox", "ord"])
 
     parts = docs.select("text", "toxic").mapInArrow(count, "key long, tox long, ord long")
     return parts.groupBy("key").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
