@@ -7,6 +7,8 @@ from zlib import crc32
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from weftline.llm import toxicity as t
 
 
@@ -73,3 +75,23 @@ def test_cases(spark):
     assert empty.count() == 0
     flat = t.toxicity(frame, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(flat) == len(docs) and all(np.isfinite(r.score) for r in flat)
+
+
+def test_ratios_are_looked_up_by_whole_keys(spark):
+    """Four million ordinary grams take no slot from others; in a table of 2 ** 23 slots many would meet."""
+    n = 1 << 22
+    ratios = spark.range(n).select((F.col("id") * 3).alias("key"), (F.col("id") % 1000).cast("double").alias("llr"), F.lit(1).cast("long").alias("seen"))
+    table = t.ratio_table(ratios)
+    asked = np.arange(0, 3 * n, 7919)
+    assert (t._look_up(asked, *table, 0.0) == np.where(asked % 3 == 0, asked // 3 % 1000, 0)).all()
+
+
+def test_same_scores_by_broadcast_and_by_join(spark, monkeypatch):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    docs = [(k, f"what an utter moron {k}" if k % 2 else f"what a lovely day {k * 77}") for k in range(60)] + [(None, "moron"), (None, "moron"), (61, None), (62, ""), (3, "again"), (63, "Ä\n moron " * 3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda: sorted(map(repr, t.toxicity(frame, labels).collect()))
+    whole = rows()
+    monkeypatch.setattr(t, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(t, "CHUNK_CHARS", 500)
+    assert rows() == whole and len(whole) == len(docs)

@@ -11,8 +11,9 @@ Labelled rows are split by ``crc32(doc_id as text) % 5``: 0 is held out and neve
 counts, 4 fits the logistic function on at most ``CALIBRATION_ROWS`` rows (chosen by hash). Counts cover
 every labelled text of folds 1 to 3 whole. A gram is packed into one integer of ``ORDER`` characters of 12
 bits (code points from 4096 on are folded), so contexts and suffixes are bit shifts and the whole estimate
-is group-bys and joins on integers. For scoring the ratios are put into a table of ``2 ** TABLE_BITS``
-floats, the fixed bound of what is broadcast; grams that meet in a slot are averaged by their counts.
+is group-bys and joins on integers. Scoring looks ratios up by whole keys: in sorted arrays that are broadcast
+where a count shows at most ``BROADCAST_GRAMS`` of them, else by a shuffled join of the grams of each chunk of
+texts (about ``CHUNK_CHARS`` characters, dealt by a hash of the row) with the ratios. Both give the same scores.
 
 Defined cases. Null or empty text: the score of a text without words. Null ``doc_id``: scored, never
 learned from, not held out. A document with several label rows counts as toxic if any says 1. No toxic
@@ -22,6 +23,8 @@ windows for the arrays only; no character is skipped. Empty table: no rows.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +34,10 @@ from weftline.llm import textvec
 from weftline.llm.common import join_bounded, read, stored
 
 QUERY = "op8_toxicity"
-#: Characters in a gram, bits of a character, and bits of a slot's number in the broadcast table.
-ORDER, BITS, TABLE_BITS = 5, 12, 23
+#: Characters in a gram, and bits of a character.
+ORDER, BITS = 5, 12
+#: Ratios (12 bytes each) are broadcast up to so many; beyond, chunks of about so many characters meet theirs in a join.
+BROADCAST_GRAMS, CHUNK_CHARS = 1 << 22, 1 << 25
 #: At most so many labelled rows fit the logistic function.
 CALIBRATION_ROWS = 20_000
 #: Pseudo-counts of the shared distribution in each context of a class.
@@ -73,10 +78,6 @@ def _grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[inside], text[inside], np.cumsum(fresh)[inside]
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (textvec.mix(keys.astype(np.uint64)) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-
-
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(key, tox, ord): counts of every gram in toxic and in ordinary texts; ``docs`` has text, toxic."""
 
@@ -129,29 +130,34 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return grams.join(context, "ctx").join(lower, "suf").select("key", (F.log(p("tox", d_tox)) - F.log(p("ord", d_ord))).alias("llr"), (F.col("tox") + F.col("ord")).alias("seen"))
 
 
-def ratio_table(ratios: DataFrame) -> np.ndarray:
-    """The ratios in ``2 ** TABLE_BITS`` slots; so many rows at most come to the driver."""
+def ratio_table(ratios: DataFrame) -> DataFrame | tuple[np.ndarray, np.ndarray]:
+    """The ratios as sorted keys and values where a count shows that they may be broadcast, else as a table."""
+    ratios = stored(ratios.select("key", F.col("llr").cast("float").alias("llr")), "toxicity-ratios")
+    return _arrays(ratios.toArrow()) if ratios.count() <= BROADCAST_GRAMS else ratios
 
-    def slots(batches):
-        for batch in batches:
-            at = _slot(batch.column("key").to_numpy())
-            seen = batch.column("seen").to_numpy().astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(batch.column("llr").to_numpy() * seen), pa.array(seen)], ["slot", "weighted", "seen"])
 
-    found = ratios.mapInArrow(slots, "slot long, weighted double, seen double").groupBy("slot").agg((F.sum("weighted") / F.sum("seen")).cast("float").alias("llr")).toArrow()
-    table = np.zeros(1 << TABLE_BITS, np.float32)
-    table[found.column("slot").to_numpy()] = found.column("llr").to_numpy()
-    return table
+def _arrays(found) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = found.column("key").to_numpy(), found.column("llr").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
-def _features(texts, table: np.ndarray) -> np.ndarray:
+def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, missing) -> np.ndarray:
+    """The value of each key among the sorted ``known``, else ``missing``."""
+    if not len(known):
+        return np.full(len(keys), missing, float)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at].astype(float), missing)
+
+
+def _features(texts, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Per text: ratio a character, excess a word (times 20), most toxic word, mean of the three most toxic."""
     keys, text, word = _grams(texts)
     n = len(texts)
     out = np.zeros((n, FEATURES))
     if not len(keys):
         return out
-    ratio = table[_slot(keys)].astype(float)
+    ratio = _look_up(keys, *table, 0.0)
     out[:, 0] = np.bincount(text, ratio, n) / np.maximum(1, np.bincount(text, minlength=n))
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     total, of = np.add.reduceat(ratio, first), text[first]
@@ -183,20 +189,76 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _scored(docs: DataFrame, extra: list[str], schema: str, table, finish) -> DataFrame:
     """``extra`` columns and what ``finish`` makes of the features of text."""
+    docs = docs.select("text", *[c for c in extra if c != "text"])
+    names = [f.partition(" ")[0].strip() for f in schema.split(", ")]
+
+    def rows(batch, known):
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in extra] + finish(_features(batch.column("text").to_pylist(), known)), names)
+
+    if isinstance(table, DataFrame):
+        return _scored_by_chunk(docs, schema, table, rows)
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    return docs.mapInArrow(lambda batches: (rows(batch, shared.value) for batch in batches), schema)
 
-    def score(batches):
+
+def _chunk_grams(docs: DataFrame) -> DataFrame:
+    """(tx_chunk, key): the distinct grams of each chunk; ``docs`` has tx_chunk, text."""
+
+    def distinct(batches):
         for batch in batches:
-            features = _features(batch.column("text").to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in extra] + finish(features), [f.partition(" ")[0].strip() for f in schema.split(", ")])
+            texts, chunks = batch.column("text").to_pylist(), batch.column("tx_chunk").to_numpy()
+            for start in range(0, len(texts), PART_TEXTS):
+                keys, text, _ = _grams(texts[start : start + PART_TEXTS])
+                of = chunks[start:][text]
+                order = np.lexsort((keys, of))
+                keys, of = keys[order], of[order]
+                fresh = np.ones(len(keys), bool)
+                fresh[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+                keys, of = keys[fresh], of[fresh]
+                for at in range(0, len(keys), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(of[at : at + 50_000]), pa.array(keys[at : at + 50_000])], ["tx_chunk", "key"])
+
+    return docs.select("tx_chunk", "text").mapInArrow(distinct, "tx_chunk long, key long").distinct()
+
+
+def _found(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """(tx_chunk, key, llr) of the wanted grams that have a ratio."""
+    return wanted.join(table, "key").select("tx_chunk", "key", "llr")
+
+
+def _scored_by_chunk(docs: DataFrame, schema: str, table: DataFrame, rows) -> DataFrame:
+    """Each chunk's ratios go before its texts, in one stream a task; no more than one chunk's are held."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    chunked = docs.withColumn("tx_chunk", F.pmod(F.xxhash64(*docs.columns), F.lit(1 + chars // CHUNK_CHARS)))
+    ratios = _found(_chunk_grams(chunked), table).select("tx_chunk", F.col("key").alias("tx_key"), F.col("llr").alias("tx_llr"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+    texts = chunked.select("tx_chunk", F.lit(None).cast("long").alias("tx_key"), F.lit(None).cast("float").alias("tx_llr"), *docs.columns)
+    dealt = ratios.unionByName(texts).repartition("tx_chunk").sortWithinPartitions("tx_chunk", F.col("tx_key").isNull(), "tx_key")
 
-    return docs.select("text", *[c for c in extra if c != "text"]).mapInArrow(score, schema)
+    def score(batches):
+        chunk, keys, values, known = None, [], [], None
+        for batch in batches:
+            at, is_key = batch.column("tx_chunk").to_numpy(), batch.column("tx_key").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((at[1:] != at[:-1]) | (is_key[1:] != is_key[:-1])) + 1
+            for a, b in pairwise([0, *cuts.tolist(), len(at)]):
+                part = batch.slice(a, b - a)
+                if b > a and at[a] != chunk:
+                    chunk, keys, values, known = at[a], [], [], None
+                if b > a and is_key[a]:
+                    keys.append(part.column("tx_key").to_numpy())
+                    values.append(part.column("tx_llr").to_numpy())
+                elif b > a:
+                    if known is None:
+                        known = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.float32), *values])
+                        keys, values = [], []
+                    yield rows(part, known)
+
+    return dealt.mapInArrow(score, schema)
 
 
 class Model:
-    """A fitted model: the ratio table and the logistic weights."""
+    """A fitted model: the ratios and the logistic weights."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray):
+    def __init__(self, table, weights: np.ndarray):
         self.table, self.weights = table, weights
 
     def score(self, docs: DataFrame, keep: list[tuple[str, str]], text: bool = False) -> DataFrame:
