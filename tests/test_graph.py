@@ -38,3 +38,23 @@ def test_ranks_and_cores(spark, edges):
 def test_empty(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert graph.scc_groups(none).count() == 0 and graph.break_cycles(none, graph.scc_groups(none)).count() == 0
+
+
+def test_trace_without_limit(spark):
+    """A chain of 60: the cascades stopped at 50 hops."""
+    chain = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(60)] + [("n60", "n00")], "src string, dst string").repartition(1)
+    start = spark.createDataFrame([("n00",)], "node string")
+    assert {r.node: r.depth for r in graph.trace(chain, start, None).collect()} == {f"n{k:02}": k for k in range(61)}
+
+
+def test_cascades_have_no_limit(spark):
+    from types import SimpleNamespace
+
+    from weftline.plans import lineage
+
+    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(55)], "src string, dst string").repartition(1)
+    access = spark.createDataFrame([("n54", "target", "far")], "sid string, role string, tname string")
+    c = SimpleNamespace(edges=edges, access=access)
+    assert lineage.QUERIES["cascade_by_hop"][0](c).count() == 55
+    assert [r.tname for r in lineage.QUERIES["cascade_tables"][0](c).collect()] == ["far"]
+    assert lineage.QUERIES["shortest_path_lengths"][0](c).count() == 56

@@ -3,6 +3,8 @@ the driver, and what a round leaves is a table in the shared folder."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +116,11 @@ def session_tiers(sessions: DataFrame, edges: DataFrame) -> DataFrame:
             return tiers
 
 
-def trace(edges: DataFrame, start: DataFrame, max_hops: int) -> DataFrame:
-    """node, depth of all nodes within ``max_hops`` of the ``start`` nodes (column node, depth 0)."""
+def trace(edges: DataFrame, start: DataFrame, max_hops: int | None) -> DataFrame:
+    """node, depth of all nodes within ``max_hops`` (None: any number) of the ``start`` nodes (column node, depth 0)."""
     visited = stored(start.select("node", F.lit(0).cast("long").alias("depth")), "trace")
     frontier = visited
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         fresh = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct().join(visited, "node", "left_anti")
         frontier = stored(fresh.select("node", F.lit(hop).cast("long").alias("depth")), "trace")
         if not frontier.limit(1).count():

@@ -100,9 +100,9 @@ QUERIES = {
     "trace_backward": (lambda c: graph.trace(c.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start_of(c), 20), _trace_sql("SELECT node, depth FROM found", 20, "dst", "src")),
     "impact_analysis": (lambda c: graph.trace(c.edges, start_of(c), 10).join(c.tiered.select("sid", "name", "tier"), F.col("node") == F.col("sid")).select("sid", "name", "tier", "depth"), _trace_sql("SELECT sid, name, tier, depth FROM found JOIN cat_names ON sid = node JOIN tiers USING (sid)", 10)),
     "hop_neighbourhood": (lambda c: graph.trace(graph.both_ways(c.edges), start_of(c), 2).withColumnsRenamed({"node": "sid", "depth": "hop"}), oracle(_BOTH + _HOPS.format(start=START, at="src", to="dst", edges="both_ways", n=2) + "SELECT node AS sid, depth AS hop FROM found")),
-    "cascade_by_hop": (lambda c: graph.trace(c.edges, start_of(c), 50).where("depth > 0").groupBy(F.col("depth").alias("hop")).agg(F.count("*").alias("sessions")), _trace_sql("SELECT depth AS hop, count(*) AS sessions FROM found WHERE depth > 0 GROUP BY depth", 50)),
-    "cascade_tables": (lambda c: c.access.where("role = 'target'").join(graph.trace(c.edges, start_of(c), 50).select(F.col("node").alias("sid")), "sid", "left_semi").select("tname").distinct(), _trace_sql("SELECT DISTINCT tname FROM cat_access JOIN found ON node = sid WHERE role = 'target'", 50)),
-    "shortest_path_lengths": (lambda c: graph.trace(graph.both_ways(c.edges), start_of(c), 50).withColumnsRenamed({"node": "sid", "depth": "length"}), oracle(_BOTH + _HOPS.format(start=START, at="src", to="dst", edges="both_ways", n=50) + "SELECT node AS sid, depth AS length FROM found")),
+    "cascade_by_hop": (lambda c: graph.trace(c.edges, start_of(c), None).where("depth > 0").groupBy(F.col("depth").alias("hop")).agg(F.count("*").alias("sessions")), _trace_sql("SELECT depth AS hop, count(*) AS sessions FROM found WHERE depth > 0 GROUP BY depth", 50)),
+    "cascade_tables": (lambda c: c.access.where("role = 'target'").join(graph.trace(c.edges, start_of(c), None).select(F.col("node").alias("sid")), "sid", "left_semi").select("tname").distinct(), _trace_sql("SELECT DISTINCT tname FROM cat_access JOIN found ON node = sid WHERE role = 'target'", 50)),
+    "shortest_path_lengths": (lambda c: graph.trace(graph.both_ways(c.edges), start_of(c), None).withColumnsRenamed({"node": "sid", "depth": "length"}), oracle(_BOTH + _HOPS.format(start=START, at="src", to="dst", edges="both_ways", n=50) + "SELECT node AS sid, depth AS length FROM found")),
     "flow_walk": (lambda c: graph.trace(c.edges, start_of(c), 20).select(F.lit("down").alias("direction"), "node", "depth").unionByName(graph.trace(c.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start_of(c), 20).select(F.lit("up").alias("direction"), "node", "depth")).where("depth > 0").join(c.tiers, F.col("node") == F.col("sid")).select("direction", "sid", "tier", "depth"),
         oracle(_HOPS.format(start=START, at="src", to="dst", edges="edges", n=20) + _HOPS.format(start=START, at="dst", to="src", edges="edges", n=20).replace("hops", "ups").replace("found", "above") + """
         SELECT direction, sid, tier, depth FROM (SELECT 'down' AS direction, * FROM found UNION ALL SELECT 'up', * FROM above) JOIN tiers ON sid = node WHERE depth > 0""")),
