@@ -58,3 +58,25 @@ def test_cascades_have_no_limit(spark):
     assert lineage.QUERIES["cascade_by_hop"][0](c).count() == 55
     assert [r.tname for r in lineage.QUERIES["cascade_tables"][0](c).collect()] == ["far"]
     assert lineage.QUERIES["shortest_path_lengths"][0](c).count() == 56
+
+
+def test_label_propagation_until_stable(spark):
+    """A lone pair (its labels changed places for ever), two cliques with a thin bridge, a long path."""
+    cliques = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "pq" for i in range(4) for j in range(i + 1, 4)]
+    pairs = [("a", "b", 0.5), ("p0", "q0", 0.1), *cliques, *[(f"x{k:02}", f"x{k + 1:02}", 0.2 + k % 3 * 0.1) for k in range(12)]]
+    nodes = sorted({x for p in pairs for x in p[:2]} | {"z"})
+    got = {r.node: r.cluster for r in graph.label_propagation(spark.createDataFrame([(x,) for x in nodes], "node string").repartition(1), spark.createDataFrame(pairs, "a string, b string, sim double").repartition(1)).collect()}
+    assert sorted(got) == nodes and got["z"] == "z" and got["a"] == got["b"]
+    for x in nodes:  # by brute force: no label outweighs a node's own
+        weight = {}
+        for a, b, w in pairs:
+            if x in (a, b):
+                label = got[b if x == a else a]
+                weight[label] = weight.get(label, 0) + w
+        assert not weight or weight.get(got[x], 0) >= max(weight.values()) - 1e-8
+
+
+def test_share_bound(spark):
+    from weftline.operators import usage
+
+    assert [usage.max_share(spark.range(n)) for n in (0, 7, 998, 5000)] == [1, 4, 500, 500]

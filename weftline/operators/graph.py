@@ -148,6 +148,33 @@ def connected_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def label_propagation(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, cluster: until no label outweighs a node's own among its neighbours (the least by name among equals).
+
+    ``pairs`` has a, b, sim, each pair once. While the number of nodes that want another label reaches new lows, about
+    half of them (by hash, anew each round) move at once. In other rounds only those move that come before all
+    neighbours that want to: each such round adds weight between nodes of one label, so the loop ends.
+    """
+    both = stored(pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")), "pairs")
+    labels = stored(nodes.select("node", F.col("node").alias("cluster")), "labels")
+    least = None
+    for turn in count(1):
+        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "cluster").agg(F.round(F.sum("sim"), 9).alias("w"))
+        seen = votes.join(labels.withColumnRenamed("cluster", "old"), "node").groupBy("node").agg(
+            F.min(F.struct((-F.col("w")).alias("w"), "cluster")).alias("best"), F.coalesce(F.max(F.when(F.col("cluster") == F.col("old"), F.col("w"))), F.lit(0.0)).alias("own"))
+        wishes = stored(seen.where(-F.col("best.w") > F.col("own")).select("node", F.col("best.cluster").alias("fresh"), F.xxhash64("node", F.lit(turn)).alias("rank")), "wishes")
+        n = wishes.count()
+        if not n:
+            return labels
+        if least is None or n < least:
+            least, moves = n, wishes.where(F.col("rank") % 2 == 0)
+        else:
+            order = F.struct("rank", "node")
+            after = both.join(wishes.select(F.col("node").alias("a"), order.alias("ra")), "a").join(wishes.select(F.col("node").alias("b"), order.alias("rb")), "b").where("ra > rb")
+            moves = wishes.join(after.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        labels = stored(labels.join(moves, "node", "left").select("node", F.coalesce("fresh", "cluster").alias("cluster")), "labels")
+
+
 def page_rank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
     """node, rank: weighted by edge weight where there is one, dangling mass spread evenly."""
     weighted = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))

@@ -81,6 +81,11 @@ def shared_table_pairs(access: DataFrame, max_share: int | None = None) -> DataF
     return held.withColumnRenamed("sid", "a").join(other, "tname").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def max_share(sessions: DataFrame) -> int:
+    """The reference's bound of a table's sessions in the similarity graph; hotter tables link nothing there."""
+    return min(500, sessions.count() // 2 + 1)
+
+
 def similarity_pairs(access: DataFrame, metric: str = "jaccard", max_share: int | None = None) -> DataFrame:
     """a, b, sim: jaccard, cosine or overlap of table sets, for pairs that share a table."""
     sizes = access.select("sid", "tname").distinct().groupBy("sid").agg(F.count("*").alias("n"))

@@ -54,7 +54,7 @@ QUERIES = {
         e AS (SELECT r.system AS from_system, w.system AS to_system, count(DISTINCT r.sid) AS sessions FROM io r JOIN io w ON r.sid = w.sid AND r.role <> 'target' AND w.role = 'target' AND r.system <> w.system GROUP BY ALL)
         SELECT e.*, CASE WHEN EXISTS (SELECT 1 FROM e x WHERE x.from_system = e.to_system AND x.to_system = e.from_system) THEN 'both' ELSE 'one' END AS direction FROM e"""),
     "similarity_pairs": (lambda c: usage.similarity_pairs(c.access).select("a", "b", F.round("sim", 6).alias("sim")), "SELECT a, b, round(sim, 6) AS sim FROM jaccard"),
-    "similarity_graph": (lambda c: usage.similarity_pairs(c.access, max_share=500).where("sim >= 0.1").select("a", "b", F.round("sim", 6).alias("sim")), """, cold AS (SELECT * FROM (SELECT DISTINCT sid, tname FROM cat_access) WHERE tname IN (SELECT tname FROM cat_access GROUP BY tname HAVING count(DISTINCT sid) <= 500)),
+    "similarity_graph": (lambda c: usage.similarity_pairs(c.access, max_share=usage.max_share(c.base)).where("sim >= 0.1").select("a", "b", F.round("sim", 6).alias("sim")), """, cold AS (SELECT * FROM (SELECT DISTINCT sid, tname FROM cat_access) WHERE tname IN (SELECT tname FROM cat_access GROUP BY tname HAVING count(DISTINCT sid) <= 500)),
         p AS (SELECT x.sid AS a, y.sid AS b, count(*) AS shared FROM cold x JOIN cold y ON x.tname = y.tname AND x.sid < y.sid GROUP BY ALL)
         SELECT a, b, round(shared / (s.n + t.n - shared), 6) AS sim FROM p JOIN sizes s ON s.sid = a JOIN sizes t ON t.sid = b WHERE shared / (s.n + t.n - shared) >= 0.1"""),
     # joins and edges

@@ -40,18 +40,10 @@ _WAVES = """, grp AS (SELECT sid, coalesce(g.grp, sid) AS g FROM cat_session0 LE
 gd AS (SELECT DISTINCT g AS node, CAST(1 AS BIGINT) AS wave FROM grp UNION SELECT dst, wave + 1 FROM gd JOIN ge ON node = src) SELECT max(wave) AS wave, sid, g AS "group" FROM grp JOIN gd ON node = g GROUP BY sid, g"""
 
 
-def _label_propagation(c, rounds: int = 5):
-    """sid, cluster: the heaviest label among neighbours, the least by name among equals."""
-    from weftline.shared import stored
-
-    pairs = usage.similarity_pairs(c.access, max_share=500).where("sim >= 0.1")
-    both = stored(pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")), "pairs")
-    labels = c.base.select("sid", F.col("sid").alias("cluster"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid"), "cluster").agg(F.round(F.sum("sim"), 9).alias("w"))
-        best = votes.groupBy("sid").agg(F.min(F.struct((-F.col("w")).alias("w"), "cluster"))["cluster"].alias("fresh"))
-        labels = stored(labels.join(best, "sid", "left").select("sid", F.coalesce("fresh", "cluster").alias("cluster")), "labels")
-    return labels
+def _label_propagation(c):
+    """sid, cluster: the heaviest label among neighbours, until stable."""
+    pairs = usage.similarity_pairs(c.access, max_share=usage.max_share(c.base)).where("sim >= 0.1")
+    return graph.label_propagation(c.base.select(F.col("sid").alias("node")), pairs).withColumnRenamed("node", "sid")
 
 
 def _cross(c):
