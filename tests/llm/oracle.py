@@ -23,3 +23,11 @@ def rows_of_sql(sql, sf_dir):
 def rows_of_frame(df):
     names = sorted(df.columns)
     return names, sorted(repr([r[c] for c in names]) for r in df.collect())
+
+
+def thue_morse(n):
+    """Two different words of ``n`` (a power of two) letters that have equal polynomial hashes modulo 2**64."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

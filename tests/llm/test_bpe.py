@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tests.llm.oracle import thue_morse
 from weftline.llm import bpe, textvec
 
 PATH = public_tokenizers.path(bpe.TOKENIZER)
@@ -37,6 +38,20 @@ def test_texts(enc, text):
     same(enc, text)
 
 
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_words_that_polynomials_confuse(enc, n):
+    for text in thue_morse(n):
+        same(enc, text)
+    both = " ".join(thue_morse(n))
+    same(enc, both)
+
+
+def test_long_and_many_words(enc):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghij"))
+    same(enc, " ".join("".join(rng.choice(letters, int(k))) for k in rng.integers(1, 200, 400)))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(enc, text):

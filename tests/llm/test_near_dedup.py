@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tests.llm.oracle import rows_of_frame, rows_of_sql
+from tests.llm.oracle import rows_of_frame, rows_of_sql, thue_morse
 from weftline.llm import near_dedup as n
 
 
@@ -89,6 +89,12 @@ def test_deduplicated(spark):
     assert sorted(str(r.doc_id) for r in out) == ["1", "3", "5", "6", "None"]
 
 
+def test_words_that_polynomials_confuse(spark):
+    rows = [(k, " ".join([w] * 2 + ["a", "b"])) for n_ in (1024, 4096) for k, w in enumerate(thue_morse(n_), n_)]
+    out = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(i, i) for i, _ in rows]
+
+
 def test_empty(spark):
     assert n.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 3, 85).count() == 0
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from tests.llm.oracle import thue_morse
 from weftline.llm import quality_rules as q
 
 
@@ -23,7 +24,7 @@ def texts():
     rng = random.Random(1)
     vocabulary = ["alpha", "beta", "Gamma", "délta", "日本", "#x", "a|b", "<p>", "🙂"]
     made = [rng.choice([" ", "\n", "\t", "  "]).join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 120))) for _ in range(60)]
-    return [*made, "", None, " \n\t", "one", "same line\nsame line\n \n \nsame line", "a b c " * 40, "x " * 20000, "a\xa0b c\x1cd"]
+    return [*made, "", None, " \n\t", "one", "same line\nsame line\n \n \nsame line", "a b c " * 40, "x " * 20000, "a\xa0b c\x1cd", "\n".join(thue_morse(8192)), " b c ".join(thue_morse(1024)) + " b c"]
 
 
 def test_rules_against_plain_reading(spark):

@@ -1,7 +1,8 @@
 """Texts as NumPy arrays of code points: words, pieces and their 64-bit hashes, without per-word Python.
 
 A batch of texts becomes one array with a separator after each text, so runs never cross texts. A
-span's hash is a polynomial over its code points modulo 2**64, taken from prefix sums, and then mixed.
+span's hash is the sum of one mixed 64-bit value for each of its code points and their places in the span,
+mixed again. A polynomial would not do: modulo 2**64 those of some words (Thue-Morse) are equal for any base.
 """
 
 from __future__ import annotations
@@ -12,9 +13,6 @@ from unicodedata import category
 import numpy as np
 
 SEPARATOR = 0x110000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def code_points(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -38,20 +36,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        full = np.full(max(n, 1 << 20), _BASE if kind == "up" else _INVERSE, np.uint64)
-        full[0] = 1
-        _powers[kind] = np.cumprod(full)
-    return _powers[kind][:n]
-
-
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span ``points[start:end]``."""
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _power("up", len(points)), out=sums[1:])
-    found = (sums[ends] - sums[starts]) * _power("down", len(points) + 1)[starts]
-    return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of each span ``points[start:end]``; spans are in order and don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # some spans at a time: the arrays of places are as long as their points
+        after = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 18), "right")))
+        a, b = starts[first:after], ends[first:after]
+        lo, hi = int(a[0]), int(b[-1])
+        place = np.arange(lo, hi, dtype=np.uint64)
+        place -= np.repeat(a, np.diff(np.append(a, hi))).astype(np.uint64)
+        place *= np.uint64(0x9E3779B97F4A7C15)
+        place += points[lo:hi]
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(mix(place), out=sums[1:])
+        out[first:after] = sums[b - lo] - sums[a - lo] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        first = after
+    return mix(out)
 
 
 _SPACE = np.zeros(SEPARATOR + 1, bool)
@@ -111,3 +112,47 @@ def char_kinds(runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The kind of every code point, and of the separator."""
     last, kinds = runs
     return np.repeat(kinds, np.diff(np.concatenate(([-1], last))))
+
+
+class IntTable:
+    """A hash table of non-negative integers in arrays; keys are looked up and put in many at a time."""
+
+    def __init__(self, bits: int):
+        self.size, self.shift = 0, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; -1 where it is absent."""
+        slot, last = self._slots(keys), len(self.keys) - 1
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], -1)
+        live = np.flatnonzero((held != keys) & (held >= 0))
+        while len(live):
+            slot[live] = (slot[live] + 1) & last
+            held = self.keys[slot[live]]
+            hit = held == keys[live]
+            out[live[hit]] = self.values[slot[live[hit]]]
+            live = live[~hit & (held >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are absent; more than half the slots are never filled."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            held = np.flatnonzero(self.keys >= 0)
+            keys, values = np.concatenate((self.keys[held], keys)), np.concatenate((self.values[held], values))
+            bits = 65 - int(self.shift)
+            while 2 * len(keys) > 1 << bits:
+                bits += 1
+            self.__init__(bits)
+        self.size += len(keys)
+        slot, last = self._slots(keys), len(self.keys) - 1
+        while len(keys):
+            _, one = np.unique(slot, return_index=True)
+            one = one[self.keys[slot[one]] < 0]
+            self.keys[slot[one]], self.values[slot[one]] = keys[one], values[one]
+            rest = np.ones(len(keys), bool)
+            rest[one] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & last
