@@ -8,8 +8,9 @@ no merge across their border would have come before the merges that made the two
 the prefix; following these back from the end of the word gives the ids, and they are the ones that merging
 in rank order gives.
 
-Texts are split into words as arrays of code points (see :mod:`weftline.llm.textvec`); each distinct word
-is encoded once while it stays in a worker's bounded cache, and a text's ids are gathered from the cache.
+Texts are split into words as arrays of code points (see :mod:`weftline.llm.textvec`). The distinct words of a
+batch are encoded side by side, one symbol of all of them a step; a text's ids are gathered from its words'.
+A worker keeps the vocabulary and a bounded table of pairs that were tested, and nothing else between batches.
 
 Defined cases. Null or empty text: no ids, empty decoded text. Null ``doc_id`` and repeated rows: each row
 gets its own result. Strings of special tokens in a text become their ids, as in the library. Other columns
@@ -32,8 +33,10 @@ from weftline.llm.common import read
 
 QUERY = "op6_bpe"
 TOKENIZER = "word_bpe_49k.json"
-#: A worker forgets its words, and its pairs of tokens, when it holds so many.
-CACHE_WORDS, CACHE_PAIRS = 150_000, 200_000
+#: A worker forgets its tested pairs of tokens when it holds so many (24 bytes each, at most 48 while the table grows).
+CACHE_PAIRS = 1_000_000
+#: Longer words are encoded one by one: few are that long, and steps are shared by all words of a batch.
+LONG_WORD = 64
 
 #: Words of their own by the tokenizer file; otherwise it splits into letters, single numbers and other signs.
 CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
@@ -49,73 +52,77 @@ def byte_alphabet() -> list[str]:
 
 
 class Vocabulary:
-    """Tokens, merges and the suffix automaton of one tokenizer file.
+    """Tokens, merges and the suffix automaton of one tokenizer file, as flat arrays.
 
-    Symbols are strings: one character a byte, and the last symbol of a word carries the end-of-word mark.
+    A symbol is a byte, or 256 and more for a byte that ends its word (it carries the end-of-word mark).
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.mark = model.get("end_of_word_suffix") or ""
-        self.ids: dict[str, int] = dict(model["vocab"])
+        mark = model.get("end_of_word_suffix") or ""
+        ids: dict[str, int] = model["vocab"]
+        self.last_symbol = 256 if mark else 0
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in (self.ids | self.specials).items()}
-        self.alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank: dict[tuple[int, int], int] = {}
-        #: token -> (rank of the merge that makes it, its left part, its right part)
+        self.rank: dict[int, int] = {}
+        #: of tokens that merges make: rank of the merge, its left part, its right part
         self.made: dict[int, tuple[int, int, int]] = {}
         for k, (a, b) in enumerate(merges):
-            whole = self.ids[a + b]
-            self.rank[self.ids[a], self.ids[b]] = k
-            self.made.setdefault(whole, (k, self.ids[a], self.ids[b]))
-        self.compatible_pairs: dict[int, bool] = {}
-        self._automaton()
-
-    def symbols(self, token: str) -> tuple[str, ...]:
-        """A token as symbols; the end-of-word mark belongs to the last character."""
-        if self.mark and token.endswith(self.mark) and len(token) > len(self.mark):
-            body = token[: -len(self.mark)]
-            return (*body[:-1], body[-1] + self.mark)
-        return tuple(token)
-
-    def _automaton(self) -> None:
+            self.rank[ids[a] << 20 | ids[b]] = k
+            self.made.setdefault(ids[a + b], (k, ids[a], ids[b]))
+        self._automaton([(self._symbols(t, mark), i) for t, i in ids.items()])
+        names = [b""] * (1 + max(*ids.values(), *self.specials.values(), 0))
+        for token, i in (ids | self.specials).items():
+            names[i] = b" " + token.encode()
+        self.name_size = np.fromiter(map(len, names), np.int64, len(names))
+        self.name_at = np.cumsum(self.name_size) - self.name_size
+        self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
+        self._forget_pairs()
+
+    def _symbols(self, token: str, mark: str) -> list[int]:
+        """A token as symbols; empty for one that is not spelled in the byte alphabet."""
+        ends = bool(mark) and token.endswith(mark) and len(token) > len(mark)
+        body = token[: -len(mark)] if ends else token
+        found = [self.byte_of.get(c, -1) for c in body]
+        if -1 in found or not found:
+            return []
+        return [*found[:-1], found[-1] + 256] if ends else found
+
+    def _automaton(self, tokens: list[tuple[list[int], int]]) -> None:
         """Trie over the symbols of the tokens that merges can make, with suffix links.
 
-        ``ends[node]``: (token, its number of symbols), longest first, of all tokens that are suffixes of
-        what the node spells.
+        ``token[node]`` is the token that the node spells (-1: none), ``depth`` its symbols, and ``shorter``
+        the node of the longest proper suffix that is a token (0: none).
         """
-        self.step: list[dict[str, int]] = [{}]
-        token_at: dict[int, tuple[int, int]] = {}
-        for token, i in self.ids.items():
-            symbols, node = self.symbols(token), 0
-            if len(symbols) > 1 and i not in self.made:
+        step: dict[int, int] = {}
+        depth, token_at, parents = [0], [-1], [(0, 0)]
+        for symbols, i in tokens:
+            if not symbols or len(symbols) > 1 and i not in self.made:
                 continue
+            node = 0
             for s in symbols:
-                if s not in self.step[node]:
-                    self.step[node][s] = len(self.step)
-                    self.step.append({})
-                node = self.step[node][s]
-            token_at[node] = (i, len(symbols))
-        self.suffix = [0] * len(self.step)
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)
-        level = list(self.step[0].values())
-        for node in level:
-            self.ends[node] = (token_at[node],) if node in token_at else ()
-        while level:
-            below = []
-            for node in level:
-                for s, child in self.step[node].items():
-                    back = self.suffix[node]
-                    while back and s not in self.step[back]:
-                        back = self.suffix[back]
-                    self.suffix[child] = self.step[back].get(s, 0) if self.step[back].get(s, 0) != child else 0
-                    own = (token_at[child],) if child in token_at else ()
-                    self.ends[child] = own + self.ends[self.suffix[child]]
-                    below.append(child)
-            level = below
+                child = step.get(node << 9 | s)
+                if child is None:
+                    child = step[node << 9 | s] = len(depth)
+                    depth.append(depth[node] + 1)
+                    token_at.append(-1)
+                    parents.append((node, s))
+                node = child
+            token_at[node] = i
+        suffix, shorter = [0] * len(depth), [0] * len(depth)
+        for node in sorted(range(1, len(depth)), key=depth.__getitem__):
+            parent, s = parents[node]
+            back = suffix[parent]
+            while back and back << 9 | s not in step:
+                back = suffix[back]
+            suffix[node] = step.get(back << 9 | s, 0) if parent else 0
+            shorter[node] = suffix[node] if token_at[suffix[node]] >= 0 else shorter[suffix[node]]
+        self.step = textvec.IntTable(20)
+        self.step.put(np.fromiter(step, np.int64, len(step)), np.fromiter(step.values(), np.int32, len(step)))
+        self.suffix, self.shorter, self.depth, self.token = (np.array(x, np.int64) for x in (suffix, shorter, depth, token_at))
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their joined characters are merged in rank order.
@@ -124,9 +131,6 @@ class Vocabulary:
         parts, on the right the chain of left parts. A merge of two touching parts happens if its rank comes
         before both merges that take them up; of equal ranks the leftmost place goes first.
         """
-        known = self.compatible_pairs.get(left << 32 | right)
-        if known is not None:
-            return known
         lefts, rights = [(left, _INF)], [(right, _INF)]
         while lefts[-1][0] in self.made:
             k, _, part = self.made[lefts[-1][0]]
@@ -134,54 +138,128 @@ class Vocabulary:
         while rights[-1][0] in self.made:
             k, part, _ = self.made[rights[-1][0]]
             rights.append((part, k))
-        a, b, apart = len(lefts) - 1, len(rights) - 1, True
+        a, b = len(lefts) - 1, len(rights) - 1
         while True:
             (x, x_until), (y, y_until) = lefts[a], rights[b]
-            across = self.rank.get((x, y), _INF)
+            across = self.rank.get(x << 20 | y, _INF)
             if across < x_until and across <= y_until and across < _INF:
-                apart = False
-                break
+                return False
             if x_until == _INF and y_until == _INF:
-                break
+                return True
             if x_until <= y_until:
                 a -= 1
             else:
                 b -= 1
-        if len(self.compatible_pairs) > CACHE_PAIRS:
-            self.compatible_pairs.clear()
-        self.compatible_pairs[left << 32 | right] = apart
-        return apart
 
-    def encode_symbols(self, symbols: list[str]) -> list[int]:
-        """Ids of one word."""
+    def _forget_pairs(self) -> None:
+        self.pairs = textvec.IntTable(20)
+
+    def all_compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`compatible` of many pairs; each new pair is tested once while the table holds it."""
+        keys = left << 20 | right
+        apart = self.pairs.get(keys)
+        unknown = np.flatnonzero(apart < 0)
+        if len(unknown):
+            new, inverse = np.unique(keys[unknown], return_inverse=True)
+            if self.pairs.size > CACHE_PAIRS:
+                self._forget_pairs()
+            found = np.fromiter((self.compatible(k >> 20, k & 0xFFFFF) for k in new.tolist()), np.int32, len(new))
+            if len(new) < CACHE_PAIRS:
+                self.pairs.put(new, found)
+            apart[unknown] = found[inverse]
+        return apart > 0
+
+    def _next(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The automaton's state after one more symbol, of many words."""
+        out, live = np.zeros_like(node), np.arange(len(node))
+        while len(live):
+            to = self.step.get(node << 9 | symbol)
+            known = to >= 0
+            out[live[known]] = to[known]
+            more = ~known & (node > 0)
+            live, node, symbol = live[more], self.suffix[node[more]], symbol[more]
+        return out
+
+    def encode_words(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (their symbols one after the other), and how many each has; words are not empty."""
+        begin = np.cumsum(sizes) - sizes
+        last, length, count = (np.zeros(len(symbols), np.int64) for _ in range(3))
+        order = np.argsort(-sizes, kind="stable")
+        by_size, starts = sizes[order], begin[order]
+        node = np.zeros(len(sizes), np.int64)
+        for n in range(int(by_size[0]) if len(sizes) else 0):
+            live = int(np.searchsorted(-by_size, -n, "left"))  # words with more than n symbols
+            here = starts[:live]
+            node = self._next(node[:live], symbols[here + n])
+            end = np.where(self.token[node] >= 0, node, self.shorter[node])
+            open_ = np.arange(live)
+            while len(open_):
+                if not end.all():
+                    raise ValueError("no token ends at a symbol: the vocabulary lacks it")
+                token, size, at = self.token[end], self.depth[end], here[open_] + n
+                fits = size == n + 1
+                rest = np.flatnonzero(~fits)
+                fits[rest] = self.all_compatible(last[at[rest] - size[rest]], token[rest])
+                done = at[fits]
+                last[done], length[done] = token[fits], size[fits]
+                count[done] = 1 + np.where(size[fits] > n, 0, count[np.maximum(done - size[fits], 0)])
+                open_, end = open_[~fits], self.shorter[end[~fits]]
+        totals = count[begin + sizes - 1] if len(sizes) else count
+        out, left = np.zeros(int(totals.sum()), np.uint32), sizes.copy()
+        put, live = np.cumsum(totals) - 1, np.arange(len(sizes))
+        while len(live):
+            at = begin[live] + left[live] - 1
+            out[put[live]] = last[at]
+            put[live] -= 1
+            left[live] -= length[at]
+            live = live[left[live] > 0]
+        return out, totals
+
+    def encode_long(self, symbols: list[int]) -> list[int]:
+        """Ids of one word, symbol by symbol."""
         last, length, node = [], [], 0
         for n, s in enumerate(symbols, 1):
-            while node and s not in self.step[node]:
-                node = self.suffix[node]
-            node = self.step[node].get(s, 0)
-            for token, size in self.ends[node]:
-                if size == n or self.compatible(last[n - size - 1], token):
+            node = int(self._next(np.array([node]), np.array([s]))[0])
+            end = node if self.token[node] >= 0 else int(self.shorter[node])
+            while end:
+                token, size = int(self.token[end]), int(self.depth[end])
+                if size == n or self.all_compatible(np.array([last[n - size - 1]]), np.array([token]))[0]:
                     last.append(token)
                     length.append(size)
                     break
+                end = int(self.shorter[end])
             else:
-                raise ValueError(f"no token ends at symbol {n} of {symbols!r}")
+                raise ValueError("no token ends at a symbol: the vocabulary lacks it")
         out, n = [], len(symbols)
         while n:
             out.append(last[n - 1])
             n -= length[n - 1]
         return out[::-1]
 
-    def encode_bytes(self, chars: str) -> list[int]:
-        """Ids of a word given in the byte alphabet."""
-        return self.encode_symbols([*chars[:-1], chars[-1] + self.mark]) if chars else []
-
-    def encode_word(self, word: str) -> list[int]:
-        return self.encode_bytes("".join([self.alphabet[b] for b in word.encode("utf-8", "replace")]))
-
-    def decode(self, ids) -> str:
-        """The tokens themselves with spaces between: the tokenizer file names no decoder."""
-        return " ".join(self.names[i] for i in ids)
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given as bytes, in one array, and how many each has; an empty word has none."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
+        full = sizes > 0
+        symbols[(begin + sizes - 1)[full]] += self.last_symbol
+        short = full & (sizes <= LONG_WORD)
+        ids, some = self.encode_words(symbols[textvec.ragged(begin[short], sizes[short])], sizes[short])
+        counts = np.zeros(len(words), np.int64)
+        counts[short] = some
+        long = {k: self.encode_long(symbols[begin[k] : begin[k] + sizes[k]].tolist()) for k in np.flatnonzero(full & ~short).tolist()}
+        for k, found in long.items():
+            counts[k] = len(found)
+        at = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.uint32)
+        out[textvec.ragged(at[short], some)] = ids
+        for k, found in long.items():
+            out[at[k] : at[k] + len(found)] = found
+        return out, counts
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens, each with a space before it: the tokenizer file names no decoder."""
+        return self.name_bytes[textvec.ragged(self.name_at[ids], self.name_size[ids])]
 
 
 def normalise(text: str) -> str:
@@ -191,7 +269,7 @@ def normalise(text: str) -> str:
 
 
 class Encoder:
-    """Encodes batches of texts with one vocabulary; keeps the words it has met, up to a bound."""
+    """Encodes batches of texts with one vocabulary."""
 
     def __init__(self, path: str, runs):
         from tokenizers import Tokenizer
@@ -201,23 +279,18 @@ class Encoder:
         self.vocab = Vocabulary(path)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.vocab.specials)) + ")") if self.vocab.specials else None
         self.classes = textvec.char_kinds(runs)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.words_ids: list[np.ndarray] = []
-        self.decoded: list[bytes] = []
 
     def _slow(self, text: str) -> tuple[np.ndarray, bytes]:
         """One text split by the library: where contractions, special tokens or unfamiliar letters occur."""
-        ids: list[int] = []
+        byte_of, found = self.vocab.byte_of, [np.zeros(0, np.uint32)]
         for part in self.special.split(text) if self.special else [text]:
             if part in self.vocab.specials:
-                ids.append(self.vocab.specials[part])
+                found.append(np.array([self.vocab.specials[part]], np.uint32))
             else:
-                for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                    ids += self.vocab.encode_bytes(word)
-        return np.array(ids, np.uint32), self.vocab.decode(ids).encode()
+                words = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))
+                found.append(self.vocab.encode([bytes([byte_of[c] for c in word]) for word, _ in words])[0])
+        ids = np.concatenate(found)
+        return ids, self.vocab.decode(ids)[1:].tobytes()
 
     def encode(self, texts) -> list[tuple[np.ndarray, bytes]]:
         """(ids, decoded UTF-8) of each text."""
@@ -251,31 +324,28 @@ class Encoder:
         full = kind[begins] > 0 if len(begins) else np.zeros(0, bool)
         begins, ends = begins[full], ends[full]
         keys = textvec.span_hashes(points, begins, ends)
-        found, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.place) > CACHE_WORDS:
-            self._forget()
-        place = np.empty(len(found), np.int64)
-        for k, key in enumerate(found.tolist()):
-            where = self.place.get(key)
-            if where is None:
-                where = self.place[key] = len(self.words_ids)
-                word = points[begins[first[k]] : ends[first[k]]].tobytes().decode("utf-32-le", "surrogatepass")
-                ids = self.vocab.encode_word(word)
-                self.words_ids.append(np.array(ids, np.uint32))
-                self.decoded.append(self.vocab.decode(ids).encode())
-            place[k] = where
-        pool = [self.words_ids[w] for w in place.tolist()]
-        sizes = np.fromiter(map(len, pool), np.int64, len(pool))
-        flat = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
-        offsets = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
-        ids = flat[textvec.ragged(offsets[inverse], sizes[inverse])] if len(inverse) else flat
-        bounds = np.concatenate(([0], np.cumsum(sizes[inverse]))) if len(inverse) else np.zeros(1, np.int64)
+        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        flat, sizes = self.vocab.encode(self._bytes(points, begins[first], ends[first]))
+        offsets = np.cumsum(sizes) - sizes
+        ids = flat[textvec.ragged(offsets[inverse], sizes[inverse])]
+        bounds = np.concatenate(([0], np.cumsum(sizes[inverse])))
         word_bounds = np.searchsorted(begins, starts)
-        texts_of = [self.decoded[w] for w in place.tolist()]
+        spelled = self.vocab.decode(flat)
+        cuts = np.concatenate(([0], np.cumsum(self.vocab.name_size[flat])))[np.append(offsets, len(flat))]
+        spelled, cuts = spelled.tobytes(), cuts.tolist()
+        texts_of = [spelled[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         order = inverse.tolist()
         for k in range(len(starts) - 1):
             a, b = word_bounds[k], word_bounds[k + 1]
-            yield ids[bounds[a] : bounds[b]], b" ".join([texts_of[w] for w in order[a:b]])
+            yield ids[bounds[a] : bounds[b]], b"".join([texts_of[w] for w in order[a:b]])[1:]
+
+    @staticmethod
+    def _bytes(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of the words ``points[begin:end]``."""
+        sizes = ends - begins
+        text = points[textvec.ragged(begins, sizes)].tobytes().decode("utf-32-le", "surrogatepass")
+        cuts = np.cumsum(sizes).tolist()
+        return [text[a:b].encode("utf-8", "replace") for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
