@@ -7,7 +7,9 @@ or below an element whose class, id or role says so. A decision tree, grown on t
 labelled table ``LABELLED`` (pages whose blocks are marked ``+`` for article text or ``-``), keeps or drops
 each block; kept blocks are joined in page order.
 
-Everything is a narrow pass: no shuffle, memory for a batch of pages.
+Everything is a narrow pass: no shuffle, memory for a batch of pages. Reading is linear in a page's length:
+a tag that never ends is looked for at most ``UNENDED`` times in a page (then quotes are ignored), and open
+elements are found by their names, not by walking up.
 
 Defined cases. Null or empty html, or none kept: empty text. Unclosed and stray tags are repaired as browsers
 do in the common cases; a tag or comment cut off at the end of the page is dropped, an unclosed script hides
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,11 @@ from weftline.llm.common import read
 
 QUERY = "op5_html_text"
 
+#: At a "<": a comment, a tag, other markup, or a tag that is cut off.
 _TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]+|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
+#: The same without quotes: never reads past the next "<".
+_PLAIN_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
+UNENDED = 8
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -37,6 +44,7 @@ _HIDDEN = set("script style noscript template svg textarea iframe object canvas
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "template"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _LANDMARKS = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "search", "fieldset"}
+_FENCES = {"article", "body", "table"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An opening tag ends open elements of the second kind, if no element of the third kind lies between.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -95,46 +103,53 @@ def blocks(page: str | None) -> list[_Block]:
             if linked[1]:
                 linked[0] += len(text.split())
 
+    #: places in the stack: of each tag, of block-level elements, and of those that an inline end tag stays in
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks_at: list[int] = []
+    fences: list[int] = []
+
     def close(k: int):
         """End the element at stack position ``k`` and all inside it."""
-        if any(t in _BLOCKS for t, _, _ in stack[k:]):
+        if blocks_at and blocks_at[-1] >= k:
             flush()
+        for tag, _, _ in stack[k:]:
+            places[tag].pop()
+        for held in (blocks_at, fences):
+            while held and held[-1] >= k:
+                held.pop()
         del stack[k:]
 
-    at = 0
-    while m := _TAG.search(page, at):
-        take(page[at : m.start()])
-        at = m.end()
+    def last(tags) -> int:
+        """Stack position of the innermost open element with one of the tags; 0: none."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    at = begin = unended = 0
+    while (begin := page.find("<", begin)) >= 0:
+        m = (_TAG if unended < UNENDED else _PLAIN_TAG).match(page, begin)
+        if not m:
+            unended += page[begin + 1 : begin + 2].isalpha()
+            begin += 1
+            continue
+        take(page[at:begin])
+        at = begin = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
                 linked[1] = False
-            if tag == "p" and not any(t == "p" for t, _, _ in stack) or tag == "br":
+            if tag == "p" and not places["p"] or tag == "br":
                 texts.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in ("article", "body", "table") and tag not in _BLOCKS:
-                    break
+            if (k := last((tag,))) and (tag in _BLOCKS or not fences or fences[-1] <= k):
+                close(k)
             continue
         if tag in _BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in _BLOCKS:
-                    break
+            if blocks_at and stack[blocks_at[-1]][0] == "p":
+                close(blocks_at[-1])
             if tag in _ENDS:
                 ends, limits = _ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
-                    if stack[k][0] in limits:
-                        break
+                if (k := last(ends)) > last(limits):
+                    close(k)
             flush()
         if tag == "a":
             linked[1] = True
@@ -150,10 +165,15 @@ def blocks(page: str | None) -> list[_Block]:
         article = article or tag in ("article", "main")
         if tag in _HEADINGS:
             heading = True
+        places[tag].append(len(stack))
+        if tag in _BLOCKS:
+            blocks_at.append(len(stack))
+        if tag in _FENCES:
+            fences.append(len(stack))
         stack.append((tag, (article, landmark, named), stack[-1][2] or tag in _HIDDEN))
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            at = begin = end.start() if end else len(page)
     take(page[at:])
     flush()
     return out
