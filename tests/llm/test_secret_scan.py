@@ -54,3 +54,39 @@ def test_redaction_and_empty(spark):
     out = {r.doc_id: (r.text, r.n) for r in s.redact(docs, ["doc_id", "text", "n"]).collect()}
     assert out == {1: ("a [assign] b", 3), 2: ("clean", 4), 3: (None, 5), None: ("é [access].", 1)}
     assert s.report(docs.limit(0)).count() == 0
+
+
+def redacted(text, spans):
+    out, at = "", 0
+    for a, k, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + f"[{s.KINDS[k]}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_very_many_matches(spark):
+    """Thousands of spans in one text, overlapping ones among them; also redaction against a plain reading."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(PIECES) for _ in range(n)) for n in (1, 3, 127, 128, 129, 700, 6000)] + ["password=hunter22;" * 4000, "token=" + "ab" * 40 + " x", "no secret"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in s.report(docs).collect()}
+    clean = {r.doc_id: r.text for r in s.redact(docs, ["doc_id", "text"]).collect()}
+    for i, t in enumerate(texts):
+        b = base(t)
+        every = b + weak_fast(t, b)
+        assert out[i].base_sha256 == hashlib.sha256(listed(b).encode()).hexdigest()
+        assert out[i].spans == listed(every)
+        assert clean[i] == redacted(t, every)
+
+
+def weak_fast(text, found):
+    """As ``weak``, part by part of long texts."""
+    if len(text) < 20_000:
+        return weak(text, found)
+    parts = []
+    for a in range(0, len(text), 5_000):
+        lo, hi = max(0, a - 2_000), a + 7_000
+        near = [(x - lo, k, y - lo) for x, k, y in found if lo + 500 <= x < hi - 500]
+        parts += [(x + lo, k, y + lo) for x, k, y in weak(text[lo:hi], near) if a <= x + lo < a + 5_000]
+    return parts

@@ -13,7 +13,9 @@ interval-joined: a scope is cut into cells of ``SCOPE`` characters, parts meet c
 next cell of their text, and the distance decides.
 
 Offsets come from the pieces between matches: ``split`` by a pattern and ``regexp_extract_all`` take turns,
-so a running sum of their lengths gives every match's place in code points.
+so a running sum of their lengths gives every match's place in code points. Running sums over an array and
+replacements in a text are made in chunks of ``CHUNK`` matches and then over chunks, as a growing array or
+string is copied at every step: the work for a text with very many matches stays near their number.
 
 Defined cases. Null text: empty. Null ``doc_id``: scanned and returned like any other. Rows that repeat an
 id with the same text share their parts; with another text they do not. Very many parts in one text spread
@@ -22,6 +24,8 @@ over its cells. Empty table: no rows. Other columns are ignored. Texts are never
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,24 +44,45 @@ USER = r"""(?i)\b(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|acces
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
 ENDPOINT = r"""(?i)\b(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|ftp)://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:_-]{3,}"""
 
+#: Matches of a text that are handled as one array or string.
+CHUNK = 128
+
 KINDS = ("assign", "access", "hex", "user", "opaque", "endpoint")
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once: a plain column would be computed anew in every lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunked(items: Column) -> Column:
+    """An array as an array of arrays of ``CHUNK`` items, in order; at least one."""
+    many = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), many), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Array of (start, kind, end) of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     turns = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    length = lambda turn: F.length(turn["gap"]) + F.coalesce(F.length(turn["hit"]), F.lit(0))
 
     def step(state: Column, turn: Column) -> Column:
-        begin = state["at"] + F.length(turn["gap"])
-        end = begin + F.coalesce(F.length(turn["hit"]), F.lit(0))
+        begin, end = state["at"] + F.length(turn["gap"]), state["at"] + length(turn)
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(turn["hit"].isNotNull(), F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    none = F.array().cast(f"array<{_SPAN}>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(turns, start, step)["spans"]).otherwise(none)
+    def inside(chunk: Column, start: Column) -> Column:
+        return F.aggregate(chunk, F.struct(start.alias("at"), none.alias("spans")), step)["spans"]
+
+    def over(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, turn: n + length(turn)))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), inside))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), _with(turns, lambda t: _with(_chunked(t), over))).otherwise(none)
 
 
 def _assigned(text: Column) -> Column:
@@ -128,16 +153,31 @@ def redact(docs: DataFrame, columns: list[str], scope: int = SCOPE) -> DataFrame
     """
     spans = linked(docs, scope).select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), F.array_sort(F.concat("base", "kept")).alias("spans")).where(F.size("spans") > 0)
     spans = spans.groupBy("s_id", "s_mark").agg(F.first("spans").alias("spans"))
+    cleaned = _with(F.struct("text", "spans"), lambda x: _replaced(x["text"], x["spans"]))
+    joined = docs.join(spans, docs.doc_id.cast("long").eqNullSafe(spans.s_id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == spans.s_mark), "left")
+    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), cleaned).otherwise(F.col("text"))).select(*columns)
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with sorted spans replaced; of spans that overlap, the first names the kind."""
     names = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], F.col("text").substr(state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
+    def inside(chunk: Column, start: Column) -> Column:
+        """The text from ``start`` to the end of the chunk's spans."""
 
-    cleaned = F.aggregate("spans", start, step, lambda x: F.concat(x["out"], F.col("text").substr(x["at"] + 1, F.length("text"))))
-    joined = docs.join(spans, docs.doc_id.cast("long").eqNullSafe(spans.s_id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == spans.s_mark), "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), cleaned).otherwise(F.col("text"))).select(*columns)
+        def step(state: Column, s: Column) -> Column:
+            fresh = F.concat(state["out"], F.substring(state["of"], state["at"] - start + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"), state["of"].alias("of"))
+
+        part = F.substring(text, start + 1, F.greatest(F.array_max(F.transform(chunk, lambda s: s["end"])) - start, F.lit(0)))
+        return F.aggregate(chunk, F.struct(start.alias("at"), F.lit("").alias("out"), part.alias("of")), step)["out"]
+
+    def over(chunks: Column) -> Column:
+        ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+        starts = F.aggregate(ends, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.greatest(F.element_at(out, -1), n))))
+        return _with(starts, lambda at: F.concat(F.array_join(F.zip_with(chunks, F.slice(at, F.lit(1), F.size(chunks)), inside), ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text))))
+
+    return _with(_chunked(spans), over)
 
 
 def report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
