@@ -83,27 +83,44 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], fr
     return leaves.join(given, _LEAF)
 
 
+def _ranged(placed: DataFrame) -> DataFrame:
+    """``placed`` with mx_start: tokens of its leaf that come before it in the order.
+
+    The order's first three hexadecimal digits cut a leaf into ranges. Sums of ranges are summed within the
+    256 ranges of one first digit, and those within the leaf, so no task holds a leaf's rows.
+    """
+    keys, wide = [*_LEAF, "mx_wide", "mx_range"], [*_LEAF, "mx_wide"]
+    placed = placed.withColumn("mx_range", F.substring("mx_order", 1, 3)).withColumn("mx_wide", F.substring("mx_order", 1, 1))
+
+    def before(column: str, parts: list[str], *order: str) -> Column:
+        return F.coalesce(F.sum(column).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    sums = placed.groupBy(*keys).agg(F.sum("mx_tokens").alias("mx_sum"))
+    wide_sums = sums.groupBy(*wide).agg(F.sum("mx_sum").alias("mx_all"))
+    wide_before = wide_sums.select(*wide, before("mx_all", _LEAF, "mx_wide").alias("mx_far"))  # at most 16 rows a leaf
+    ahead = sums.select(*keys, before("mx_sum", wide, "mx_range").alias("mx_near"))  # at most 256 rows a part
+    ahead = ahead.join(wide_before, wide).select(*keys, (F.col("mx_near") + F.col("mx_far")).alias("mx_ahead"))
+    inside = placed.withColumn("mx_inside", before("mx_tokens", keys, "mx_order", "mx_id", "mx_tokens"))
+    return inside.join(ahead, keys).withColumn("mx_start", F.col("mx_ahead") + F.col("mx_inside"))
+
+
 def mix(docs: DataFrame, keep: list[str], weights: Mapping[str, Mapping[str, int]] = WEIGHTS, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
     """The selected documents: ``keep`` columns, mx_domain, mx_lang, mx_source, mx_tokens, and what is taken:
-    mx_epochs (whole uses) and mx_part (tokens of one more use, from its start)."""
+    mx_epochs (whole uses) and mx_part (tokens of one more use, from its start).
+
+    Texts are counted once; the counted rows (``keep``, leaf and tokens) are written and read again.
+    """
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
     rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mx_id"), (domain_of(source) if domain is None else domain).alias("mx_domain"), lang.alias("mx_lang"), source.alias("mx_source"), tokens.alias("mx_tokens"))
-    rows = rows.where("mx_tokens > 0")
+    rows = stored(rows, "mixing-rows").where("mx_tokens > 0")
     leaves = rows.groupBy(*_LEAF).agg(F.sum("mx_tokens").alias("tokens"))
     # stored: a few rows a leaf, used by every row's join and counted for its bound
     plan = stored(leaf_budgets(leaves, weights, fraction, max_epochs).select(*_LEAF, F.expr("given div tokens").alias("mx_epochs"), (F.col("given") % F.col("tokens")).alias("mx_rest")), "mixing-plan")
     joined = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS // 8 else plan, _LEAF)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mx_epochs").cast("string"), "mx_id").cast("binary"))
-    placed = joined.withColumn("mx_order", order).withColumn("mx_range", F.substring("mx_order", 1, 3))
-    keys = [*_LEAF, "mx_range"]
-    sums = placed.groupBy(*keys).agg(F.sum("mx_tokens").alias("mx_sum"))
-    ahead = Window.partitionBy(*_LEAF).orderBy("mx_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 ranges a leaf
-    before = sums.select(*keys, F.coalesce(F.sum("mx_sum").over(ahead), F.lit(0)).alias("mx_ahead"))
-    inside = Window.partitionBy(*keys).orderBy("mx_order", "mx_id", "mx_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("mx_ahead") + F.coalesce(F.col("mx_inside"), F.lit(0))
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("mx_tokens"), F.col("mx_rest") - start))
-    taken = placed.withColumn("mx_inside", F.sum("mx_tokens").over(inside)).join(before, keys).withColumn("mx_part", part)
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("mx_tokens"), F.col("mx_rest") - F.col("mx_start")))
+    taken = _ranged(joined.withColumn("mx_order", order)).withColumn("mx_part", part)
     return taken.where("mx_epochs > 0 or mx_part > 0").select(*keep, *_LEAF, "mx_tokens", "mx_epochs", "mx_part")
 
 
