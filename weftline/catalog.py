@@ -27,10 +27,9 @@ class Catalog:
 
     @cached_property
     def base(self) -> DataFrame:
-        """sid, k, o_custkey, layer: every 25th order is a session."""
+        """sid, k, o_custkey, layer: every order is a session."""
         k = F.col("o_orderkey")
-        orders = self.table("orders").where(k % 25 == 0)
-        return orders.select(F.concat(F.lit("S"), k).alias("sid"), k.alias("k"), "o_custkey", (F.floor(k / 25).cast("long") % 6).alias("layer"))
+        return self.table("orders").select(F.concat(F.lit("S"), k).alias("sid"), k.alias("k"), "o_custkey", (F.floor(k / 25).cast("long") % 6).alias("layer"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -39,7 +38,7 @@ class Catalog:
     @cached_property
     def access(self) -> DataFrame:
         """sid, role, tname (distinct)."""
-        per_layer = self.table("part").agg(F.floor(F.count("*") / 50).cast("long").alias("b"))
+        per_layer = self.table("part").agg(F.floor(F.count("*") / 2).cast("long").alias("b"))
         line = F.col("l_linenumber")
         name = lambda layer: F.concat(F.lit("L"), layer, F.lit("_"), F.col("l_partkey") % F.col("b"))
         own = (F.col("l_returnflag") == "R") & (F.col("k") % 4 == 0)

@@ -50,8 +50,21 @@ def schema_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("sid").agg(F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"), F.count("*").alias("fields"))
 
 
-def cluster_by_name(sessions: DataFrame) -> DataFrame:
-    """sid, cluster: the workflow's first part and the session's last digit."""
+def cluster_by_name(sessions: DataFrame, most: int = 500) -> DataFrame:
+    """sid, cluster: a type in parentheses, else the name before its last underscore part, else the name.
+
+    Where that makes more than ``most`` groups, those are merged by the name's first part.
+    """
+    kind = F.regexp_extract("name", r"\(([^()]+)\)", 1)
+    prefix = F.regexp_extract("name", r"^(.+)_[^_]*$", 1)
+    named = sessions.select("sid", "name", F.when(kind != "", kind).when(prefix != "", prefix).otherwise(F.col("name")).alias("cluster"))
+    groups = named.agg(F.countDistinct("cluster").alias("groups"))
+    merged = F.when(F.col("groups") > most, F.substring_index("cluster", "_", 1)).otherwise(F.col("cluster"))
+    return named.crossJoin(F.broadcast(groups)).select("sid", merged.alias("cluster"))
+
+
+def cluster_by_workflow(sessions: DataFrame) -> DataFrame:
+    """sid, cluster: the workflow and the last digit of the session's name; a labelling for tests of operators on labels."""
     return sessions.select("sid", F.concat_ws(".", "workflow", F.substring("name", -1, 1)).alias("cluster"))
 
 
@@ -88,11 +101,15 @@ def domain_tables(labels: DataFrame, access: DataFrame) -> DataFrame:
     return used.join(sizes, "cluster").join(spread, "tname").select("cluster", "tname", F.when(2 * F.col("members") > F.col("n"), "core").otherwise("peripheral").alias("role"), (F.col("clusters") > 1).alias("cross"))
 
 
-def co_association(labelings: list[DataFrame]) -> DataFrame:
-    """a, b, fraction: share of the labellings that put a pair together."""
-    long = None
+def co_association(pairs: DataFrame, labelings: list[DataFrame]) -> DataFrame:
+    """a, b, fraction: share of the labellings that put a pair together, of the given pairs (a, b) that any does.
+
+    Pairs are those of a similarity graph; all pairs of a cluster grow with its square and are never made.
+    Labels below 0 (noise) match nothing.
+    """
+    met = pairs.select("a", "b")
     for k, labels in enumerate(labelings):
-        part = labels.select("sid", F.concat(F.lit(f"{k}:"), F.col("cluster").cast("string")).alias("label"))
-        long = part if long is None else long.unionByName(part)
-    other = long.select(F.col("sid").alias("b"), "label")
-    return long.withColumnRenamed("sid", "a").join(other, "label").where("a < b").groupBy("a", "b").agg(F.round(F.count("*") / F.lit(float(len(labelings))), 6).alias("fraction"))
+        of = labels.select("sid", F.col("cluster").cast("string").alias("c")).where("c <> '-1'")
+        met = met.join(of.select(F.col("sid").alias("a"), F.col("c").alias(f"a{k}")), "a", "left").join(of.select(F.col("sid").alias("b"), F.col("c").alias(f"b{k}")), "b", "left")
+    same = sum(F.coalesce((F.col(f"a{k}") == F.col(f"b{k}")).cast("int"), F.lit(0)) for k in range(len(labelings)))
+    return met.select("a", "b", F.round(same / F.lit(float(len(labelings))), 6).alias("fraction")).where("fraction > 0")

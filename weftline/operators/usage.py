@@ -81,6 +81,13 @@ def shared_table_pairs(access: DataFrame, max_share: int | None = None) -> DataF
     return held.withColumnRenamed("sid", "a").join(other, "tname").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def shared_table_stars(access: DataFrame) -> DataFrame:
+    """src, dst: of each table, its least session with each other one: what is linked through tables, linear in access."""
+    held = access.select("sid", "tname").distinct()
+    hubs = held.groupBy("tname").agg(F.min("sid").alias("dst"))
+    return held.join(hubs, "tname").where("sid <> dst").select(F.col("sid").alias("src"), "dst").distinct()
+
+
 def max_share(sessions: DataFrame) -> int:
     """The reference's bound of a table's sessions in the similarity graph; hotter tables link nothing there."""
     return min(500, sessions.count() // 2 + 1)

@@ -44,7 +44,7 @@ QUERIES = {
     "node_degree": (lambda c: usage.node_degree(c.connections), """, ends AS (SELECT from_id AS node_id, conn_type FROM cat_connection UNION ALL SELECT to_id, conn_type FROM cat_connection)
         SELECT node_id, conn_type, count(*) AS degree FROM ends GROUP BY ALL UNION ALL SELECT node_id, 'all', count(*) FROM ends GROUP BY node_id"""),
     "shared_table_pairs": (lambda c: usage.shared_table_pairs(c.access), "SELECT * FROM pairs"),
-    "coupling_counts": (lambda c: usage.coupling_counts(c.access), "SELECT s.sid, (SELECT count(*) FROM pairs WHERE a = s.sid OR b = s.sid) AS coupled FROM sizes s"),
+    "coupling_counts": (lambda c: usage.coupling_counts(c.access), "SELECT s.sid, count(p.sid) AS coupled FROM sizes s LEFT JOIN (SELECT a AS sid FROM pairs UNION ALL SELECT b FROM pairs) p USING (sid) GROUP BY s.sid"),
     "table_gravity": (lambda c: usage.table_gravity(c.access), """SELECT tname, readers AS r, writers AS w, lookup_users AS l, readers * writers * (1 + lookup_users) AS gravity,
         row_number() OVER (ORDER BY readers * writers * (1 + lookup_users) DESC, tname) <= greatest(1, floor((SELECT count(*) FROM usage) / 20)) AS is_hub FROM usage"""),
     "reference_ranking": (lambda c: usage.reference_ranking(c.access), "SELECT tname, count(DISTINCT sid) AS refs, round(100.0 * count(DISTINCT sid) / (SELECT count(*) FROM sizes), 6) AS pct FROM cat_access GROUP BY tname ORDER BY refs DESC, tname LIMIT 50"),
@@ -63,13 +63,13 @@ QUERIES = {
     "dependency_edges": (lambda c: c.edges, "SELECT * FROM edges"),
     "tables_touched": (lambda c: c.access.join(start_of(c).select(F.col("node").alias("sid")), "sid", "left_semi").select("tname", F.when(F.col("role") == "target", "writes").when(F.col("role") == "source", "reads").otherwise("looks_up").alias("relation")), f"SELECT tname, CASE role WHEN 'target' THEN 'writes' WHEN 'source' THEN 'reads' ELSE 'looks_up' END AS relation FROM cat_access WHERE sid = {START}"),
     "table_lineage": (lambda c: views.table_lineage(c.access, TABLE), f"SELECT role, sid FROM cat_access WHERE tname = '{TABLE}'"),
-    "matrix_cells": (lambda c: views.matrix_cells(c.session, c.tables, c.connections), """SELECT DISTINCT sid, name, tname, conn_type FROM cat_connection JOIN cat_names ON sid IN (from_id, to_id) JOIN usage ON tname IN (from_id, to_id)"""),
+    "matrix_cells": (lambda c: views.matrix_cells(c.session, c.tables, c.connections), """SELECT DISTINCT sid, name, tname, conn_type FROM conn_ends JOIN cat_names ON sid = node JOIN usage ON tname = other"""),
     "apply_glossary": (lambda c: views.apply_glossary(c.access, c.table("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("L1_"), "p_partkey").alias("term"), F.col("p_name").alias("label"))), "SELECT tname, coalesce(p_name, tname) AS business_name FROM usage LEFT JOIN part ON p_partkey % 3 = 0 AND upper(tname) = concat('L1_', p_partkey)"),
     # views
-    "explorer_detail": (lambda c: views.explorer_detail(c.session, c.connections), """SELECT sid, (SELECT count(*) FROM cat_connection WHERE sid IN (from_id, to_id) AND conn_type IN ('write_conflict', 'read_after_write')) AS conflict_count,
-        (SELECT count(*) FROM cat_connection WHERE sid IN (from_id, to_id) AND conn_type = 'chain') AS chain_count, (SELECT count(*) FROM cat_connection WHERE sid IN (from_id, to_id)) AS total_connections FROM cat_names"""),
-    "exec_order": (lambda c: views.exec_order(c.tiered, c.connections), """SELECT row_number() OVER (ORDER BY step, tier, sid) - 1 AS position, sid, EXISTS (SELECT 1 FROM cat_connection WHERE sid IN (from_id, to_id) AND conn_type IN ('write_conflict', 'read_after_write')) AS has_conflict,
-        EXISTS (SELECT 1 FROM cat_connection WHERE sid IN (from_id, to_id) AND conn_type = 'chain') AS has_chain FROM cat_names JOIN tiers USING (sid)"""),
+    "explorer_detail": (lambda c: views.explorer_detail(c.session, c.connections), """SELECT sid, (SELECT count(*) FROM conn_ends WHERE node = sid AND conn_type IN ('write_conflict', 'read_after_write')) AS conflict_count,
+        (SELECT count(*) FROM conn_ends WHERE node = sid AND conn_type = 'chain') AS chain_count, (SELECT count(*) FROM conn_ends WHERE node = sid) AS total_connections FROM cat_names"""),
+    "exec_order": (lambda c: views.exec_order(c.tiered, c.connections), """SELECT row_number() OVER (ORDER BY step, tier, sid) - 1 AS position, sid, EXISTS (SELECT 1 FROM conn_ends WHERE node = sid AND conn_type IN ('write_conflict', 'read_after_write')) AS has_conflict,
+        EXISTS (SELECT 1 FROM conn_ends WHERE node = sid AND conn_type = 'chain') AS has_chain FROM cat_names JOIN tiers USING (sid)"""),
     "session_ids": (lambda c: views.session_ids(c.tiered), "SELECT sid, concat('S', row_number() OVER (ORDER BY tier, step, name)) AS display_id FROM cat_names JOIN tiers USING (sid)"),
     "tier_groups": (lambda c: views.tier_groups(c.tiers, c.tables), "SELECT tier, CAST(sum(s) AS BIGINT) AS sessions, CAST(sum(t) AS BIGINT) AS tables FROM (SELECT CAST(tier AS DOUBLE) AS tier, 1 AS s, 0 AS t FROM tiers UNION ALL SELECT tier, 0, 1 FROM cat_table) GROUP BY tier"),
     "folder_metrics": (lambda c: views.folder_metrics(c.tiered), "SELECT folder, count(*) AS sessions, count(DISTINCT workflow) AS workflows, round(avg(tier), 6) AS avg_tier, count(*) FILTER (critical) AS critical FROM cat_s GROUP BY folder"),
@@ -79,12 +79,12 @@ QUERIES = {
     "galaxy_layout": (lambda c: views.galaxy_layout(c.tiered), """SELECT sid AS node_id, round(100 * tier * cos(2 * 3.141592653589793 * r / n), 4) + 0.0 AS x, round(100 * tier * sin(2 * 3.141592653589793 * r / n), 4) + 0.0 AS y, least(greatest(transforms, 1), 10) AS size
         FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY sid) - 1 AS r, count(*) OVER (PARTITION BY tier) AS n FROM cat_names JOIN tiers USING (sid))"""),
     "tier_layout": (lambda c: views.tier_layout(c.tiered, c.tables), "SELECT sid AS node_id, 'session' AS kind, CAST(tier AS DOUBLE) AS band, critical AS flag FROM cat_s UNION ALL SELECT tname, type, tier, type = 'conflict' FROM cat_table"),
-    "filter_tiers": (lambda c: views.filter_tiers(c.tiered, c.connections, [1, 3], ["lookup_stale"], SEARCH), f"""SELECT from_id, to_id, conn_type FROM cat_connection JOIN cat_s ON sid IN (from_id, to_id) WHERE tier NOT IN (1, 3) AND conn_type <> 'lookup_stale' AND contains(lower(name), '{SEARCH}')"""),
-    "filter_graph": (lambda c: views.filter_graph(c.session, c.connections, 2, 6, 3, True), """SELECT * FROM (SELECT sid, transforms, (SELECT count(*) FROM cat_connection WHERE sid IN (from_id, to_id)) AS degree FROM cat_names WHERE transforms BETWEEN 2 AND 6
-        AND EXISTS (SELECT 1 FROM cat_connection WHERE sid IN (from_id, to_id) AND conn_type IN ('write_conflict', 'read_after_write'))) WHERE degree >= 3"""),
+    "filter_tiers": (lambda c: views.filter_tiers(c.tiered, c.connections, [1, 3], ["lookup_stale"], SEARCH), f"""SELECT from_id, to_id, c.conn_type FROM cat_connection c JOIN cat_s ON sid = CASE WHEN starts_with(from_id, 'S') THEN from_id ELSE to_id END WHERE tier NOT IN (1, 3) AND conn_type <> 'lookup_stale' AND contains(lower(name), '{SEARCH}')"""),
+    "filter_graph": (lambda c: views.filter_graph(c.session, c.connections, 2, 6, 3, True), """SELECT * FROM (SELECT sid, transforms, (SELECT count(*) FROM conn_ends WHERE node = sid) AS degree FROM cat_names WHERE transforms BETWEEN 2 AND 6
+        AND EXISTS (SELECT 1 FROM conn_ends WHERE node = sid AND conn_type IN ('write_conflict', 'read_after_write'))) WHERE degree >= 3"""),
     "isolate_neighbours": (lambda c: views.isolate_neighbours(c.connections, TABLE), f"SELECT DISTINCT node_id FROM (SELECT to_id AS node_id FROM cat_connection WHERE from_id = '{TABLE}' UNION ALL SELECT from_id FROM cat_connection WHERE to_id = '{TABLE}' UNION ALL SELECT '{TABLE}')"),
-    "scope_subgraph": (lambda c: views.scope_subgraph(c.tables, c.connections, c.session.where("folder = 'BUILDING'").select("sid")), "SELECT * FROM cat_table t WHERE EXISTS (SELECT 1 FROM cat_connection JOIN cat_names ON sid IN (from_id, to_id) WHERE folder = 'BUILDING' AND t.tname IN (from_id, to_id))"),
-    "tables_of_sessions": (lambda c: views.scope_subgraph(c.tables, c.connections, c.tiers.where("tier = 2").select("sid")).select("tname", "type"), "SELECT tname, type FROM cat_table t WHERE EXISTS (SELECT 1 FROM cat_connection JOIN tiers ON sid IN (from_id, to_id) WHERE tiers.tier = 2 AND t.tname IN (from_id, to_id))"),
+    "scope_subgraph": (lambda c: views.scope_subgraph(c.tables, c.connections, c.session.where("folder = 'BUILDING'").select("sid")), "SELECT * FROM cat_table WHERE tname IN (SELECT other FROM conn_ends JOIN cat_names ON sid = node WHERE folder = 'BUILDING')"),
+    "tables_of_sessions": (lambda c: views.scope_subgraph(c.tables, c.connections, c.tiers.where("tier = 2").select("sid")).select("tname", "type"), "SELECT tname, type FROM cat_table WHERE tname IN (SELECT other FROM conn_ends JOIN tiers ON sid = node WHERE tiers.tier = 2)"),
     "explorer_page": (lambda c: views.search_page(c.tiered.select("sid", "name", "tier", "transforms"), SEARCH, [F.desc("transforms"), F.col("sid")], 5, 20), f"SELECT sid, name, tier, transforms FROM cat_names JOIN tiers USING (sid) WHERE contains(lower(name), '{SEARCH}') ORDER BY transforms DESC, sid LIMIT 20 OFFSET 5"),
     "sessions_page": (lambda c: views.search_page(c.tiered.where("tier = 1").select("sid", "name", "tier", "step"), "", [F.col("tier"), F.col("step"), F.col("sid")], 10, 25), "SELECT sid, name, tier, step FROM cat_names JOIN tiers USING (sid) WHERE tier = 1 ORDER BY tier, step, sid LIMIT 25 OFFSET 10"),
     "global_search": (lambda c: views.global_search(c.session, c.tables, "_1"), """SELECT kind, name FROM (SELECT 1 AS p, 'session' AS kind, name FROM cat_names WHERE contains(lower(name), '_1') UNION ALL SELECT 2, 'table', tname FROM usage WHERE contains(lower(tname), '_1')
@@ -94,8 +94,9 @@ QUERIES = {
         SELECT node, g.grp AS "group", size, size > 1 OR coalesce(n, 0) > 0 AS is_cycle, coalesce(n, 0) AS internal_edges FROM g LEFT JOIN i ON i.grp = g.grp"""),
     "break_cycles": (lambda c: c.acyclic, "SELECT src, dst FROM dag"),
     "session_tiers": (lambda c: c.tiers, "SELECT * FROM tiers"),
-    "connected_components": (lambda c: graph.connected_components(c.base.select(F.col("sid").alias("node")), usage.shared_table_pairs(c.access).select(F.col("a").alias("src"), F.col("b").alias("dst"))), """, near AS (SELECT sid AS x, sid AS y FROM cat_session0 UNION SELECT x, b.sid FROM near JOIN cat_access a ON a.sid = y JOIN cat_access b ON b.tname = a.tname)
-        SELECT x AS node, min(y) AS component FROM near GROUP BY x"""),
+    "connected_components": (lambda c: graph.connected_components(c.base.select(F.col("sid").alias("node")), usage.shared_table_stars(c.access)), """, hubs AS MATERIALIZED (SELECT DISTINCT sid, min(sid) OVER (PARTITION BY tname) AS hub FROM cat_access), star AS MATERIALIZED (SELECT sid AS x, hub AS y FROM hubs UNION SELECT hub, sid FROM hubs),
+        near(node, component) USING KEY (node) AS (SELECT sid, sid FROM cat_session0 UNION (SELECT DISTINCT ON (u.node) u.node, v.component FROM recurring.near u JOIN star ON x = u.node JOIN near v ON v.node = y WHERE v.component < u.component ORDER BY u.node, v.component))
+        SELECT node, component FROM near"""),
     "trace_forward": (lambda c: graph.trace(c.edges, start_of(c), 20), _trace_sql("SELECT node, depth FROM found", 20)),
     "trace_backward": (lambda c: graph.trace(c.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start_of(c), 20), _trace_sql("SELECT node, depth FROM found", 20, "dst", "src")),
     "impact_analysis": (lambda c: graph.trace(c.edges, start_of(c), 10).join(c.tiered.select("sid", "name", "tier"), F.col("node") == F.col("sid")).select("sid", "name", "tier", "depth"), _trace_sql("SELECT sid, name, tier, depth FROM found JOIN cat_names ON sid = node JOIN tiers USING (sid)", 10)),

@@ -23,7 +23,7 @@ def _index(c):
     return c.tiered.select("sid", "tier", "folder").join(_labels(c), "sid", "left").join(_scores(c).select("sid", "score", "bucket"), "sid", "left").join(degree, "sid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 
-_INDEX = _SCORE + _LABELS + ", idx AS (SELECT s.sid, tier, folder, cluster, score, bucket, (SELECT count(*) FROM cat_connection WHERE s.sid IN (from_id, to_id)) AS degree FROM cat_names s JOIN tiers USING (sid) LEFT JOIN labels USING (sid) LEFT JOIN scores USING (sid)) "
+_INDEX = _SCORE + _LABELS + ", idx AS (SELECT s.sid, tier, folder, cluster, score, bucket, (SELECT count(*) FROM conn_ends WHERE node = s.sid) AS degree FROM cat_names s JOIN tiers USING (sid) LEFT JOIN labels USING (sid) LEFT JOIN scores USING (sid)) "
 
 
 def _waves(c):
@@ -36,7 +36,7 @@ def _waves(c):
     return group.join(tiers, "group").select("wave", "sid", "group")
 
 
-_WAVES = """, grp AS (SELECT sid, coalesce(g.grp, sid) AS g FROM cat_session0 LEFT JOIN scc g ON g.node = sid), ge AS (SELECT DISTINCT a.g AS src, b.g AS dst FROM edges JOIN grp a ON a.sid = src JOIN grp b ON b.sid = dst WHERE a.g <> b.g),
+_WAVES = """, grp AS MATERIALIZED (SELECT sid, coalesce(g.grp, sid) AS g FROM cat_session0 LEFT JOIN scc g ON g.node = sid), ga AS MATERIALIZED (SELECT g AS src, dst FROM edges JOIN grp ON sid = src), ge AS MATERIALIZED (SELECT DISTINCT src, g AS dst FROM ga JOIN grp ON sid = dst WHERE src <> g),
 gd AS (SELECT DISTINCT g AS node, CAST(1 AS BIGINT) AS wave FROM grp UNION SELECT dst, wave + 1 FROM gd JOIN ge ON node = src) SELECT max(wave) AS wave, sid, g AS "group" FROM grp JOIN gd ON node = g GROUP BY sid, g"""
 
 

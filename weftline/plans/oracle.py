@@ -1,22 +1,26 @@
-"""SQL of the catalog for the DuckDB oracle: common table expressions that oracle queries build on."""
+"""SQL of the catalog for the DuckDB oracle: common table expressions that oracle queries build on.
+
+An edge never leads to a session of a lower layer, so cycles are looked for inside layers (``level_edges``).
+"""
 
 CTES = """
-WITH RECURSIVE cat_session0 AS (SELECT concat('S', o_orderkey) AS sid, o_orderkey AS k, o_custkey, CAST(floor(o_orderkey / 25) AS BIGINT) % 6 AS layer FROM orders WHERE o_orderkey % 25 = 0),
-cat_b AS (SELECT CAST(floor(count(*) / 50) AS BIGINT) AS b FROM part),
+WITH RECURSIVE cat_session0 AS (SELECT concat('S', o_orderkey) AS sid, o_orderkey AS k, o_custkey, CAST(floor(o_orderkey / 25) AS BIGINT) % 6 AS layer FROM orders),
+cat_b AS (SELECT CAST(floor(count(*) / 2) AS BIGINT) AS b FROM part),
 cat_line AS (SELECT * FROM cat_session0 JOIN lineitem ON l_orderkey = k),
-cat_access AS (SELECT DISTINCT sid, role, tname FROM (
+cat_access AS MATERIALIZED (SELECT DISTINCT sid, role, tname FROM (
   SELECT sid, CASE WHEN l_linenumber IN (1, 2, 3) THEN 'source' WHEN l_linenumber IN (4, 5) THEN 'target' ELSE 'lookup' END AS role,
     CASE WHEN l_linenumber IN (1, 2, 3) THEN concat('L', layer, '_', l_partkey % b)
          WHEN l_linenumber IN (4, 5) THEN concat('L', CASE WHEN l_returnflag = 'R' AND k % 4 = 0 THEN layer ELSE layer + 1 END, '_', l_partkey % b)
          ELSE concat('L', l_suppkey % (layer + 1), '_', l_partkey % b) END AS tname
   FROM cat_line, cat_b) t),
-usage AS (SELECT tname, count(*) FILTER (role = 'target') AS writers, count(*) FILTER (role = 'source') AS readers, count(*) FILTER (role = 'lookup') AS lookup_users FROM cat_access GROUP BY tname),
-edges AS (SELECT DISTINCT w.sid AS src, u.sid AS dst FROM cat_access w JOIN cat_access u ON w.tname = u.tname AND w.role = 'target' AND u.role <> 'target'
+usage AS MATERIALIZED (SELECT tname, count(*) FILTER (role = 'target') AS writers, count(*) FILTER (role = 'source') AS readers, count(*) FILTER (role = 'lookup') AS lookup_users FROM cat_access GROUP BY tname),
+edges AS MATERIALIZED (SELECT DISTINCT w.sid AS src, u.sid AS dst FROM cat_access w JOIN cat_access u ON w.tname = u.tname AND w.role = 'target' AND u.role <> 'target'
   WHERE NOT EXISTS (SELECT 1 FROM cat_access x WHERE x.tname = u.tname AND x.sid = u.sid AND x.role = 'target')),
-closure AS (SELECT src AS a, dst AS b FROM edges UNION SELECT c.a, e.dst FROM closure c JOIN edges e ON c.b = e.src),
-scc AS (SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS grp FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n
+level_edges AS MATERIALIZED (SELECT src, dst FROM edges JOIN cat_session0 s ON s.sid = src JOIN cat_session0 d ON d.sid = dst WHERE s.layer = d.layer),
+closure AS (SELECT src AS a, dst AS b FROM level_edges UNION SELECT c.a, e.dst FROM closure c JOIN level_edges e ON c.b = e.src),
+scc AS MATERIALIZED (SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS grp FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n
   LEFT JOIN closure x ON x.a = n.node AND EXISTS (SELECT 1 FROM closure y WHERE y.a = x.b AND y.b = x.a) GROUP BY n.node),
-dag AS (SELECT src, dst FROM edges JOIN scc s ON s.node = src JOIN scc d ON d.node = dst WHERE s.grp <> d.grp OR src < dst),
+dag AS MATERIALIZED (SELECT src, dst FROM edges JOIN scc s ON s.node = src JOIN scc d ON d.node = dst WHERE s.grp <> d.grp OR src < dst),
 depths AS (SELECT sid, CAST(1 AS BIGINT) AS tier FROM cat_session0 UNION SELECT dst, tier + 1 FROM depths JOIN dag ON sid = src),
 tiers AS (SELECT sid, max(tier) AS tier FROM depths GROUP BY sid),
 cat_names AS (SELECT sid, k, concat('s_m_', k) AS name, concat('wf_', c_nationkey, '.s_m_', k) AS full_name, c_mktsegment AS folder, concat('wf_', c_nationkey) AS workflow,
@@ -40,6 +44,7 @@ cat_connection AS (SELECT DISTINCT * FROM (
   SELECT sid AS from_id, tname AS to_id, CASE WHEN writers > 1 THEN 'write_conflict' WHEN readers + lookup_users > 0 THEN 'chain' ELSE 'write_clean' END AS conn_type FROM cat_access JOIN usage USING (tname) WHERE role = 'target'
   UNION ALL SELECT tname, sid, CASE WHEN writers > 1 THEN 'read_after_write' WHEN writers = 1 THEN 'chain' ELSE 'source_read' END FROM cat_access JOIN usage USING (tname) WHERE role = 'source'
   UNION ALL SELECT tname, sid, 'lookup_stale' FROM cat_access WHERE role = 'lookup')),
+conn_ends AS (SELECT from_id AS node, to_id AS other, conn_type FROM cat_connection UNION ALL SELECT to_id, from_id, conn_type FROM cat_connection),
 pairs AS (SELECT a.sid AS a, b.sid AS b, count(*) AS shared FROM (SELECT DISTINCT sid, tname FROM cat_access) a JOIN (SELECT DISTINCT sid, tname FROM cat_access) b ON a.tname = b.tname AND a.sid < b.sid GROUP BY ALL),
 sizes AS (SELECT sid, count(DISTINCT tname) AS n FROM cat_access GROUP BY sid),
 jaccard AS (SELECT a, b, shared / (x.n + y.n - shared) AS sim FROM pairs JOIN sizes x ON x.sid = a JOIN sizes y ON y.sid = b),

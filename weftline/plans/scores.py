@@ -23,7 +23,7 @@ def _scores(c):
 
 
 def _labels(c):
-    return compare.cluster_by_name(c.session)
+    return compare.cluster_by_workflow(c.session)
 
 
 def _by_tier(c):
@@ -50,8 +50,8 @@ QUERIES = {
     "effort_estimate": (lambda c: score.effort_estimate(_scores(c)), _SCORE + f"""SELECT coalesce(bucket, 'all') AS bucket, count(*) AS sessions, CAST(sum(CASE bucket_ {_HOURS[0]} END) AS BIGINT) AS p10, CAST(sum(CASE bucket_ {_HOURS[1]} END) AS BIGINT) AS p50, CAST(sum(CASE bucket_ {_HOURS[2]} END) AS BIGINT) AS p90,
         round(sum(CASE bucket_ {_HOURS[1]} END) / 160.0, 4) AS weeks FROM (SELECT bucket, bucket AS bucket_ FROM scores) GROUP BY ROLLUP (bucket)"""),
     "top_complex": (lambda c: score.top_complex(_scores(c)), _SCORE + "SELECT sid, score, bucket FROM scores ORDER BY score DESC, sid LIMIT 10"),
-    "group_complexity": (lambda c: score.group_complexity(_labels(c), _scores(c)), _SCORE + _LABELS + "SELECT cluster, round(avg(coalesce(score, 50.0)), 4) AS avg, " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in score.HOURS) + " FROM labels LEFT JOIN scores USING (sid) GROUP BY cluster"),
-    "composite_heat": (lambda c: score.composite_heat(c.session, usage.node_degree(c.connections), _scores(c)), _SCORE + """, d AS (SELECT sid, transforms, score, (SELECT count(*) FROM cat_connection WHERE sid IN (from_id, to_id)) AS degree FROM cat_names JOIN scores USING (sid))
+    "group_complexity": (lambda c: score.group_complexity(_labels(c), _scores(c)), _SCORE + _LABELS + "SELECT cluster, floor((CAST(sum(CAST(round(coalesce(score, 50.0) * 100) AS BIGINT)) AS BIGINT) * 200 + count(*)) / (2 * count(*))) / 10000 AS avg, " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in score.HOURS) + " FROM labels LEFT JOIN scores USING (sid) GROUP BY cluster"),
+    "composite_heat": (lambda c: score.composite_heat(c.session, usage.node_degree(c.connections), _scores(c)), _SCORE + """, d AS (SELECT sid, transforms, score, (SELECT count(*) FROM conn_ends WHERE node = sid) AS degree FROM cat_names JOIN scores USING (sid))
         SELECT sid, round(0.4 * score / 100 + 0.3 * degree / (SELECT max(degree) FROM d) + 0.3 * transforms / (SELECT max(transforms) FROM d), 6) AS heat FROM d"""),
     "zscore_outliers": (lambda c: score.zscore_outliers(score.features(c.tiered)), f", z AS (SELECT sid, {_Z} FROM cat_session) SELECT * FROM (SELECT sid, greatest({', '.join(_DIMS)}) AS worst, concat_ws(',', {', '.join(f'CASE WHEN {c} > 2.0 THEN {c!r} END' for c in _DIMS)}) AS columns FROM z) WHERE columns <> ''"),
     "rule_anomalies": (lambda c: score.rule_anomalies(score.features(c.tiered)), f", f AS (SELECT sid, {_FIRED} AS fired FROM cat_s) SELECT * FROM (SELECT sid, round(0.7 * list_max(list_transform(fired, lambda x: x.w)) + 0.3 * list_sum(list_transform(fired, lambda x: x.w)) / len(fired), 6) AS score, array_to_string(list_transform(fired, lambda x: x.n), ',') AS types FROM f WHERE len(fired) > 0) WHERE score >= 0.5"),
@@ -69,14 +69,15 @@ QUERIES = {
         SELECT sid, count(*) FILTER (a IS NULL) AS added, count(*) FILTER (b IS NULL) AS removed, count(*) AS fields FROM (SELECT *, 1 AS a FROM x) FULL JOIN (SELECT *, 1 AS b FROM y) USING (sid, field) GROUP BY sid"""),
     # labels
     "cluster_by_tier": (_by_tier, _LABELS + "SELECT * FROM by_tier"),
-    "cluster_by_name": (_labels, _LABELS + "SELECT * FROM labels"),
+    "cluster_by_name": (lambda c: compare.cluster_by_name(c.session.select("sid", F.concat("folder", F.lit("_"), "name").alias("name"))), """, p AS (SELECT sid, regexp_replace(concat(folder, '_', name), '_[^_]*$', '') AS c FROM cat_names) SELECT sid, CASE WHEN (SELECT count(DISTINCT c) FROM p) > 500 THEN split_part(c, '_', 1) ELSE c END AS cluster FROM p"""),
     "modularity": (lambda c: compare.modularity(usage.similarity_pairs(c.access), _labels(c)), _LABELS + """, m AS (SELECT sim, x.cluster AS ca, y.cluster AS cb FROM jaccard JOIN labels x ON x.sid = a JOIN labels y ON y.sid = b),
         d AS (SELECT c, sum(sim) AS d FROM (SELECT ca AS c, sim FROM m UNION ALL SELECT cb, sim FROM m) GROUP BY c) SELECT round(sum(sim) FILTER (ca = cb) / sum(sim) - (SELECT sum(d * d) FROM d) / (4 * sum(sim) * sum(sim)), 6) AS modularity FROM m"""),
     "supernode_graph": (lambda c: compare.supernode_graph(usage.similarity_pairs(c.access), _by_tier(c)), _LABELS + """, n AS (SELECT cluster, count(*) AS n FROM by_tier GROUP BY cluster), m AS (SELECT least(x.cluster, y.cluster) AS p, greatest(x.cluster, y.cluster) AS q, sum(sim) AS s, count(*) AS pairs FROM jaccard JOIN by_tier x ON x.sid = a JOIN by_tier y ON y.sid = b WHERE x.cluster <> y.cluster GROUP BY ALL)
         SELECT * FROM (SELECT p AS from_cluster, q AS to_cluster, round(s / (u.n * v.n), 6) AS weight, pairs FROM m JOIN n u ON u.cluster = p JOIN n v ON v.cluster = q) WHERE weight > 0.01"""),
     "pivot_tables": (lambda c: compare.pivot_tables(_by_tier(c), c.access), _LABELS + "SELECT cluster, tname, members FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY members DESC, tname) AS r FROM (SELECT cluster, tname, count(DISTINCT sid) AS members FROM cat_access JOIN by_tier USING (sid) GROUP BY ALL)) WHERE r <= 5"),
     "domain_tables": (lambda c: compare.domain_tables(_by_tier(c), c.access), _LABELS + ", u AS (SELECT cluster, tname, count(DISTINCT sid) AS members FROM cat_access JOIN by_tier USING (sid) GROUP BY ALL), n AS (SELECT cluster, count(*) AS n FROM by_tier GROUP BY cluster) SELECT cluster, tname, CASE WHEN 2 * members > n THEN 'core' ELSE 'peripheral' END AS role, count(*) OVER (PARTITION BY tname) > 1 AS cross FROM u JOIN n USING (cluster)"),
-    "co_association": (lambda c: compare.co_association([_labels(c), _by_tier(c)]), _LABELS + "SELECT a, b, round(sum(n) / 2.0, 6) AS fraction FROM (SELECT x.sid AS a, y.sid AS b, 1 AS n FROM labels x JOIN labels y ON x.cluster = y.cluster AND x.sid < y.sid UNION ALL SELECT x.sid, y.sid, 1 FROM by_tier x JOIN by_tier y ON x.cluster = y.cluster AND x.sid < y.sid) GROUP BY ALL"),
+    "co_association": (lambda c: compare.co_association(usage.shared_table_pairs(c.access), [_labels(c), _by_tier(c)]), _LABELS + """, agree AS (SELECT a, b, CAST(x.cluster = y.cluster AS INTEGER) + CAST(u.cluster = v.cluster AS INTEGER) AS n FROM pairs JOIN labels x ON x.sid = a JOIN labels y ON y.sid = b JOIN by_tier u ON u.sid = a JOIN by_tier v ON v.sid = b)
+        SELECT a, b, round(n / 2.0, 6) AS fraction FROM agree WHERE n > 0"""),
     # users, uploads, events
     "user_rollup": (lambda c: c.table("customer").join(c.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("uploads"), F.sum(F.col("o_orderkey") % 7).alias("sessions")), "c_custkey", "left").select("c_custkey", F.coalesce("uploads", F.lit(0)).cast("long").alias("uploads"), F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions")), "WITH o AS (SELECT o_custkey, count(*) AS u, CAST(sum(o_orderkey % 7) AS BIGINT) AS s FROM orders GROUP BY 1) SELECT c_custkey, coalesce(u, 0) AS uploads, coalesce(s, 0) AS sessions FROM customer LEFT JOIN o ON o_custkey = c_custkey"),
     "project_rollup": (lambda c: c.table("customer").join(c.table("orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_mktsegment").alias("project")).agg(F.count("o_orderkey").alias("upload_count")), "WITH j AS (SELECT c_mktsegment, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey) SELECT c_mktsegment AS project, count(o_orderkey) AS upload_count FROM j GROUP BY 1"),
@@ -89,5 +90,5 @@ QUERIES = {
     "export_dot": (lambda c: c.connections.select(F.format_string('  "%s" -> "%s" [label="%s"];', "from_id", "to_id", "conn_type").alias("line")), """SELECT concat('  "', from_id, '" -> "', to_id, '" [label="', conn_type, '"];') AS line FROM cat_connection"""),
     "export_mermaid": (lambda c: c.edges.select(F.format_string("  %s --> %s", "src", "dst").alias("line")), "SELECT concat('  ', src, ' --> ', dst) AS line FROM edges"),
     "doc_table": (lambda c: usage.table_profiles(c.access).select("tname", F.format_string("Table %s: %d writers, %d readers, %d lookup users", "tname", "writer_count", "reader_count", "lookup_count").alias("doc")), "SELECT tname, concat('Table ', tname, ': ', writers, ' writers, ', readers, ' readers, ', lookup_users, ' lookup users') AS doc FROM usage"),
-    "doc_session": (lambda c: c.tiered.join(views.explorer_detail(c.session, c.connections), "sid").select("sid", F.format_string("Session %s in tier %d of %s: reads %s; writes %s; %d edges", "name", "tier", "workflow", F.array_join("sources", ","), F.array_join("targets", ","), "total_connections").alias("doc")), "SELECT sid, concat('Session ', name, ' in tier ', tier, ' of ', workflow, ': reads ', sources, '; writes ', targets, '; ', (SELECT count(*) FROM cat_connection WHERE sid IN (from_id, to_id)), ' edges') AS doc FROM cat_s"),
+    "doc_session": (lambda c: c.tiered.join(views.explorer_detail(c.session, c.connections), "sid").select("sid", F.format_string("Session %s in tier %d of %s: reads %s; writes %s; %d edges", "name", "tier", "workflow", F.array_join("sources", ","), F.array_join("targets", ","), "total_connections").alias("doc")), "SELECT sid, concat('Session ', name, ' in tier ', tier, ' of ', workflow, ': reads ', sources, '; writes ', targets, '; ', (SELECT count(*) FROM conn_ends WHERE node = sid), ' edges') AS doc FROM cat_s"),
 }
