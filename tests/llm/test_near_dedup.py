@@ -8,7 +8,13 @@ from tests.llm.oracle import rows_of_frame, rows_of_sql, thue_morse
 from weftline.llm import near_dedup as n
 
 
-def brute(rows, size, percent):
+def labels(rows, size, percent):
+    """The component of each row as a number; rows without words have their own, once for each id and text."""
+    sets, root = linked(rows, size, percent)
+    return [root(k) if sets[k] else repr(rows[k]) for k in range(len(rows))]
+
+
+def linked(rows, size, percent):
     def shingles(text):
         w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if x]
         return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
@@ -26,6 +32,11 @@ def brute(rows, size, percent):
             same = len(sets[a] & sets[b])
             if same and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
                 parent[root(a)] = root(b)
+    return sets, root
+
+
+def brute(rows, size, percent):
+    sets, root = linked(rows, size, percent)
     groups = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
@@ -51,7 +62,7 @@ def corpus(seed):
             texts.append(" ".join(own))
         texts.append(" ".join(passage + words[:30]))
         texts.append(" ".join(words).upper())
-    rows = [(k + 3, t) for k, t in enumerate(texts)]
+    rows = [(k + 3 if k % 6 else None, t) for k, t in enumerate(texts)]  # null ids among near and exact copies
     rng.shuffle(rows)
     return [*rows, (900, ""), (901, None), (902, " \n"), (903, "one"), (904, "ONE"), (905, "one two"), (906, "one\ttwo"), (907, "a b c"), (None, "one two"), (None, "only here words"), (907, "a b c"), (908, "é ü x y z"), (909, "É ü x y z")]
 
@@ -86,7 +97,21 @@ def test_family_of_edited_copies(spark):
 def test_deduplicated(spark):
     rows = [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, "other", "z"), (3, "other", "z"), (3, "second text", "z"), (None, "no id", "q"), (None, "no id", "q"), (None, "other", "q"), (5, None, "e"), (6, "", "e")]
     out = n.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id", "text", "lang"]).collect()
-    assert sorted(str(r.doc_id) for r in out) == ["1", "3", "5", "6", "None"]
+    # unrelated texts under one id are documents of their own, and clean ones stay
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", rows[0][1]), ("3", "other"), ("3", "second text"), ("5", None), ("6", ""), ("None", "no id")], key=str)
+
+
+def test_deduplicated_against_all_pairs(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r.doc_id, r.text) for r in n.deduplicated(docs, ["doc_id", "text"]).collect()]
+    parts = {}
+    for (i, t), c in zip(rows, labels(rows, 5, 80), strict=True):
+        parts.setdefault(c, []).append((i is None, i or 0, i, t))
+    least = [min(p, key=lambda x: x[:2]) for p in parts.values()]
+    assert sorted(map(str, (i for i, _ in out))) == sorted(str(x[2]) for x in least)
+    of = {(i, t): c for (i, t), c in zip(rows, labels(rows, 5, 80), strict=True)}
+    assert len({of[r] for r in out}) == len(out) == len(parts)
 
 
 def test_words_that_polynomials_confuse(spark):

@@ -12,19 +12,21 @@
 Groups of thousands of near copies share many band keys, so pairs are not made within a key. First each
 member is compared with its key's hub (the most central class of the key), and of the hubs of a class the
 most similar one is verified: a number of pairs linear in the classes, which joins the core of a large group.
-Then the keys that still hold two components or more are finished. Their members get an anchor, which nearly
-all of a large group share. Members with one anchor are compared by their exact differences from it, with a
-prefix filter on these small sets that leaves few pairs; members with different anchors and different
-components meet in their keys. So each pair that shares a key is verified, shown to be impossible, or already
-in one component, and no link between different components is lost.
+Then the keys that still hold two components or more are finished. Each has an anchor, the most central hub
+that its members know, which nearly all keys of a large group share. Members are compared by their exact
+differences from their keys' anchors, with a prefix filter on these small sets. Tokens that many members of an
+anchor differ by come last in the filter's order, so what meets in it are rare edits, not the common text or
+the anchor's own. A pair that meets also needs difference parities (``PARITY`` words of 64 bits) that are as near as
+a link asks for. So each pair that shares a key is verified, shown to be impossible, or already in one
+component, and no link between different components is lost.
 
 Shingle sets are only made for classes that share a key, and pairs carry them only for survivors. Every
 table that is used twice is written to the shared folder.
 
 Defined cases. Null or empty text, or no words: 0 shingles, linked with nothing. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows: each is returned; they share their result. A
-``doc_id`` with several texts: each text counts, under that id. Null ``doc_id``: linked to its class, never
-a class's id; kept only if its class has no id. Empty table: no rows. Other columns are ignored. Texts are
+``doc_id`` with several texts: each text counts, under that id. Null ``doc_id``: linked like any other, never
+a component's id; a component of such rows alone has a null id, and its rows are kept. Empty table: no rows. Other columns are ignored. Texts are
 never cut. 64-bit hashes stand for shingles and 64-bit fingerprints for classes.
 """
 
@@ -49,6 +51,11 @@ BANDS, ROWS = 32, 6
 VALUES, BATCH, MISS = 128, 32, 1e-6
 #: Contract of the query: words of a shingle, and the least similarity in percent.
 SHINGLE_WORDS, PERCENT = 3, 85
+#: A token is common if one in so many of an anchor's members (in a batch) differ by it.
+COMMON = 50
+#: 64-bit words of parities: each bit says whether an odd number of a difference's tokens fall on it, so two
+#: sets differ by at least as many tokens as their parities by bits.
+PARITY = 8
 
 _random = np.random.default_rng(20240607)
 _FACTOR = (_random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -72,10 +79,10 @@ def shingle_sets(texts, size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(joined[a : b - size + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for h in hashes[a:b]:
-                whole = textvec.mix(np.array([whole * np.uint64(0xE7037ED1A0B428DB) + h]))[0]
-            out.append(np.array([whole]))
+            whole = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                whole = textvec.mix(whole * np.uint64(0xE7037ED1A0B428DB) + hashes[k : k + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -199,9 +206,8 @@ def components(links: DataFrame) -> DataFrame:
 def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, anchor, size, d, linked, tokens) of pairs (node, anchor).
 
-    ``d`` is the size of the symmetric difference, ``linked`` whether the two are similar enough. Tokens are
-    the first elements of the difference, those that the anchor lacks before those that it has, each by
-    value; at most one more than the largest difference that a linked pair of this size can have.
+    Tokens are the symmetric difference of the two sets, ``d`` their number, and ``linked`` whether the two are
+    similar enough.
     """
 
     def run(batches):
@@ -209,43 +215,97 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rows = []
             for x, y in zip(batch.column("x_items"), batch.column("y_items"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                own, lost = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x], y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]
-                same = len(x) - len(own)
-                most = (100 - percent) * len(x) // percent + 1
-                rows.append((len(x), len(own) + len(lost), 100 * same >= percent * (len(x) + len(y) - same), np.concatenate((own, lost))[:most].astype(np.int64)))
-            columns = [batch.column("node"), batch.column("anchor"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True))]
+                apart = np.setxor1d(x, y, assume_unique=True)
+                same = (len(x) + len(y) - len(apart)) // 2
+                rows.append((len(x), len(apart), 100 * same >= percent * (len(x) + len(y) - same), apart.tobytes()))
+            columns = [batch.column("node"), batch.column("anchor"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "anchor", "size", "d", "linked", "tokens"])
 
     with_anchor = pairs.join(sets.select(F.col("node").alias("anchor"), F.col("items").alias("y_items")), "anchor")
     both = with_anchor.join(sets.select("node", F.col("items").alias("x_items")), "node")
-    return both.select("node", "anchor", "x_items", "y_items").mapInArrow(run, "node long, anchor long, size long, d long, linked boolean, tokens array<long>")
+    return both.select("node", "anchor", "x_items", "y_items").mapInArrow(run, "node long, anchor long, size long, d long, linked boolean, tokens binary")
+
+
+def common_tokens(apart: DataFrame) -> DataFrame:
+    """(anchor, common): of each anchor, the tokens that at least one in ``COMMON`` of its members in a batch
+    differ by, as packed tokens from the least to the most frequent.
+
+    They only set an order, so counts of batches do; each adds at most ``COMMON`` times a member's tokens.
+    """
+
+    def run(batches):
+        for batch in batches:
+            anchors = np.array(batch.column("anchor").to_pylist(), np.int64)
+            found = [np.frombuffer(t.as_buffer(), np.int64) for t in batch.column("tokens")]
+            for anchor in np.unique(anchors).tolist():
+                own = np.flatnonzero(anchors == anchor)
+                if len(own) > 1:
+                    tokens, n = np.unique(np.concatenate([found[k] for k in own.tolist()]), return_counts=True)
+                    keep = (n > 1) & (n * COMMON >= len(own))
+                    tokens, n = tokens[keep], n[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), anchor)), pa.array(tokens), pa.array(n, pa.int64())], ["anchor", "token", "n"])
+
+    counted = apart.select("anchor", "tokens").mapInArrow(run, "anchor long, token long, n long").groupBy("anchor", "token").agg(F.sum("n").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("n", "token")))
+    return counted.groupBy("anchor").agg(F.transform(ordered, lambda x: x.token).alias("common"))
+
+
+def rarest_first(apart: DataFrame, percent: int) -> DataFrame:
+    """``apart`` with the tokens ordered, those that are not common first, and cut to at most one more than
+    the largest difference that a linked pair of this size can have: no more are in any prefix."""
+
+    def run(batches):
+        for batch in batches:
+            cut, parities = [], []
+            for size, tokens, common in zip(batch.column("size").to_pylist(), batch.column("tokens"), batch.column("common"), strict=True):
+                tokens = np.frombuffer(tokens.as_buffer(), np.int64)
+                odd = np.bincount(tokens & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                if common.is_valid:
+                    # places in the common order; a token that is not in it comes before all
+                    common = common.values.to_numpy()
+                    order = np.argsort(common, kind="stable")
+                    at = order[np.minimum(np.searchsorted(common, tokens, sorter=order), len(common) - 1)]
+                    tokens = tokens[np.argsort(np.where(common[at] == tokens, at, -1), kind="stable")]
+                cut.append(tokens[: (100 - percent) * size // percent + 1])
+            columns = [batch.column(c) for c in ("node", "anchor", "size", "d")]
+            words = [pa.array(w) for w in np.array(parities, np.int64).reshape(-1, PARITY).T]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.list_(pa.int64())), *words], ["node", "anchor", "size", "d", "tokens", *odd_words])
+
+    odd_words = [f"odd{k}" for k in range(PARITY)]
+    both = apart.join(common_tokens(apart), "anchor", "left").select("node", "anchor", "size", "d", "tokens", "common")
+    return both.mapInArrow(run, "node long, anchor long, size long, d long, tokens array<long>, " + ", ".join(f"{w} long" for w in odd_words))
 
 
 def _same_anchor(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes with one anchor and different labels that can be similar enough.
+    """(a, b): pairs of nodes with a common anchor and different labels that can be similar enough.
 
     Two sets differ by ``d1 + d2`` less twice what their differences from the anchor share, so similar ones
     share at least ``alpha`` of it, and so one of the first ``d - alpha + 1`` elements of either in any common
     order. If ``d1 + d2`` alone is small enough, both are linked to the anchor and have one label.
     """
-    tokens = found.select("node", "anchor", "label", "size", "d", F.posexplode("tokens").alias("pos", "token"))
+    words = [f"odd{k}" for k in range(PARITY)]
+    tokens = found.select("node", "anchor", "label", "size", "d", *words, F.posexplode("tokens").alias("pos", "token"))
     right = tokens.select(*[F.col(c).alias(f"r_{c}") for c in tokens.columns])
     together = F.col("d") + F.col("r_d")
     apart = F.expr(f"({100 - percent} * (size + r_size)) div {100 + percent}")
     alpha = F.ceil((together - apart) / 2)
     met = (tokens.anchor == right.r_anchor) & (tokens.token == right.r_token) & (tokens.node < right.r_node) & (tokens.label != right.r_label)
     met = met & (together > apart) & (F.col("pos") <= F.col("d") - alpha) & (F.col("r_pos") <= F.col("r_d") - alpha)
+    met = met & (sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"r_{w}"))) for w in words) <= apart)
     return tokens.join(right, met).select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, mark (hash of the text), node, n_shingles, component_id and kept of every document."""
+    """doc_id, mark (hash of the text), node, label (least node of the component; of unlinked nodes their
+    own), n_shingles, component_id and kept of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(sketch(rows, size), "sketches")
-    classes = sketches.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    own = sketches.where("doc_id is not null").select("doc_id", F.col("node").alias("s_node"), "bands", "values")
-    reps = own.join(classes, (own.s_node == classes.node) & (own.doc_id == classes.rep)).dropDuplicates(["node"]).select("node", "rep", "bands", "values")
-    keyed = reps.select("node", F.explode("bands").alias("key"))
+    # rows of a class have one signature; the row of least id (null: last) and mark stands for it
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("m")
+    classes = sketches.where("node is not null").groupBy("node").agg(least, F.first("bands").alias("bands"), F.first("values").alias("values"))
+    classes = stored(classes.select("node", F.col("m.doc_id").alias("rep"), F.col("m.mark").alias("mark"), "bands", "values"), "classes")
+    keyed = classes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowded = stored(keyed.join(shared, "key"), "band-members")  # (key, node, n)
     # the hub of a key is its most central class: the one whose keys hold most members
@@ -253,8 +313,9 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     weighed = crowded.join(central, "node").select("key", "node", "weight")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h"))
     members = stored(crowded.select("key", "node").join(hubs, "key").select("key", "node", F.col("h.node").alias("hub"), F.col("h.weight").alias("weight")), "hub-members")
-    signatures = stored(reps.join(central, "node").select("node", "rep", "values"), "signatures")
-    texts = signatures.select(F.col("node").alias("want"), F.col("rep").alias("doc_id")).join(rows, "doc_id")
+    signatures = stored(classes.join(central, "node").select("node", "rep", "mark", "values"), "signatures")
+    marked = rows.withColumn("t_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = marked.join(signatures.select(F.col("node").alias("want"), "rep", "mark"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t_mark") == F.col("mark")))
     sets = stored(_sets(texts, size).dropDuplicates(["node"]), "shingle-sets")
 
     def with_values(pairs: DataFrame) -> DataFrame:
@@ -269,31 +330,26 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     placed = members.join(labels, "node", "left").select("key", "node", "hub", "weight", F.coalesce("label", "node").alias("label"))
     in_key = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = in_key.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("m.label").alias("main"))
-    open_ = stored(placed.join(main, "key"), "open-keys")
-    # a node's anchor: the most central hub of its keys, or of the nodes that it shares a key with
+    parted = in_key.groupBy("key").agg(F.count("*").alias("labels")).where("labels > 1").select("key")
+    open_ = stored(placed.join(parted, "key"), "open-keys")
+    # a key's anchor: the most central hub of all keys that its members are in
     first = open_.groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("anchor"))
     of_key = open_.select("key", "node").join(first, "node").groupBy("key").agg(F.max("anchor").alias("anchor"))
-    anchors = stored(open_.select("key", "node", "label").join(of_key, "key").groupBy("node", "label").agg(F.max("anchor").alias("m")).select("node", "label", F.col("m.hub").alias("anchor")), "anchors")
+    anchors = stored(open_.select("key", "node", "label").join(of_key, "key").select("node", "label", F.col("anchor.hub").alias("anchor")).distinct(), "anchors")
     apart = stored(differences(anchors.where("node <> anchor").select("node", "anchor"), sets, percent), "differences")
-    near = _same_anchor(apart.join(anchors.select("node", "label"), "node"), percent)
-
-    sided = open_.select("key", "node", "label", "main").join(anchors.select("node", "anchor"), "node")
-    left = sided.where("label <> main").select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("anchor").alias("a_anchor"))
-    right = sided.select(F.col("key").alias("r_key"), F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("anchor").alias("b_anchor"), "main")
-    far = left.join(right, (left.key == right.r_key) & (left.a_label != right.b_label) & (left.a_anchor != right.b_anchor) & ((right.b_label == right.main) | (left.a < right.b)))
-    rest = near.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    ordered = rarest_first(apart, percent)
+    rest = stored(_same_anchor(ordered.join(anchors, ["node", "anchor"]), percent), "near-pairs")
     more = verified(plausible(with_values(rest), percent), sets, percent).unionByName(apart.where("linked").select(F.col("node").alias("a"), F.col("anchor").alias("b")))
     more = stored(more, "more-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    ids = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
-    grouped = labels.join(ids, "label").select("node", "component_id")
-    final = classes.join(grouped, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    named = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    final = named.join(ids, "label").select("node", "label", "component_id")
     out = sketches.select("doc_id", "mark", "n_shingles", "node").join(final, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "mark", "node", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "mark", "node", "label", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -302,19 +358,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def deduplicated(docs: DataFrame, columns: list[str], size: int = 5, percent: int = 80) -> DataFrame:
-    """``columns`` of one document of each component.
+    """``columns`` of one document of each component: the one of least id (null: last), then least hash of
+    its text; of its repeated rows one.
 
-    Of several texts with the kept id, and of repeated rows, one stays; of rows without id whose class has
-    none, one of each class. Rows without words stay, once for each id and text.
+    Several texts under one id are documents of their own. Rows without words stay, once for each id and text.
     """
-    kept = _grouped(docs, size, percent).where("kept")
-    one = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("node")).alias("class")).agg(F.min("mark").alias("k_mark"), F.count("*").alias("n"))
-    one = stored(one.select(F.col("doc_id").alias("k_id"), "k_mark", "n"), "kept-ids")
+    found = _grouped(docs, size, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("m")
+    linked = found.where("node is not null").groupBy("label").agg(least).select(F.col("m.doc_id").alias("k_id"), F.col("m.mark").alias("k_mark"))
+    wordless = found.where("node is null").select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark"))
+    chosen = stored(linked.unionByName(wordless).groupBy("k_id", "k_mark").agg(F.count("*").alias("n")), "kept-ids")
     rows = docs.select(*columns).withColumn("k_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(one.select("k_id", "k_mark"), rows.doc_id.cast("long").eqNullSafe(one.k_id) & (rows.k_text == one.k_mark), "left_semi")
-    if one.where("n > 1").limit(1).count():  # repeated rows, or texts, of one id
-        joined = joined.dropDuplicates(["doc_id", "k_text"])
-    return joined.select(*columns)
+    kept = rows.join(chosen, rows.doc_id.cast("long").eqNullSafe(chosen.k_id) & (rows.k_text == chosen.k_mark), "left_semi")
+    repeated = found.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "k_text"])
+    return kept.select(*columns)
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
