@@ -7,7 +7,8 @@ All but the last return the columns of ``documents``:
 2. ``near_dedup``: of documents with near-equal text the one with the smallest id stays (five-word shingles,
    similarity 0.8 or more)
 3. ``secret_scan``: reported secrets in the text are replaced by their kind; all documents stay
-4. ``mixing``: documents are selected to target weights; one that is used in two epochs comes twice
+4. ``mixing``: documents are selected to target weights; one that is used in two epochs comes twice,
+   and one that is used in part is cut after that many words
 5. ``bpe``: token ids of the text, with their number and digests
 
 Nulls, empty tables, repeated rows and extra columns are as the operators define them.
@@ -45,7 +46,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = mixing.mix(docs, COLUMNS)
     uses = F.col("mx_epochs") + F.when(F.col("mx_part") > 0, 1).otherwise(0)
-    return chosen.withColumn("mx_use", F.explode(F.sequence(F.lit(1).cast("long"), uses.cast("long")))).select(*COLUMNS)
+    used = chosen.withColumn("mx_use", F.explode(F.sequence(F.lit(1).cast("long"), uses.cast("long"))))
+    cut = (F.col("mx_use") > F.col("mx_epochs")) & (F.col("mx_part") < F.col("mx_tokens"))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))  # each with the space before it
+    part = used.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("mx_part").cast("int")), "")).otherwise(F.col("text")))
+    return part.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
