@@ -12,39 +12,97 @@ from pyspark.sql import functions as F
 from weftline.llm import toxicity as t
 
 
+def grams(text):
+    padded = "     " + text.lower() + " "
+    return [padded[k - 4 : k + 1] for k in range(5, len(padded))]
+
+
+def key(g):
+    out = 0
+    for ch in g:
+        out = out << t.BITS | ord(ch)
+    return out
+
+
+class Plain:
+    """Both models as dictionaries, straight from their definition."""
+
+    def __init__(self, bad, fine):
+        self.counts = [Counter(g for x in texts for g in grams(x)) for texts in (bad, fine)]
+        self.every = set(self.counts[0]) | set(self.counts[1])
+        scale = sum(self.counts[0].values()) / sum(self.counts[1].values())
+        self.scales, self.discounts = (1.0, scale), []
+        for c, r in zip(self.counts, self.scales, strict=True):
+            ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+            self.discounts.append(r * min(0.95, max(0.1, ones / (ones + 2 * twos))))
+        self.levels, above = {}, self.every
+        for n in (4, 3, 2, 1):
+            self.levels[n] = Counter(g[-n:] for g in above)
+            above = set(self.levels[n])
+
+    def lower(self, s):
+        level = self.levels[len(s)]
+        if len(s) == 1:
+            return level[s] / sum(level.values())
+        same = [x for x in level if x[:-1] == s[:-1]]
+        d = t.LOWER_DISCOUNT
+        return (max(level[s] - d, 0) + d * len(same) * self.lower(s[1:])) / sum(level[x] for x in same)
+
+    def back(self, k, ctx):
+        same = [x for x in self.counts[k] if x[:4] == ctx]
+        n = self.scales[k] * sum(self.counts[k][x] for x in same)
+        return (self.discounts[k] * len(same) + t.SHARED_MASS) / (n + t.SHARED_MASS), n
+
+    def ratio(self, g):
+        """Of a gram that either class has; of another the shared factor cancels."""
+        (a, na), (b, nb) = self.back(0, g[:4]), self.back(1, g[:4])
+        if g not in self.every:
+            return math.log(a) - math.log(b)
+        p = [max(self.scales[k] * self.counts[k][g] - self.discounts[k], 0) / (n + t.SHARED_MASS) + w * self.lower(g[1:]) for k, (w, n) in enumerate(((a, na), (b, nb)))]
+        return math.log(p[0]) - math.log(p[1])
+
+
+BAD, FINE = ["you idiot go", "idiot twice idiot", "go you"], ["you are fine", "we go there", "are you there", "fine fine we are fine"]
+
+
+def table_of(spark):
+    docs = spark.createDataFrame([(x, 1) for x in BAD] + [(x, 0) for x in FINE], "text string, toxic int")
+    return t.log_ratios(t.gram_counts(docs))
+
+
 def test_ratios_against_dictionaries(spark):
-    bad, fine = ["you idiot go", "idiot twice idiot"], ["you are fine", "we go there", "are you there"]
-    docs = spark.createDataFrame([(x, 1) for x in bad] + [(x, 0) for x in fine], "text string, toxic int")
-    got = {r.key: r.llr for r in t.log_ratios(t.gram_counts(docs)).collect()}
-
-    def grams(text):
-        padded = "    " + "" + " " + text + " "
-        return [padded[k - 4 : k + 1] for k in range(5, len(padded))]
-
-    counts = [Counter(g for x in texts for g in grams(x)) for texts in (bad, fine)]
-    every = set(counts[0]) | set(counts[1])
-    suffix = Counter(g[2:] for g in every)
-    p1 = Counter(s[2] for s in suffix)
-
-    def p3(s):
-        mid = [x for x in suffix if x[:2] == s[:2]]
-        return (max(suffix[s] - 0.75, 0) + 0.75 * len(mid) * p1[s[2]] / len(suffix)) / sum(suffix[x] for x in mid)
-
-    def p(c, g):
-        ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
-        d = min(0.95, max(0.1, ones / (ones + 2 * twos)))
-        same = [x for x in c if x[:4] == g[:4]]
-        return (max(c[g] - d, 0) + (d * len(same) + t.SHARED_MASS) * p3(g[2:])) / (sum(c[x] for x in same) + t.SHARED_MASS)
-
-    def key(g):
-        out = 0
-        for ch in g:
-            out = out << t.BITS | ord(ch)
-        return out
-
-    assert set(got) == {key(g) for g in every}
-    for g in every:
-        assert got[key(g)] == pytest.approx(math.log(p(counts[0], g)) - math.log(p(counts[1], g)), abs=1e-9)
+    got = {r.key: r.llr for r in table_of(spark).collect()}
+    plain = Plain(BAD, FINE)
+    contexts = {g[:4] for g in plain.every}
+    assert set(got) == {key(g) for g in plain.every} | {t.CONTEXT | key(c) for c in contexts}
+    for g in plain.every:
+        assert got[key(g)] == pytest.approx(plain.ratio(g), abs=1e-9)
+    for c in contexts:
+        assert got[t.CONTEXT | key(c)] == pytest.approx(math.log(plain.back(0, c)[0]) - math.log(plain.back(1, c)[0]), abs=1e-9)
+
+
+def test_lower_orders_sum_to_one(spark):
+    plain = Plain(BAD, FINE)
+    for n in (1, 2, 3, 4):
+        for ctx in {s[:-1] for s in plain.levels[n]}:
+            assert sum(plain.lower(ctx + c) for c in plain.levels[1] if n == 1 or ctx + c in plain.levels[n]) <= 1 + 1e-9
+
+
+def test_features_against_dictionaries(spark):
+    """Texts with grams and contexts that no labelled text has, scored word by word."""
+    plain = Plain(BAD, FINE)
+    texts = ["you idiots go", "zzz unseen words", "we are fine idiot", "", "Idiot"]
+    got = t._features(texts, t.ratio_table(table_of(spark)))
+    for k, text in enumerate(texts):
+        each = [plain.ratio(g) for g in grams(text)]
+        words, at = [], 0
+        for w in text.split():
+            words.append(sum(each[at : at + len(w) + 1]))
+            at += len(w) + 1
+        words = words or [sum(each)]  # a text without words is one blank
+        top = sorted(words, reverse=True)[:3]
+        extra = 20 * sum(min(max(w - t.WORD_LOW, 0), t.WORD_HIGH - t.WORD_LOW) for w in words) / len(words)
+        assert got[k] == pytest.approx([sum(each) / len(each), extra, top[0], sum(top) / 3], abs=1e-5)
 
 
 def test_probabilities_sum_to_one(spark):

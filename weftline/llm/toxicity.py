@@ -1,11 +1,14 @@
 """Toxicity: class-conditional Kneser-Ney character models of toxic and ordinary labelled text.
 
-Both classes have an interpolated Kneser-Ney model of characters given the ``ORDER - 1`` before. What a
-class has seen too rarely backs off to continuation counts that both classes share, so rare expressions
-weigh alike on both sides and cancel; ``SHARED_MASS`` pseudo-counts of the shared distribution in every
-context damp what few texts have shown. Every character of a text then has a log-likelihood ratio, and a word
-their sum. A text is described by its ratio a character, by what its words have above a bound, a word, and by
-its most toxic word and the mean of its three most toxic; a logistic function turns these into a score.
+Both classes have an interpolated Kneser-Ney model of characters given the ``ORDER - 1`` before. What a class
+has not seen backs off to one distribution that both share: continuation counts of both classes' grams, by
+Kneser-Ney recursion over all lower orders down to single characters. So rare expressions weigh alike on both
+sides; a character that neither class has seen in its context still has the ratio of the two backoff weights
+of that context. ``SHARED_MASS`` pseudo-counts of the shared distribution in every context damp what few texts
+have shown, and ordinary counts are scaled to the toxic class's size, as the larger class would otherwise back
+off less and make all that is new look toxic. Every character of a text then has a log-likelihood ratio, and a
+word their sum. A text is described by its ratio a character, by what its words have above a bound, a word, and
+by its most toxic word and the mean of its three most toxic; a logistic function turns these into a score.
 
 Labelled rows are split by ``crc32(doc_id as text) % 5``: 0 is held out and never read, 1 to 3 give the
 counts, 4 fits the logistic function on at most ``CALIBRATION_ROWS`` rows (chosen by hash). Counts cover
@@ -17,7 +20,7 @@ texts (about ``CHUNK_CHARS`` characters, dealt by a hash of the row) with the ra
 
 Defined cases. Null or empty text: the score of a text without words. Null ``doc_id``: scored, never
 learned from, not held out. A document with several label rows counts as toxic if any says 1. No toxic
-or no ordinary labelled text: the ratios are flat and scores come from the prior. Long texts are cut into
+or no ordinary labelled text: all ratios are 0 and scores come from the prior. Long texts are cut into
 windows for the arrays only; no character is skipped. Empty table: no rows.
 """
 
@@ -42,13 +45,19 @@ BROADCAST_GRAMS, CHUNK_CHARS = 1 << 22, 1 << 25
 CALIBRATION_ROWS = 20_000
 #: Pseudo-counts of the shared distribution in each context of a class.
 SHARED_MASS = 30.0
+#: Discount of continuation counts in the lower orders.
+LOWER_DISCOUNT = 0.75
+#: Set in the keys of contexts, whose ratio is that of the classes' backoff weights.
+CONTEXT = 1 << (ORDER * BITS)
 #: A word's ratio counts towards the excess between these bounds.
 WORD_LOW, WORD_HIGH = 1.5, 6.5
 #: Logistic weights before any label is seen (bias, mean, excess, top word, top three), and how firmly they hold.
-PRIOR, PRIOR_STRENGTH = (-5.0, 0.0, 1.0, 0.3, 0.5), 0.3
+PRIOR, PRIOR_STRENGTH = (-5.0, 1.0, 1.0, 0.3, 0.5), 0.3
 FEATURES = 4
 #: Texts that are turned into arrays at once when counting.
 PART_TEXTS = 128
+#: Grams that a counting task holds before it adds them up, and gives out sums if more than half are left.
+HELD_GRAMS = 1 << 20
 _PAD = "\n" * (ORDER - 1)
 _LOW = (1 << BITS) - 1
 
@@ -81,22 +90,35 @@ def _grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(key, tox, ord): counts of every gram in toxic and in ordinary texts; ``docs`` has text, toxic."""
 
+    def emit(keys, tox, both):
+        for at in range(0, len(keys), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(tox[part]), pa.array(both[part] - tox[part])], ["key", "tox", "ord"])
+
+    def merged(held):
+        """Sums by key of lists of (keys, tox, both)."""
+        keys, of = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sums = [np.bincount(of, np.concatenate([h[k] for h in held]), len(keys)).astype(np.int64) for k in (1, 2)]
+        return keys, *sums
+
     def count(batches):
-        keys, tox, both = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
         for batch in batches:
             texts, bad = batch.column("text").to_pylist(), [x == 1 for x in batch.column("toxic").to_pylist()]
             for at in range(0, len(texts), PART_TEXTS):
                 part = slice(at, at + PART_TEXTS)
                 found, text, _ = _grams(texts[part])
-                marked = np.array(bad[part], bool)[text] if len(found) else np.zeros(0, bool)
-                found, of = np.unique(found, return_inverse=True)
-                more = np.bincount(of, minlength=len(found)), np.bincount(of, marked, len(found)).astype(np.int64)
-                keys, of = np.unique(np.concatenate((keys, found)), return_inverse=True)
-                both = np.bincount(of, np.concatenate((both, more[0])), len(keys)).astype(np.int64)
-                tox = np.bincount(of, np.concatenate((tox, more[1])), len(keys)).astype(np.int64)
-        for at in range(0, len(keys), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(tox[part]), pa.array(both[part] - tox[part])], ["key", "tox", "ord"])
+                marked = np.array(bad[part], np.int64)[text] if len(found) else np.zeros(0, np.int64)
+                held.append(merged([(found, marked, np.ones(len(found), np.int64))]))
+                size += len(held[-1][0])
+                if size > HELD_GRAMS:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if 2 * size > HELD_GRAMS:  # partial sums: the shuffle adds them up
+                        yield from emit(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from emit(*merged(held))
 
     parts = docs.select("text", "toxic").mapInArrow(count, "key long, tox long, ord long")
     return parts.groupBy("key").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
@@ -107,27 +129,53 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
+def _last(n: int):
+    """The last ``n`` characters of the key."""
+    return F.expr(f"key & {(1 << n * BITS) - 1}L")
+
+
+def lower_orders(grams: DataFrame) -> DataFrame:
+    """(key, p) of every suffix of ``ORDER - 1`` characters of the distinct ``grams``: the chance of its last
+    character after the others, from the number of different characters that come before each suffix."""
+    levels = []
+    for n in range(ORDER - 1, 0, -1):
+        grams = stored(grams.groupBy(_last(n).alias("key")).agg(F.count("*").alias("cont")), "toxicity-suffixes")
+        levels.append((n, grams))
+    _, single = levels.pop()
+    total = single.agg(F.sum("cont").alias("all"))
+    found = single.crossJoin(F.broadcast(total)).select("key", (F.col("cont") / F.col("all")).alias("p"))
+    for n, level in reversed(levels):
+        contexts = level.groupBy(F.shiftright("key", BITS).alias("ctx")).agg(F.sum("cont").alias("all"), F.count("*").alias("kinds"))
+        placed = level.withColumn("ctx", F.shiftright("key", BITS)).withColumn("low", _last(n - 1)).join(contexts, "ctx")
+        both = placed.join(found.select(F.col("key").alias("low"), F.col("p").alias("p_low")), "low")
+        p = (F.greatest(F.col("cont") - LOWER_DISCOUNT, F.lit(0.0)) + LOWER_DISCOUNT * F.col("kinds") * F.col("p_low")) / F.col("all")
+        found = both.select("key", p.alias("p"))
+    return found
+
+
 def log_ratios(counts: DataFrame) -> DataFrame:
-    """(key, llr, seen) of every gram: log P(toxic model) - log P(ordinary model)."""
+    """(key, llr): log P(toxic model) - log P(ordinary model) of every gram that either class has, and of every
+    context (``CONTEXT`` is set in its key) log of the ratio of the classes' backoff weights.
+
+    Empty where a class has no text at all.
+    """
     counts = stored(counts, "toxicity-grams")
-    grams = counts.select("*", F.shiftright("key", BITS).alias("ctx"), F.expr(f"key & {(1 << 3 * BITS) - 1}L").alias("suf"))
-    ones = counts.agg(*[F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in ("tox", "ord") for n in (1, 2)]).first()
-    d_tox, d_ord = _discount(ones.tox1, ones.tox2), _discount(ones.ord1, ones.ord2)
-    context = grams.groupBy("ctx").agg(F.sum("tox").alias("tox_all"), F.sum("ord").alias("ord_all"), F.count_if(F.col("tox") > 0).alias("tox_kinds"), F.count_if(F.col("ord") > 0).alias("ord_kinds"))
-    # shared lower orders: in how many different grams a three-character suffix ends, whatever the class
-    suffix = grams.groupBy("suf").agg(F.count("*").alias("cont")).select("suf", "cont", F.shiftright("suf", BITS).alias("mid"), F.expr(f"suf & {_LOW}L").alias("ch"))
-    middle = suffix.groupBy("mid").agg(F.sum("cont").alias("mid_all"), F.count("*").alias("mid_kinds"))
-    single = suffix.groupBy("ch").agg(F.count("*").alias("ch_kinds"))
-    kinds = max(1, suffix.count())
-    p1 = F.col("ch_kinds") / F.lit(float(kinds))
-    p3 = (F.greatest(F.col("cont") - 0.75, F.lit(0.0)) + 0.75 * F.col("mid_kinds") * p1) / F.col("mid_all")
-    lower = suffix.join(middle, "mid").join(single, "ch").select("suf", p3.alias("p3"))
-
-    def p(c: str, d: float):
-        whole = F.col(f"{c}_all")
-        return (F.greatest(F.col(c) - d, F.lit(0.0)) + (d * F.col(f"{c}_kinds") + SHARED_MASS) * F.col("p3")) / (whole + SHARED_MASS)
-
-    return grams.join(context, "ctx").join(lower, "suf").select("key", (F.log(p("tox", d_tox)) - F.log(p("ord", d_ord))).alias("llr"), (F.col("tox") + F.col("ord")).alias("seen"))
+    totals = counts.agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"), *[F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in ("tox", "ord") for n in (1, 2)]).first()
+    balance = totals.tox / totals.ord if totals.tox and totals.ord else 0.0
+    scale = {"tox": 1.0, "ord": balance}
+    discounts = {c: scale[c] * _discount(totals[f"{c}1"], totals[f"{c}2"]) for c in scale}
+    grams = counts.where(F.lit(bool(balance))).select("key", "tox", "ord", F.shiftright("key", BITS).alias("ctx"), _last(ORDER - 1).alias("suf"))
+    # whole counts are summed before they are scaled, so sums do not depend on the order of rows
+    context = grams.groupBy("ctx").agg(*[f for c in scale for f in ((F.sum(c) * scale[c]).alias(f"{c}_all"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds"))])
+    weight = {c: (d * F.col(f"{c}_kinds") + SHARED_MASS) / (F.col(f"{c}_all") + SHARED_MASS) for c, d in discounts.items()}
+    context = stored(context.select("ctx", "tox_all", "ord_all", weight["tox"].alias("tox_back"), weight["ord"].alias("ord_back")), "toxicity-contexts")
+
+    def p(c: str):
+        return F.greatest(F.col(c) * scale[c] - discounts[c], F.lit(0.0)) / (F.col(f"{c}_all") + SHARED_MASS) + F.col(f"{c}_back") * F.col("p")
+
+    shared = lower_orders(grams.select("key")).withColumnRenamed("key", "suf")
+    seen = grams.join(context, "ctx").join(shared, "suf").select("key", (F.log(p("tox")) - F.log(p("ord"))).alias("llr"))
+    return seen.unionByName(context.select(F.col("ctx").bitwiseOR(F.lit(CONTEXT)).alias("key"), (F.log("tox_back") - F.log("ord_back")).alias("llr")))
 
 
 def ratio_table(ratios: DataFrame) -> DataFrame | tuple[np.ndarray, np.ndarray]:
@@ -150,6 +198,14 @@ def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, missing) -
     return np.where(known[at] == keys, values[at].astype(float), missing)
 
 
+def _ratios(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of each gram: its own, else its context's, else 0 (both classes back off)."""
+    found = _look_up(keys, known, values, np.nan)
+    new = np.flatnonzero(np.isnan(found))
+    found[new] = _look_up(CONTEXT | keys[new] >> BITS, known, values, 0.0)
+    return found
+
+
 def _features(texts, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Per text: ratio a character, excess a word (times 20), most toxic word, mean of the three most toxic."""
     keys, text, word = _grams(texts)
@@ -157,7 +213,7 @@ def _features(texts, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     out = np.zeros((n, FEATURES))
     if not len(keys):
         return out
-    ratio = _look_up(keys, *table, 0.0)
+    ratio = _ratios(keys, *table)
     out[:, 0] = np.bincount(text, ratio, n) / np.maximum(1, np.bincount(text, minlength=n))
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     total, of = np.add.reduceat(ratio, first), text[first]
@@ -202,14 +258,15 @@ def _scored(docs: DataFrame, extra: list[str], schema: str, table, finish) -> Da
 
 
 def _chunk_grams(docs: DataFrame) -> DataFrame:
-    """(tx_chunk, key): the distinct grams of each chunk; ``docs`` has tx_chunk, text."""
+    """(tx_chunk, key): the distinct grams and contexts of each chunk; ``docs`` has tx_chunk, text."""
 
     def distinct(batches):
         for batch in batches:
             texts, chunks = batch.column("text").to_pylist(), batch.column("tx_chunk").to_numpy()
             for start in range(0, len(texts), PART_TEXTS):
                 keys, text, _ = _grams(texts[start : start + PART_TEXTS])
-                of = chunks[start:][text]
+                of = np.tile(chunks[start:][text], 2)
+                keys = np.concatenate((keys, CONTEXT | keys >> BITS))
                 order = np.lexsort((keys, of))
                 keys, of = keys[order], of[order]
                 fresh = np.ones(len(keys), bool)
@@ -267,7 +324,10 @@ class Model:
         keep = [*keep, ("text", "string")] if text else keep
 
         def finish(x):
-            return [pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))]
+            total = w[0]
+            for k in range(FEATURES):  # in this order whatever the batch, so a text's score is always the same
+                total = total + x[:, k] * w[k + 1]
+            return [pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))]
 
         return _scored(docs, [c for c, _ in keep], ", ".join([f"{c} {t}" for c, t in keep] + ["score double"]), self.table, finish)
 
