@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.catalog import Catalog
-from weftline.plans import code, jobs, lineage, more, scores
+from weftline.plans import code, detail, jobs, lineage, more, scores
 from weftline.plans.oracle import oracle
 
-_FAMILIES = (lineage.QUERIES, code.QUERIES, scores.QUERIES, jobs.QUERIES, more.QUERIES)
+_FAMILIES = (lineage.QUERIES, code.QUERIES, scores.QUERIES, jobs.QUERIES, more.QUERIES, detail.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
