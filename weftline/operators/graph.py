@@ -129,6 +129,28 @@ def trace(edges: DataFrame, start: DataFrame, max_hops: int | None) -> DataFrame
     return visited
 
 
+def shortest_path(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
+    """step, node of a path with the fewest hops from ``start`` to ``end`` (column node, a row each); of several
+    parents the least by name is taken. Empty where there is none. A round a hop, and one back."""
+    edges = stored(both_ways(edges), "pairs")
+    visited = stored(start.select("node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent")), "path")
+    frontier = visited
+    for hop in count(1):
+        if visited.join(end.select("node"), "node", "left_semi").limit(1).count():
+            break
+        met = frontier.join(edges, frontier.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        frontier = stored(met.join(visited, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("depth"), "parent"), "path")
+        if not frontier.limit(1).count():
+            return visited.limit(0).select(F.col("depth").alias("step"), "node")
+        visited = stored(visited.unionByName(frontier), "path")
+    at = stored(visited.join(end.select("node"), "node", "left_semi"), "walk")
+    walked = at
+    while at.where("parent is not null").limit(1).count():
+        at = stored(visited.join(at.select(F.col("parent").alias("node")), "node", "left_semi"), "walk")
+        walked = walked.unionByName(at)
+    return walked.select(F.col("depth").alias("step"), "node")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

@@ -26,6 +26,52 @@ def _trace_sql(select: str, n: int, at: str = "src", to: str = "dst", edges: str
     return oracle(_HOPS.format(start=START, at=at, to=to, edges=edges, n=n) + select)
 
 
+def _all_edges(c: Catalog):
+    """Typed edges between sessions and tables, and the lineage edges between sessions."""
+    return c.connections.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).unionByName(graph.session_lineage_edges(c.access).select("src", "dst")).distinct()
+
+
+def _reversed(edges):
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _impact(c: Catalog):
+    """What a failure reaches: sessions and tables."""
+    found = graph.trace(_all_edges(c), start_of(c), 10)
+    sessions = found.join(c.tiered.select(F.col("sid").alias("node"), "name", F.col("tier").cast("double").alias("tier")), "node").select(F.col("node").alias("id"), F.lit("session").alias("kind"), "name", "tier", "depth")
+    return sessions.unionByName(found.join(c.tables.select(F.col("tname").alias("node"), "tier"), "node").select(F.col("node").alias("id"), F.lit("table").alias("kind"), F.col("node").alias("name"), "tier", "depth"))
+
+
+_ALL = """, all_edges AS MATERIALIZED (SELECT from_id AS src, to_id AS dst FROM cat_connection UNION SELECT w.sid, u.sid FROM cat_access w JOIN cat_access u ON w.tname = u.tname AND w.role = 'target' AND u.role <> 'target' AND w.sid <> u.sid)"""
+
+
+def _all_sql(select: str, n: int, at: str = "src", to: str = "dst") -> str:
+    return oracle(_ALL + _HOPS.format(start=START, at=at, to=to, edges="all_edges", n=n) + select)
+
+
+def _farthest(c: Catalog):
+    """The session farthest from the start, whatever the direction; the least by name among equals."""
+    found = graph.trace(graph.both_ways(c.edges), start_of(c), None)
+    return found.orderBy(F.desc("depth"), "node").limit(1).select("node")
+
+
+def _columns(c: Catalog):
+    """Column to column edges of all sessions; a column is session:instance.field."""
+    end = lambda side: F.concat(F.col("sid"), F.lit(":"), F.col(f"{side}_instance"), F.lit("."), F.col(f"{side}_field"))
+    return c.connector.select(end("from").alias("src"), end("to").alias("dst")).distinct()
+
+
+def _column_trace(c: Catalog):
+    columns = _columns(c)
+    start = columns.join(start_of(c), F.substring_index("src", ":", 1) == F.col("node"), "left_semi").agg(F.min("src").alias("node"))
+    return graph.trace(columns, start, None).withColumnRenamed("node", "column")
+
+
+_PATH = oracle(""", both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)""" + _HOPS.format(start=START, at="src", to="dst", edges="both_ways", n=40) + """,
+    far AS MATERIALIZED (SELECT * FROM found), parent AS MATERIALIZED (SELECT x.node, min(src) AS parent FROM far x JOIN both_ways ON dst = x.node JOIN far y ON y.node = src AND y.depth = x.depth - 1 GROUP BY x.node),
+    walk AS (SELECT depth AS step, node FROM (SELECT * FROM far ORDER BY depth DESC, node LIMIT 1) UNION ALL SELECT step - 1, p.parent FROM walk JOIN parent p ON p.node = walk.node WHERE step > 0) SELECT step, node FROM walk""")
+_COLUMNS = oracle(""", col_edges AS MATERIALIZED (SELECT DISTINCT concat(sid, ':', from_instance, '.', from_field) AS src, concat(sid, ':', to_instance, '.', to_field) AS dst FROM cat_connector),
+    walk AS (SELECT min(src) AS node, CAST(0 AS BIGINT) AS depth FROM col_edges WHERE split_part(src, ':', 1) = """ + START + """ UNION SELECT dst, depth + 1 FROM walk JOIN col_edges ON src = node WHERE depth < 12) SELECT node AS "column", min(depth) AS depth FROM walk GROUP BY node""")
 _BOTH = ", both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 QUERIES = {
@@ -97,9 +143,11 @@ QUERIES = {
     "connected_components": (lambda c: graph.connected_components(c.base.select(F.col("sid").alias("node")), usage.shared_table_stars(c.access)), """, hubs AS MATERIALIZED (SELECT DISTINCT sid, min(sid) OVER (PARTITION BY tname) AS hub FROM cat_access), star AS MATERIALIZED (SELECT sid AS x, hub AS y FROM hubs UNION SELECT hub, sid FROM hubs),
         near(node, component) USING KEY (node) AS (SELECT sid, sid FROM cat_session0 UNION (SELECT DISTINCT ON (u.node) u.node, v.component FROM recurring.near u JOIN star ON x = u.node JOIN near v ON v.node = y WHERE v.component < u.component ORDER BY u.node, v.component))
         SELECT node, component FROM near"""),
-    "trace_forward": (lambda c: graph.trace(c.edges, start_of(c), 20), _trace_sql("SELECT node, depth FROM found", 20)),
-    "trace_backward": (lambda c: graph.trace(c.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start_of(c), 20), _trace_sql("SELECT node, depth FROM found", 20, "dst", "src")),
-    "impact_analysis": (lambda c: graph.trace(c.edges, start_of(c), 10).join(c.tiered.select("sid", "name", "tier"), F.col("node") == F.col("sid")).select("sid", "name", "tier", "depth"), _trace_sql("SELECT sid, name, tier, depth FROM found JOIN cat_names ON sid = node JOIN tiers USING (sid)", 10)),
+    "trace_forward": (lambda c: graph.trace(_all_edges(c), start_of(c), 20), _all_sql("SELECT node, depth FROM found", 20)),
+    "trace_backward": (lambda c: graph.trace(_reversed(_all_edges(c)), start_of(c), 20), _all_sql("SELECT node, depth FROM found", 20, "dst", "src")),
+    "impact_analysis": (_impact, _all_sql("SELECT sid AS id, 'session' AS kind, name, CAST(tier AS DOUBLE) AS tier, depth FROM found JOIN cat_names ON sid = node JOIN tiers USING (sid) UNION ALL SELECT tname, 'table', tname, tier, depth FROM found JOIN cat_table ON tname = node", 10)),
+    "shortest_path": (lambda c: graph.shortest_path(c.edges, start_of(c), _farthest(c)), _PATH),
+    "column_trace": (_column_trace, _COLUMNS),
     "hop_neighbourhood": (lambda c: graph.trace(graph.both_ways(c.edges), start_of(c), 2).withColumnsRenamed({"node": "sid", "depth": "hop"}), oracle(_BOTH + _HOPS.format(start=START, at="src", to="dst", edges="both_ways", n=2) + "SELECT node AS sid, depth AS hop FROM found")),
     "cascade_by_hop": (lambda c: graph.trace(c.edges, start_of(c), None).where("depth > 0").groupBy(F.col("depth").alias("hop")).agg(F.count("*").alias("sessions")), _trace_sql("SELECT depth AS hop, count(*) AS sessions FROM found WHERE depth > 0 GROUP BY depth", 50)),
     "cascade_tables": (lambda c: c.access.where("role = 'target'").join(graph.trace(c.edges, start_of(c), None).select(F.col("node").alias("sid")), "sid", "left_semi").select("tname").distinct(), _trace_sql("SELECT DISTINCT tname FROM cat_access JOIN found ON node = sid WHERE role = 'target'", 50)),
