@@ -128,7 +128,6 @@ QUERIES = {
     "dedup_content_hash": (lambda c: _dedup(c.table("documents")), "WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) SELECT doc_id, h AS sha256, doc_id = min(doc_id) OVER (PARTITION BY h) AS is_first, count(*) OVER (PARTITION BY h) AS copies FROM d"),
     "exact_duplicates": (lambda c: c.session.groupBy(F.md5(F.concat_ws("|", F.array_join("sources", ","), F.array_join("targets", ","), F.array_join("lookups", ",")).cast("binary")).alias("fingerprint")).agg(F.count("*").alias("members"), F.min("sid").alias("first")).where("members > 1"), "SELECT md5(concat_ws('|', sources, targets, lookups)) AS fingerprint, count(*) AS members, min(sid) AS first FROM cat_session GROUP BY 1 HAVING count(*) > 1"),
     "classify_question": (lambda c: c.table("conversations").select("conv_id", "turn", t.classify_question(F.coalesce("text", F.lit(""))).alias("intent")), f"WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations) SELECT conv_id, turn, {_QUESTION_SQL} AS intent FROM q"),
-    "extract_entities": (lambda c: c.table("documents").select("doc_id", F.array_join(t.entities(F.coalesce("text", F.lit(""))), ",").alias("entities")).where("entities <> ''").select("doc_id", F.length("entities").cast("long").alias("n")), None),
     "search_code": (lambda c: c.table("documents").where(F.contains(F.lower("text"), F.lit("license"))).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id")).unionByName(c.table("pages").where(F.contains(F.lower("html"), F.lit("license"))).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"))).orderBy("kind", "id").limit(50), "WITH f AS (SELECT 'document' AS kind, doc_id AS id FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT 'page', page_id FROM pages WHERE contains(lower(html), 'license')) SELECT kind, id FROM f ORDER BY kind, id LIMIT 50"),
     "vector_topk": (lambda c: _vector_topk(c), """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[])))), 5) AS distance FROM embeddings, q WHERE vec_id <> 0)
         SELECT vec_id, distance FROM s ORDER BY distance, vec_id LIMIT 10"""),

@@ -74,6 +74,9 @@ _COLUMNS = oracle(""", col_edges AS MATERIALIZED (SELECT DISTINCT concat(sid, ':
     walk AS (SELECT min(src) AS node, CAST(0 AS BIGINT) AS depth FROM col_edges WHERE split_part(src, ':', 1) = """ + START + """ UNION SELECT dst, depth + 1 FROM walk JOIN col_edges ON src = node WHERE depth < 12) SELECT node AS "column", min(depth) AS depth FROM walk GROUP BY node""")
 _BOTH = ", both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
+_RANKS = """, n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM cat_session0), o AS MATERIALIZED (SELECT src, count(*) AS o FROM edges GROUP BY src), r0 AS MATERIALIZED (SELECT sid AS node, 1 / n AS rank FROM cat_session0, n)""" + "".join(f""",
+    r{k + 1} AS MATERIALIZED (SELECT r.node, 0.15 / n + 0.85 * (coalesce(g.got, 0) + l.lost / n) AS rank FROM n, (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE node NOT IN (SELECT src FROM o)) l, r{k} r LEFT JOIN (SELECT dst, sum(rank / o) AS got FROM r{k} JOIN o ON o.src = node JOIN edges e ON e.src = node GROUP BY dst) g ON g.dst = r.node)""" for k in range(20)) + " SELECT node, round(rank, 9) AS rank FROM r20"
+
 QUERIES = {
     # usage
     "table_usage": (lambda c: c.usage, "SELECT * FROM usage"),
@@ -158,6 +161,6 @@ QUERIES = {
     "degree_centrality": (lambda c: c.edges.select(F.explode(F.array("src", "dst")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n")).crossJoin(F.broadcast(c.base.agg(F.count("*").alias("total")))).select("sid", F.round(F.col("n") / (F.col("total") - 1), 6).alias("degree")), "SELECT sid, round(count(*) / ((SELECT count(*) FROM cat_session0) - 1), 6) AS degree FROM (SELECT src AS sid FROM edges UNION ALL SELECT dst FROM edges) GROUP BY sid"),
     "adjacency_weights": (lambda c: c.connections.groupBy(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).agg(F.round(F.sum(F.when(F.col("conn_type") == "chain", 1.0).when(F.col("conn_type") == "read_after_write", 0.8).when(F.col("conn_type") == "write_conflict", 0.6).when(F.col("conn_type") == "source_read", 0.5).when(F.col("conn_type") == "write_clean", 0.4).otherwise(0.3)), 6).alias("weight")),
         "SELECT from_id AS src, to_id AS dst, CAST(round(sum(CASE conn_type WHEN 'chain' THEN 1.0 WHEN 'read_after_write' THEN 0.8 WHEN 'write_conflict' THEN 0.6 WHEN 'source_read' THEN 0.5 WHEN 'write_clean' THEN 0.4 ELSE 0.3 END), 6) AS DOUBLE) AS weight FROM cat_connection GROUP BY ALL"),
-    "page_rank": (lambda c: graph.page_rank(c.edges, c.base.select(F.col("sid").alias("node"))), None),
+    "page_rank": (lambda c: graph.page_rank(c.edges, c.base.select(F.col("sid").alias("node"))).select("node", F.round("rank", 9).alias("rank")), oracle(_RANKS)),
     "k_core": (lambda c: graph.k_core(c.edges), None),
 }

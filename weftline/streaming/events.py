@@ -49,3 +49,22 @@ def stream_error_counts(spark: SparkSession, folder: str) -> DataFrame:
 def recent_errors(events: DataFrame, n: int = 200) -> DataFrame:
     """The last errors by time, newest first."""
     return events.where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(n).select("event_id", "user_id", "value")
+
+
+def stream_ingest(spark: SparkSession, inputs: DataFrame) -> DataFrame:
+    """sha256, size of inputs (value) that arrive as files in two drops: content that came before is not taken again."""
+    drop, out, state = (shared_dir(spark, f"ingest-{name}") for name in ("in", "out", "state"))
+    schema = inputs.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    for part in (inputs, inputs.where(F.length("value") % 2 == 0)):  # the second drop repeats content
+        part.write.mode("append").parquet(drop)
+        stream = spark.readStream.schema(schema).parquet(drop)
+        fresh = stream.select(F.sha2("value", 256).alias("sha256"), F.octet_length("value").cast("long").alias("size")).dropDuplicates(["sha256"])
+        query = fresh.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+    return spark.read.parquet(out).select("sha256", "size")
