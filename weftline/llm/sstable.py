@@ -89,8 +89,8 @@ class PieceEncoder:
             ids.append(np.array(e.ids, np.uint32))
             counts.append(np.bincount(np.array(e.word_ids, np.int64)))
         counts = np.concatenate(counts)
-        if len(counts) != len(pieces) or (counts == 0).any():
-            raise ValueError("joined pieces were split otherwise")
+        if len(counts) != len(pieces) or (counts == 0).any():  # split otherwise: one by one
+            return self._library(pieces)
         return np.concatenate(ids), counts
 
     def encode(self, texts) -> list[np.ndarray]:
