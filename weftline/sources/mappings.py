@@ -212,5 +212,6 @@ def classify_platform(spark: SparkSession, folder: str) -> DataFrame:
     """file, platform by the first 5,000 characters of each file."""
     files = spark.read.text(folder, wholetext=True).select(F.lower(F.substring("value", 1, 5000)).alias("head"), F.col("_metadata.file_name").alias("file"))
     has = lambda s: F.contains("head", F.lit(s))
+    # fixed values: what marks an export of mappings
     mapped = has("informatica") | has("<folder ") | has("<mapping ") | (has("<session ") & has("<workflow "))
     return files.select("file", F.when(mapped, "mapping").otherwise("flow").alias("platform"))
