@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("warc", "secret_scan", "sstable", "topk", "html_text", "bpe", "near_dedup", "toxicity", "mixing", "quality_rules", "exact_dedup", "collocations")
+_MODULES = ("warc", "secret_scan", "sstable", "topk", "html_text", "bpe", "near_dedup", "toxicity", "mixing", "quality_rules", "spelling", "exact_dedup", "collocations")
 
 
 def _modules():
