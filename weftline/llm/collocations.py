@@ -6,8 +6,8 @@ from the scan on at whose start both the phrase without its last word and the ph
 reached the threshold, and then for one full cycle, so its count is exact. The scans end when no phrase's cycle is open.
 
 A task looks up whether a phrase is active in one table of steps for each length, indexed by ``2 ** FILTER_BITS`` slots of the
-phrase's hash: the step at which a phrase of that slot reached the threshold. This table has a fixed size and is the
-only thing that is broadcast. Two phrases in a slot may activate a phrase early; it is then counted for its own cycle all the
+phrase's hash: the step at which a phrase of that slot reached the threshold. This table has a fixed size (and is sent
+compressed); it is the only thing that is broadcast. Two phrases in a slot may activate a phrase early; it is then counted for its own cycle all the
 same, so counts stay exact and a crowded table costs work, not results. Counts are summed by block in the task, then
 in a shuffle; rows below the threshold are dropped when their cycle ends.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 from hashlib import blake2b
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +177,7 @@ def _counted(tokens: DataFrame, steps, t: int, shards: int, longest: int, bits:
     """k, h, g, act, c of the active phrases of a shard."""
 
     def run(batches):
-        reached = steps.value
+        reached = [np.frombuffer(decompress(r), np.uint8) for r in steps.value]
         for batch in batches:
             for raw in batch.column("tokens"):
                 block, known = opened(raw.as_buffer().to_pybytes())
@@ -206,7 +207,7 @@ def frequent(spark: SparkSession, path: str, least: int = LEAST, longest: int =
     reached = [np.full(1 << bits, _NEVER, np.uint8) for _ in range(longest - 1)]
     t, until = 0, shards
     while t < until:
-        steps = spark.sparkContext.broadcast(reached)
+        steps = spark.sparkContext.broadcast([compress(r.tobytes(), 1) for r in reached])
         seen = _counted(table.where(F.col("shard") == t % shards).select("tokens"), steps, t, shards, longest, bits)
         rows = seen.withColumn("known", F.lit(False))
         rows = rows if live is None else rows.unionByName(live)
@@ -227,7 +228,7 @@ def frequent(spark: SparkSession, path: str, least: int = LEAST, longest: int =
         t += 1
         if len(words):
             until = max(until, t + shards)
-        steps.unpersist()
+        steps.destroy()
     return reduce(DataFrame.unionByName, done)
 
 
@@ -236,11 +237,11 @@ def _worded(spark: SparkSession, path: str, kept: DataFrame, longest: int, bits:
     found = _marked(kept, bits)
     marks = np.zeros((longest + 1, 1 << bits >> 5), np.uint32)
     marks[found.column("k").to_numpy(), found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(marks)
+    shared = spark.sparkContext.broadcast(compress(marks.tobytes(), 1))
     names = [f"w{j + 1}" for j in range(longest)]
 
     def run(batches):
-        marks = shared.value
+        marks = np.frombuffer(decompress(shared.value), np.uint32).reshape(longest + 1, -1)
         for batch in batches:
             for raw in batch.column("tokens"):
                 block, _ = opened(raw.as_buffer().to_pybytes())
