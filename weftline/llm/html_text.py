@@ -8,7 +8,7 @@ labelled table ``LABELLED`` (pages whose blocks are marked ``+`` for article tex
 each block; kept blocks are joined in page order.
 
 Everything is a narrow pass: no shuffle, memory for a batch of pages. Reading is linear in a page's length:
-a tag that never ends is looked for at most ``UNENDED`` times in a page (then quotes are ignored), and open
+where tags never end, the places that a search has passed in vain are remembered, so each is passed once, and open
 elements are found by their names, not by walking up.
 
 Defined cases. Null or empty html, or none kept: empty text. Unclosed and stray tags are repaired as browsers
@@ -31,15 +31,15 @@ from weftline.llm.common import read
 
 QUERY = "op5_html_text"
 
-#: At a "<": a comment, a tag, other markup, or a tag that is cut off.
-_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]+|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
-#: The same without quotes: never reads past the next "<".
-_PLAIN_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
-UNENDED = 8
+#: At a "<": the name of a tag; a comment, other markup, or a tag that is cut off.
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARKUP = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
+_EVENT = re.compile(r"""[>=]""")
+_VALUE = re.compile(r"""=\s*(["'])""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-_BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+_BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _HIDDEN = set("script style noscript template svg textarea iframe object canvas audio video head title select datalist noframes noembed".split())
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "template"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,15 +48,21 @@ _FENCES = {"article", "body", "table"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An opening tag ends open elements of the second kind, if no element of the third kind lies between.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in class, id or role that say a block is no article text, and words that take that back for a wrapper.
-_BAD = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination paywall popup promo promoted promotion recommended related reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
+#: Words in class or id that say what is no article text: adverts and notices, reader comments, and parts of a page's frame.
+_PAID = set("ad ads adv advert adverts advertisement advertising alert consent cookie cookies gdpr notice notification paywall popup promo promoted promotion sponsor sponsored warning".split())
+_COMMENTS = {"comment", "comments", "reply", "replies", "disqus"}
+_FRAME = set("banner breadcrumb breadcrumbs complementary contentinfo copyright dialog footer header login masthead menu modal nav navbar navigation newsletter pagination recommended related search share sharing sidebar signup skip social subscribe subscription teaser toolbar widget".split())
+#: Words that take the frame's words back: such an element is a wrapper.
 _GOOD = {"article", "content", "entry", "main", "post", "story", "body", "text"}
-_COMMENTS = {"comment", "comments", "reply", "disqus"}
+#: Roles of elements that are no article text.
+_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+#: Elements of running text: their names mark them only if they say nothing else.
+_RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td", "th", "dt", "dd", "figcaption", "tr", "ul", "ol", "dl", "table"}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "landmark", "named", "heading")
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
+def _named(attributes: str, running: bool) -> tuple[bool, bool]:
     """Whether attributes name something that is no article text, or reader comments."""
     words: set[str] = set()
     hidden = False
@@ -64,9 +70,53 @@ def _named(attributes: str) -> tuple[bool, bool]:
         name, value = m[1].lower(), html.unescape(next((x for x in m.groups()[1:] if x is not None), ""))
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-        elif name in ("class", "id", "role"):
+        elif name == "role":
+            hidden = hidden or value.strip().lower() in _ROLES
+        elif name in ("class", "id"):
             words.update(w.lower() for w in _TOKEN.findall(value))
-    return hidden or bool(words & _BAD) and not words & _GOOD or bool(words & _COMMENTS), bool(words & _COMMENTS)
+    words = {w for w in words if not w.isdigit()}
+    if running:
+        return hidden or bool(words) and words <= _PAID | _COMMENTS | _FRAME, bool(words) and words <= _COMMENTS
+    return hidden or bool(words & (_PAID | _COMMENTS)) or bool(words & _FRAME) and not words & _GOOD, bool(words & _COMMENTS)
+
+
+class _Tags:
+    """Ends of a page's tags. A quote opens a value only after "="; a value that never ends opens none."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.vain: set[int] = set()  # places that a search has passed without finding an end
+        self.next = (0, -1)  # the event at or after the places of a range
+        self.no_more = {'"': len(page), "'": len(page)}  # from here on the quote does not come
+
+    def _event(self, at: int) -> int:
+        low, found = self.next
+        if not low <= at <= found:
+            m = _EVENT.search(self.page, at)
+            found = m.start() if m else len(self.page)
+            self.next = (at, found)
+        return found
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that ends a tag which is open at ``at``; -1: none."""
+        page, passed = self.page, []
+        while True:
+            at = self._event(at)
+            if at == len(page) or at in self.vain:
+                self.vain.update(passed)
+                return -1
+            if page[at] == ">":
+                return at
+            passed.append(at)
+            m = _VALUE.match(page, at)
+            if not m:
+                at += 1
+                continue
+            quote, first = m[1], m.end()
+            close = page.find(quote, first) if first < self.no_more[quote] else -1
+            if close < 0:
+                self.no_more[quote] = min(self.no_more[quote], first)
+            at = first if close < 0 else close + 1
 
 
 class _Block:
@@ -123,18 +173,24 @@ def blocks(page: str | None) -> list[_Block]:
         """Stack position of the innermost open element with one of the tags; 0: none."""
         return max((places[t][-1] for t in tags if places[t]), default=0)
 
-    at = begin = unended = 0
+    at = begin = 0
+    tags = _Tags(page)
     while (begin := page.find("<", begin)) >= 0:
-        m = (_TAG if unended < UNENDED else _PLAIN_TAG).match(page, begin)
-        if not m:
-            unended += page[begin + 1 : begin + 2].isalpha()
-            begin += 1
+        letter = begin + 1 + page.startswith("/", begin + 1)
+        named = page[letter : letter + 1].isascii() and page[letter : letter + 1].isalpha()
+        end = tags.end(letter) if named else -1
+        if end < 0:
+            m = _MARKUP.match(page, begin)
+            if m:
+                take(page[at:begin])
+                at = begin = m.end()
+            else:
+                begin += 1
             continue
         take(page[at:begin])
-        at = begin = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
+        m = _NAME.match(page, begin)
+        tag, attributes = m[2].lower(), page[m.end() : end]
+        at = begin = end + 1
         if m[1]:
             if tag == "a":
                 linked[1] = False
@@ -155,11 +211,11 @@ def blocks(page: str | None) -> list[_Block]:
             linked[1] = True
         if tag == "br":
             texts.append(" ")
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS and tag not in _RAW:
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS and tag not in _RAW:
             continue
         article, landmark, named = stack[-1][1]
-        if m[3] and tag not in ("html", "body"):
-            bad, comments = _named(m[3])
+        if attributes and tag not in ("html", "body"):
+            bad, comments = _named(attributes, tag in _RUNNING)
             named = named or (comments if tag in ("article", "main") else bad)
         landmark = landmark or tag in _LANDMARKS or tag == "header" and not article
         article = article or tag in ("article", "main")
@@ -220,6 +276,12 @@ LABELLED = (
     f"<article><h1>+ Again</h1><p>+ Yes.</p><p>+ {_MORE}</p></article>",
     "<article><p>+ One</p><p>+ Two</p></article>",
     "<article>+ Three words here</article>",
+    f"<article><h1><a>+ A headline with a link</a></h1><p>+ Jane Doe</p><p>+ {_PROSE}</p><p>+ {_MORE}</p></article>",
+    "<article><p><a>+ Source one here</a></p><p>+ Yes.</p><p><a>+ Source two</a> <a>and three</a></p></article>",
+    f"<main><h1><a>+ Linked</a></h1><ul><li><a>+ One</a></li><li><a>+ Two</a></li></ul><p>+ No.</p><p><a>+ {_MORE}</a></p><h2>+ End</h2></main><p><a>- Next</a></p>",
+    f"<article><p>+ By Jane Doe</p><p><a>+ Jane Doe</a></p><h2>+ Why</h2><p>+ {_PROSE}</p><p><a>+ Read the law</a></p></article><p><a>- Read on</a></p><p>- Jane Doe</p>",
+    f"<body><div><a>- Home</a></div><div>- Edition of Monday morning</div><div><a>- Sport</a></div><h1>+ Ferry sinks at pier</h1><p>+ {_PROSE}</p><p>+ Yes.</p><p>+ {_MORE}</p><div><a>- Next page</a></div><div>- All rights reserved here</div>",
+    f"<body><p>- Today</p><div><a>- World</a> <a>Local</a></div><h2>+ The pier</h2><p>+ {_PROSE}</p><h2>+ The bank</h2><p>+ {_MORE}</p><p>+ So ends the tale.</p><div><a>- About</a> <a>Help</a></div><p>- Printed in Harbour Street</p>",
     f"<h2>- Elsewhere</h2><article><h2>+ Here</h2><p>+ {_PROSE}</p></article><h3>- Yesterday</h3><p>- {_PROSE}</p><h3>- More stories</h3>",
     f"<article><p>+ {_PROSE}</p><aside><p>- {_MORE}</p><p>- {_PROSE}</p></aside><p>+ {_MORE}</p><form><p>- {_MORE}</p></form><footer><p>- {_PROSE}</p></footer></article>",
     f"<main><nav>- {_MORE}</nav><p>+ {_PROSE}</p><form>- {_PROSE}</form><p>+ {_MORE}</p><aside>- Brief</aside><p>+ Brief.</p><aside>- {_PROSE} {_MORE}</aside></main>",
