@@ -1,6 +1,7 @@
 """BPE against the tokenizers library."""
 
 import hashlib
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,16 @@ def test_words_that_polynomials_confuse(enc, n):
     same(enc, both)
 
 
+def test_characters_that_python_lacks(enc):
+    """Capitals that the library lower-cases, and all other characters without a category in Python."""
+    lacking = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    near = [c for c in lacking if ord(c) < 0x20000]
+    for at in range(0, len(near), 2000):
+        same(enc, " ".join(near[at : at + 2000]))
+    for c in "\ua7ce\ua7d2\ua7d4\U00016ea0\U00016eb8":
+        same(enc, f"a{c}b {c}")
+
+
 def test_long_and_many_words(enc):
     rng = np.random.default_rng(5)
     letters = np.array(list("abcdefghij"))

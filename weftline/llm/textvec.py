@@ -88,8 +88,8 @@ BLANK, LETTER, NUMBER, OTHER, KIND, UNFAMILIAR = 0, 1, 2, 3, 3, 8
 def kind_runs() -> tuple[np.ndarray, np.ndarray]:
     """Kinds of all code points as runs (last code points, kinds), read off the tokenizers library.
 
-    UNFAMILIAR marks letters and numbers that the library's Unicode tables have and Python's lack. Takes
-    seconds, so the driver makes the runs once and tasks get them.
+    UNFAMILIAR marks what Python's Unicode tables lack: the library may know it as a letter, or another case
+    of it. Takes seconds, so the driver makes the runs once and tasks get them.
     """
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
@@ -100,7 +100,7 @@ def kind_runs() -> tuple[np.ndarray, np.ndarray]:
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
         split = Split(Regex(pattern), "removed", invert=True)
         kinds[[ord(c) for text in texts for c, _ in split.pre_tokenize_str(text)]] = kind
-    for c in np.flatnonzero((kinds == LETTER) | (kinds == NUMBER)).tolist():
+    for c in points:
         if category(chr(c)) == "Cn":
             kinds[c] |= UNFAMILIAR
     kinds[SEPARATOR] = BLANK
