@@ -66,6 +66,14 @@ def test_against_recursion(spark, fraction):
     assert sorted((str(r.doc_id), r.mx_domain, r.mx_lang, r.mx_source, r.mx_tokens, r.mx_epochs, r.mx_part) for r in got) == brute(rows, mixing.WEIGHTS, fraction, mixing.MAX_EPOCHS, mixing.SEED)
 
 
+def test_ties_are_settled_by_text(spark):
+    """Rows without id, or with one id, and equal lengths: the same texts are taken however rows are dealt out."""
+    rows = [(None if k % 2 else 4, f"t{k} a b c", "en", "src1") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = [sorted((r.text, r.mx_epochs, r.mx_part) for r in mixing.mix(d, ["text"], fraction=0.4).collect()) for d in (docs, docs.repartition(7), docs.orderBy("text").coalesce(1))]
+    assert taken[0] == taken[1] == taken[2]
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, lang string, source string"), ["doc_id"]).count() == 0
 

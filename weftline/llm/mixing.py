@@ -13,7 +13,8 @@ in two steps, over hash ranges of a leaf and inside each range, so a leaf with a
 over thousands of keys. Leaves are joined to rows by broadcast only within a checked bound.
 
 Defined cases. Null text: no tokens, never selected. Null lang or source: ``''``; a source without a number
-is in domain ``other``. Null ``doc_id``: ordered as ``null``. Repeated rows: each counts. Weights default
+is in domain ``other``. Null ``doc_id``: ordered as ``null``. Rows with one id are taken
+in the order of their tokens and of a hash of their texts, so the same texts are taken whatever the partitioning. Repeated rows: each counts. Weights default
 to 1; a weight is a whole number from 1 to 10,000. Empty table or budget: no rows. Other columns are kept
 where asked for, under their own names.
 """
@@ -100,7 +101,7 @@ def _ranged(placed: DataFrame) -> DataFrame:
     wide_before = wide_sums.select(*wide, before("mx_all", _LEAF, "mx_wide").alias("mx_far"))  # at most 16 rows a leaf
     ahead = sums.select(*keys, before("mx_sum", wide, "mx_range").alias("mx_near"))  # at most 256 rows a part
     ahead = ahead.join(wide_before, wide).select(*keys, (F.col("mx_near") + F.col("mx_far")).alias("mx_ahead"))
-    inside = placed.withColumn("mx_inside", before("mx_tokens", keys, "mx_order", "mx_id", "mx_tokens"))
+    inside = placed.withColumn("mx_inside", before("mx_tokens", keys, "mx_order", "mx_id", "mx_tokens", "mx_mark"))
     return inside.join(ahead, keys).withColumn("mx_start", F.col("mx_ahead") + F.col("mx_inside"))
 
 
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, keep: list[str], weights: Mapping[str, Mapping[str, int
     """
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
-    rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mx_id"), (domain_of(source) if domain is None else domain).alias("mx_domain"), lang.alias("mx_lang"), source.alias("mx_source"), tokens.alias("mx_tokens"))
+    rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mx_id"), (domain_of(source) if domain is None else domain).alias("mx_domain"), lang.alias("mx_lang"), source.alias("mx_source"), tokens.alias("mx_tokens"), F.xxhash64("text").alias("mx_mark"))
     rows = stored(rows, "mixing-rows").where("mx_tokens > 0")
     leaves = rows.groupBy(*_LEAF).agg(F.sum("mx_tokens").alias("tokens"))
     # stored: a few rows a leaf, used by every row's join and counted for its bound
