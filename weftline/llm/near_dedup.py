@@ -228,9 +228,11 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def common_tokens(apart: DataFrame) -> DataFrame:
     """(anchor, common): of each anchor, the tokens that at least one in ``COMMON`` of its members in a batch
-    differ by, as packed tokens from the least to the most frequent.
+    differ by, and one in ``COMMON`` of all its members (as far as batches have counted them), as packed tokens
+    from the least to the most frequent.
 
-    They only set an order, so counts of batches do; each adds at most ``COMMON`` times a member's tokens.
+    They only set an order, so counts of batches do. An anchor's list has at most ``COMMON`` times as many tokens
+    as its members differ by in the mean, however many members it has.
     """
 
     def run(batches):
@@ -246,6 +248,8 @@ def common_tokens(apart: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), anchor)), pa.array(tokens), pa.array(n, pa.int64())], ["anchor", "token", "n"])
 
     counted = apart.select("anchor", "tokens").mapInArrow(run, "anchor long, token long, n long").groupBy("anchor", "token").agg(F.sum("n").alias("n"))
+    members = apart.groupBy("anchor").agg(F.count("*").alias("members"))
+    counted = counted.join(members, "anchor").where(F.col("n") * COMMON >= F.col("members"))
     ordered = F.sort_array(F.collect_list(F.struct("n", "token")))
     return counted.groupBy("anchor").agg(F.transform(ordered, lambda x: x.token).alias("common"))
 
