@@ -36,7 +36,7 @@ QUERY = "op11_spelling"
 #: Code points of a word and its occurrences, at least; a run whose hash this number divides loses a code point.
 LENGTH, LEAST, SLIP = 5, 3, 97
 #: Code points of a gram; places of a gram that is not extended; grams by which near words meet.
-SHORT, LONG, FREQUENT, SHARED = 2, 4, 64, 2
+SHORT, LONG, FREQUENT, SHARED = 2, 4, 64, 1
 #: Words that a task counts before it hands on its sums.
 HELD = 1 << 19
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -160,7 +160,7 @@ def near_pairs(words: DataFrame, frequent: int = FREQUENT, shared: int = SHARED)
     long = entered.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("mask").alias("bm"), F.col("need").alias("bd"), "gram", "place", "length")
     once = (F.col("own") < F.col("length")) | (F.col("a") < F.col("b"))
     alike = F.bit_count(F.col("am").bitwiseXOR(F.col("bm"))) <= F.when(F.col("own") < F.col("length"), 1).otherwise(2)
-    met = short.join(long, ["gram", "place", "length"]).where(once & alike).groupBy("a", "b").agg(F.first("an").alias("an"), F.first("bn").alias("bn"), F.first("ad").alias("ad"), F.first("bd").alias("bd"), F.count("*").alias("met"))
+    met = short.join(long, ["gram", "place", "length"]).where(alike & once).groupBy("a", "b").agg(F.first("an").alias("an"), F.first("bn").alias("bn"), F.first("ad").alias("ad"), F.first("bd").alias("bd"), F.count("*").alias("met"))
     merged = met.where(F.col("met") >= F.least(F.lit(shared), F.greatest("ad", "bd")))
     return merged.where(F.levenshtein("a", "b", 1) == 1).select("a", "an", "b", "bn")
 
