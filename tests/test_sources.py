@@ -3,7 +3,7 @@
 import zipfile
 from io import BytesIO
 
-from weftline.operators import clusters
+from weftline.operators import communities
 from weftline.sources import flows, mappings
 
 
@@ -41,7 +41,7 @@ def test_archives_are_capped(spark):
 def test_two_cliques_are_two_communities(spark):
     pairs = [(a, b, 1.0) for g in ("abcde", "vwxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("e", "v", 0.2)]
     nodes = spark.createDataFrame([(n,) for n in "abcdevwxyzq"], "node string")
-    found = {r.node: r.cluster for r in clusters.louvain_communities(nodes, spark.createDataFrame(pairs, "a string, b string, sim double")).collect()}
+    found = {r.node: r.cluster for r in communities.louvain(nodes, spark.createDataFrame(pairs, "a string, b string, sim double")).collect()}
     assert found == {n: "a" if n in "abcde" else "q" if n == "q" else "v" for n in "abcdevwxyzq"}
-    alone = clusters.louvain_communities(nodes, spark.createDataFrame([], "a string, b string, sim double")).collect()
+    alone = communities.louvain(nodes, spark.createDataFrame([], "a string, b string, sim double")).collect()
     assert all(r.node == r.cluster for r in alone)

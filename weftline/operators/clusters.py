@@ -11,62 +11,6 @@ from weftline.operators.graph import connected_components
 from weftline.shared import stored
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-
-
-def _moved(both: DataFrame, labels: DataFrame, degree: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """node, fresh, gain, rank: nodes that modularity draws to a neighbour's community, with what it gains."""
-    sizes = labels.join(degree, "node").groupBy("cluster").agg(F.sum("d").alias("all"))
-    ties = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "cluster").agg(F.round(F.sum("sim"), 9).alias("w"))
-    own = labels.withColumnRenamed("cluster", "old").join(degree, "node")
-    here = F.col("cluster") == F.col("old")
-    value = F.col("w") - resolution * F.col("d") * (F.col("all") - F.when(here, F.col("d")).otherwise(0.0)) / total
-    valued = ties.join(own, "node").join(sizes, "cluster").select("node", "cluster", here.alias("here"), value.alias("v"), "old", "d")
-    home = own.join(sizes.withColumnRenamed("cluster", "old"), "old").select(F.col("node").alias("h"), (-resolution * F.col("d") * (F.col("all") - F.col("d")) / total).alias("alone"))
-    best = valued.groupBy("node").agg(F.min(F.when(~F.col("here"), F.struct((-F.col("v")).alias("v"), "cluster"))).alias("best"), F.max(F.when(F.col("here"), F.col("v"))).alias("own"))
-    gains = best.where("best is not null").join(home, F.col("node") == F.col("h")).select("node", F.col("best.cluster").alias("fresh"), (-F.col("best.v") - F.coalesce("own", "alone")).alias("gain"))
-    return gains.where("gain > 1e-9").select("node", "fresh", F.xxhash64("node", F.lit(turn)).alias("rank"))
-
-
-def _one_level(both: DataFrame, nodes: DataFrame, total: float, resolution: float) -> DataFrame:
-    """node, cluster after local moves. About half of those that gain move at once, while fewer and fewer want to;
-    when that stalls the level ends, so the number of rounds is bounded by the number of new lows and three."""
-    degree = stored(both.groupBy(F.col("a").alias("node")).agg(F.sum("sim").alias("d")), "louvain-degree")
-    labels = stored(nodes.select("node", F.col("node").alias("cluster")), "louvain")
-    least, stalled = None, 0
-    for turn in count(1):
-        wishes = stored(_moved(both, labels, degree, total, resolution, turn), "louvain-wishes")
-        n = wishes.count()
-        stalled = 0 if least is None or n < least else stalled + 1
-        least = n if least is None else min(least, n)
-        if not n or stalled > 3:
-            return labels
-        moves = wishes.where(F.pmod("rank", F.lit(2)) == 0)
-        labels = stored(labels.join(moves, "node", "left").select("node", F.coalesce("fresh", "cluster").alias("cluster")), "louvain")
-
-
-def louvain_communities(nodes: DataFrame, pairs: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node, cluster (its least node): modularity communities of the weighted graph (a, b, sim), by local moves and
-    contraction, level by level until a level joins nothing. Nodes without a pair stay alone."""
-    both = stored(_both(pairs), "louvain-pairs")
-    total = both.agg(F.coalesce(F.sum("sim"), F.lit(0.0))).first()[0]
-    found = stored(nodes.select("node", F.col("node").alias("cluster")), "louvain-found")
-    if not total:
-        return found
-    while True:
-        level = both.select(F.col("a").alias("node")).distinct()
-        labels = _one_level(both, level, total, resolution)
-        if not labels.where("node <> cluster").limit(1).count():
-            break
-        of = labels.select(F.col("node").alias("cluster"), F.col("cluster").alias("up"))
-        found = stored(found.join(of, "cluster", "left").select("node", F.coalesce("up", "cluster").alias("cluster")), "louvain-found")
-        la, lb = labels.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), labels.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
-        both = stored(both.join(la, "a").join(lb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("sim").alias("sim")), "louvain-pairs")
-    least = found.groupBy("cluster").agg(F.min("node").alias("least"))
-    return found.join(least, "cluster").select("node", F.col("least").alias("cluster"))
-
-
 def density_surface(points: DataFrame, grid: int = 60, bandwidth: float = 0.05) -> DataFrame:
     """ix, iy, density: Gaussian kernel density of weighted points (x, y in 0 to 1, weight) on a grid, cut at three
     bandwidths. Points are first summed in squares of a tenth of a bandwidth, so a crowd is a few rows."""

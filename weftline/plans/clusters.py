@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import clusters, usage
+from weftline.operators import clusters, communities, usage
 
 GRID, BANDWIDTH, EPS, SAMPLES = 60, 0.05, 0.02, 4
 
@@ -19,8 +19,8 @@ def _graph(c):
     return usage.similarity_pairs(c.access, max_share=usage.max_share(c.base)).where("sim >= 0.1")
 
 
-def _communities(c):
-    return clusters.louvain_communities(c.base.select(F.col("sid").alias("node")), _graph(c)).withColumnRenamed("node", "sid")
+def _nodes(c):
+    return c.base.select(F.col("sid").alias("node"))
 
 
 _P = "WITH p AS (SELECT concat('S', o_orderkey) AS id, dayofyear(o_orderdate) / 366 AS x, CAST(floor(o_totalprice) AS BIGINT) % 1000 / 1000 AS y, CAST(floor(o_totalprice / 100) AS BIGINT) % 10 / 10 AS weight FROM orders), "
@@ -39,5 +39,7 @@ QUERIES = {
     "density_surface": (lambda c: clusters.density_surface(_points(c), GRID, BANDWIDTH), _SURFACE + "SELECT * FROM s"),
     "density_peaks": (lambda c: clusters.density_peaks(clusters.density_surface(_points(c), GRID, BANDWIDTH), grid=GRID), _SURFACE + f"SELECT ix, iy, density FROM s WHERE ix BETWEEN 1 AND {GRID - 2} AND iy BETWEEN 1 AND {GRID - 2} AND density >= 0.15 * (SELECT max(density) FROM s) AND NOT EXISTS (SELECT 1 FROM s n WHERE abs(n.ix - s.ix) <= 1 AND abs(n.iy - s.iy) <= 1 AND n.density > s.density) ORDER BY density DESC, ix, iy LIMIT 10"),
     "density_clusters": (lambda c: clusters.density_clusters(_points(c), EPS, SAMPLES), _DENSITY),
-    "louvain_communities": (_communities, None),
+    "louvain_communities": (lambda c: communities.communities(_nodes(c), _graph(c)).withColumnRenamed("node", "sid"), None),
+    "louvain_auto": (lambda c: communities.louvain_auto(_nodes(c), _graph(c)).withColumnRenamed("node", "sid"), None),
+    "resolution_sweep": (lambda c: communities.resolution_sweep(_nodes(c), _graph(c)), None),
 }
