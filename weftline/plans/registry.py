@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.catalog import Catalog
-from weftline.plans import clusters, code, detail, documents, exported, flows, jobs, lineage, more, scores
+from weftline.plans import centrality, clusters, code, detail, documents, exported, flows, jobs, lineage, more, scores
 from weftline.plans.oracle import oracle
 
-_FAMILIES = (lineage.QUERIES, code.QUERIES, scores.QUERIES, jobs.QUERIES, more.QUERIES, detail.QUERIES, exported.QUERIES, flows.QUERIES, documents.QUERIES, clusters.QUERIES)
+_FAMILIES = (lineage.QUERIES, code.QUERIES, scores.QUERIES, jobs.QUERIES, more.QUERIES, detail.QUERIES, exported.QUERIES, flows.QUERIES, documents.QUERIES, clusters.QUERIES, centrality.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
