@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.operators import graph
-from weftline.shared import stored
+from weftline.shared import exists, stored, version
 
-_TIERS: dict[tuple[str, str], DataFrame] = {}
+#: Order keys of a run that is numbered in one task.
+RUN = 1 << 16
+_TIERS: dict[tuple, DataFrame] = {}
 
 
 class Catalog:
@@ -61,8 +63,8 @@ class Catalog:
     @cached_property
     def tiers(self) -> DataFrame:
         """sid, tier: longest path on the acyclic dependency graph."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _TIERS:
+        key = (self.spark.sparkContext.applicationId, *version(self.spark, self.sf_dir, "orders", "lineitem", "part"))
+        if key not in _TIERS or not exists(self.spark, _TIERS[key].inputFiles()):
             _TIERS[key] = stored(graph.session_tiers(self.base.select("sid"), self.acyclic), "tiers")
         return _TIERS[key]
 
@@ -76,9 +78,14 @@ class Catalog:
         rows = rows.select(
             "sid", "k", F.concat(F.lit("s_m_"), "k").alias("name"), F.concat(F.lit("wf_"), "c_nationkey", F.lit(".s_m_"), "k").alias("full_name"), F.col("c_mktsegment").alias("folder"),
             F.concat(F.lit("wf_"), "c_nationkey").alias("workflow"), (n % 9).alias("transforms"), (n % 3).alias("join_count"), (n % 4).alias("filter_count"), (n % 2).alias("router_count"))
-        step = F.row_number().over(Window.partitionBy("workflow").orderBy("k")).cast("long")
         empty = F.array().cast("array<string>")
-        rows = rows.withColumn("step", step).join(lists, "sid", "left").join(unwritten, "sid", "left").withColumn("ext_reads", F.coalesce("ext", F.lit(0)).cast("long")).drop("ext")
+        # a workflow has any number of sessions: places within runs of keys, and sums of runs
+        runs = rows.groupBy("workflow", F.floor(F.col("k") / RUN).alias("run")).agg(F.count("*").alias("n"))
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("workflow").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = F.row_number().over(Window.partitionBy("workflow", "run").orderBy("k"))
+        rows = rows.withColumn("run", F.floor(F.col("k") / RUN)).withColumn("near", near).join(runs.select("workflow", "run", ahead.alias("ahead")), ["workflow", "run"])
+        rows = rows.withColumn("step", (F.col("near") + F.col("ahead")).cast("long")).drop("run", "near", "ahead")
+        rows = rows.join(lists, "sid", "left").join(unwritten, "sid", "left").withColumn("ext_reads", F.coalesce("ext", F.lit(0)).cast("long")).drop("ext")
         for c in ("sources", "targets", "lookups"):
             rows = rows.withColumn(c, F.coalesce(c, empty))
         return rows.withColumn("lookup_count", F.size("lookups").cast("long"))
@@ -152,4 +159,4 @@ class Catalog:
         kind = F.lit(None).cast("string")
         for k, (text, name) in enumerate(zip(texts, ("sql_override", "pre_sql", "post_sql", "pre_sql"), strict=True)):
             pick, kind = F.when(F.col("l_partkey") % 4 == k, text).otherwise(pick), F.when(F.col("l_partkey") % 4 == k, F.lit(name)).otherwise(kind)
-        return self.lines.where("l_linenumber in (2, 5)").select("sid", F.concat(F.lit("i_"), "l_linenumber").alias("transform"), pick.alias("sql_text"), kind.alias("kind"))
+        return self.lines.select("sid", F.concat(F.lit("i_"), "l_linenumber").alias("transform"), pick.alias("sql_text"), kind.alias("kind"))

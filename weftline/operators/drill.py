@@ -64,7 +64,10 @@ def rank_sessions(results: DataFrame, mode: str, limit: int) -> DataFrame:
 def per_type_topk(hits: DataFrame, k: int = 5, total: int = 15) -> DataFrame:
     """type, id, distance: the ``k`` nearest of each type, once each, and of those the ``total`` nearest."""
     single = hits.groupBy("type", "id").agg(F.min("distance").alias("distance"))
-    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy("distance", "id")))
+    # first in parts of a type, so no task holds a type
+    parted = Window.partitionBy("type", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("distance", "id")
+    near = single.withColumn("r", F.row_number().over(parted)).where(F.col("r") <= k)
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy("distance", "id")))
     return ranked.where(F.col("r") <= k).orderBy("distance", "type", "id").limit(total).select("type", "id", "distance")
 
 

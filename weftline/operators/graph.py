@@ -118,6 +118,7 @@ def session_tiers(sessions: DataFrame, edges: DataFrame) -> DataFrame:
 
 def trace(edges: DataFrame, start: DataFrame, max_hops: int | None) -> DataFrame:
     """node, depth of all nodes within ``max_hops`` (None: any number) of the ``start`` nodes (column node, depth 0)."""
+    edges = stored(edges.select("src", "dst"), "trace-edges")  # every hop reads them
     visited = stored(start.select("node", F.lit(0).cast("long").alias("depth")), "trace")
     frontier = visited
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):

@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.ranking import positions
+
 DIMENSIONS = {"transforms": 0.3, "join_count": 0.15, "filter_count": 0.1, "router_count": 0.1, "lookup_count": 0.1, "ext_reads": 0.05, "n_sources": 0.1, "n_targets": 0.1}
 HOURS = {"low": (4, 8, 16), "medium": (8, 16, 32), "high": (16, 32, 64), "very_high": (32, 64, 120)}
 
 
-def percentile_norm(value: Column, zero_floor: bool = False) -> Column:
-    """0 to 100 by rank among all rows, ties by mean rank; one row gives 50."""
-    everyone = Window.partitionBy()
-    if not zero_floor:
-        ties = F.count("*").over(Window.partitionBy(value))
-        rank = F.rank().over(Window.orderBy(value)) - 1 + (ties - 1) / 2.0
-        n = F.count("*").over(everyone)
-        return F.when(n == 1, F.lit(50.0)).otherwise(100.0 * rank / F.greatest(n - 1, F.lit(1)))
-    positive = F.count_if(value > 0).over(everyone)
-    zeros = F.count_if(value <= 0).over(everyone)
-    ties = F.count("*").over(Window.partitionBy(value))
-    rank = F.rank().over(Window.orderBy(value)) - 1 - zeros + (ties - 1) / 2.0
-    return F.when(value <= 0, F.lit(0.0)).when(positive == 1, F.lit(50.0)).otherwise(F.greatest(F.lit(1.0), 100.0 * rank / F.greatest(positive - 1, F.lit(1))))
+def percentile_norm(df: DataFrame, column: str, name: str = "norm", zero_floor: bool = False) -> DataFrame:
+    """``df`` with the place of each value among all rows from 0 to 100, ties by mean rank; one row gives 50. With ``zero_floor`` values
+    of 0 and less are 0, and the others are placed among themselves, at 1 at least. Values are counted first, so ties cost one row."""
+    value = F.col("value")
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("ties"))
+    if zero_floor:
+        counts = counts.where(value > 0)
+    ranked = positions(counts, ["value"], "below", "ties")
+    total = ranked.agg(F.sum("ties").alias("n"))
+    raw = 100.0 * (F.col("below") + (F.col("ties") - 1) / 2.0) / F.greatest(F.col("n") - 1, F.lit(1))
+    norm = F.when(F.col("n") == 1, F.lit(50.0)).otherwise(F.greatest(F.lit(1.0), raw) if zero_floor else raw)
+    norms = ranked.crossJoin(F.broadcast(total)).select(F.col("value").alias(column), norm.alias(name))
+    placed = df.join(norms, column, "left")
+    return placed.withColumn(name, F.coalesce(name, F.lit(0.0))) if zero_floor else placed
 
 
 def features(sessions: DataFrame) -> DataFrame:
@@ -54,9 +57,11 @@ def complexity_score(rows: DataFrame) -> DataFrame:
 
 def complexity_summary(scores: DataFrame) -> DataFrame:
     """mean, upper median, least, greatest, population deviation and total hours."""
-    n, rank = F.count("*").over(Window.partitionBy()), F.row_number().over(Window.orderBy("score", "sid"))
-    middle = scores.select("score", "hours", "sid", n.alias("n"), rank.alias("r"))
-    return middle.agg(F.count("*").alias("sessions"), F.round(F.avg("score"), 4).alias("mean"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("score"))).alias("median"), F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.stddev_pop("score"), 4).alias("std"), F.round(F.sum("hours"), 2).alias("hours"))
+    totals = scores.agg(F.count("*").alias("sessions"), F.round(F.avg("score"), 4).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.stddev_pop("score"), 4).alias("std"), F.round(F.sum("hours"), 2).alias("hours"))
+    ranked = positions(scores.groupBy("score").agg(F.count("*").alias("ties")), ["score"], "below", "ties")
+    at = F.floor(F.col("sessions") / 2)
+    middle = ranked.crossJoin(F.broadcast(totals.select("sessions"))).where((F.col("below") <= at) & (at < F.col("below") + F.col("ties"))).agg(F.max("score").alias("median"))
+    return totals.crossJoin(F.broadcast(middle)).select("sessions", "mean", "median", "least", "most", "std", "hours")
 
 
 def effort_estimate(scores: DataFrame) -> DataFrame:

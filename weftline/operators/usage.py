@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from weftline.operators.ranking import positions
 
 
 def table_usage(access: DataFrame) -> DataFrame:
@@ -111,9 +112,9 @@ def coupling_counts(access: DataFrame) -> DataFrame:
 def table_gravity(access: DataFrame) -> DataFrame:
     """tname, r, w, l, gravity, is_hub: readers x writers x (1 + lookups); hubs are the top twentieth."""
     rows = table_usage(access).select("tname", F.col("readers").alias("r"), F.col("writers").alias("w"), F.col("lookup_users").alias("l"), (F.col("readers") * F.col("writers") * (1 + F.col("lookup_users"))).alias("gravity"))
-    hubs = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) / 20))
-    rank = F.row_number().over(Window.orderBy(F.desc("gravity"), "tname"))
-    return rows.withColumn("is_hub", rank <= hubs)
+    ranked = positions(rows, [F.desc("gravity"), F.asc("tname")], "place")
+    hubs = ranked.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 20)).alias("hubs"))
+    return ranked.crossJoin(F.broadcast(hubs)).withColumn("is_hub", F.col("place") < F.col("hubs")).drop("place", "hubs")
 
 
 def reference_ranking(access: DataFrame, n: int = 50) -> DataFrame:

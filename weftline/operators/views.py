@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.ranking import positions
 from weftline.operators.usage import endpoints
 
 
@@ -78,13 +79,13 @@ def explorer_detail(sessions: DataFrame, connections: DataFrame) -> DataFrame:
 def exec_order(sessions: DataFrame, connections: DataFrame) -> DataFrame:
     """position, sid, has_conflict, has_chain by (step, tier, sid)."""
     flags = endpoints(connections).groupBy("node_id").agg(F.bool_or(F.col("conn_type").isin("write_conflict", "read_after_write")).alias("x"), F.bool_or(F.col("conn_type") == "chain").alias("y"))
-    position = (F.row_number().over(Window.orderBy("step", "tier", "sid")) - 1).cast("long")
     no = F.lit(False)
-    return sessions.join(flags, F.col("sid") == F.col("node_id"), "left").select(position.alias("position"), "sid", F.coalesce("x", no).alias("has_conflict"), F.coalesce("y", no).alias("has_chain"))
+    placed = positions(sessions.select("sid", "step", "tier"), ["step", "tier", "sid"])
+    return placed.join(flags, F.col("sid") == F.col("node_id"), "left").select("position", "sid", F.coalesce("x", no).alias("has_conflict"), F.coalesce("y", no).alias("has_chain"))
 
 
 def session_ids(sessions: DataFrame) -> DataFrame:
-    return sessions.select("sid", F.concat(F.lit("S"), F.row_number().over(Window.orderBy("tier", "step", "name"))).alias("display_id"))
+    return positions(sessions.select("sid", "tier", "step", "name"), ["tier", "step", "name"]).select("sid", F.concat(F.lit("S"), F.col("position") + 1).alias("display_id"))
 
 
 def matrix_cells(sessions: DataFrame, tables: DataFrame, connections: DataFrame) -> DataFrame:

@@ -82,6 +82,10 @@ def _intents(c):
     return s.select("sid", t.first_of(*[((x == best) & (best > 0), n) for x, n in scores], otherwise="passthrough").alias("intent"), F.round(F.when(total > 0, best / total).otherwise(0.0), 6).alias("confidence"))
 
 
+_NORM = "sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])))"
+DISTANCES_SQL = f"q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / ({_NORM.format('embedding')} * {_NORM.format('e')}), 5) AS distance FROM embeddings, q WHERE vec_id <> 0) "
+HITS_SQL = DISTANCES_SQL + ", hits AS (SELECT lang AS type, doc_id AS id, distance FROM s JOIN documents ON doc_id = vec_id) "
+
 QUERIES = {
     "classify_language": (lambda c: c.sql.select("sid", "transform", t.classify_language(F.col("sql_text")).alias("language")), f"SELECT sid, transform, {_LANGUAGE_SQL} AS language FROM (SELECT *, sql_text AS x FROM cat_sql)"),
     "classify_language_documents": (lambda c: c.table("documents").select("doc_id", t.classify_language(F.coalesce("text", F.lit(""))).alias("language")).groupBy("language").agg(F.count("*").alias("n")), f"WITH d AS (SELECT {_LANGUAGE_SQL} AS language FROM (SELECT coalesce(text, '') AS x FROM documents)) SELECT language, count(*) AS n FROM d GROUP BY 1"),
@@ -129,15 +133,23 @@ QUERIES = {
     "exact_duplicates": (lambda c: c.session.groupBy(F.md5(F.concat_ws("|", F.array_join("sources", ","), F.array_join("targets", ","), F.array_join("lookups", ",")).cast("binary")).alias("fingerprint")).agg(F.count("*").alias("members"), F.min("sid").alias("first")).where("members > 1"), "SELECT md5(concat_ws('|', sources, targets, lookups)) AS fingerprint, count(*) AS members, min(sid) AS first FROM cat_session GROUP BY 1 HAVING count(*) > 1"),
     "classify_question": (lambda c: c.table("conversations").select("conv_id", "turn", t.classify_question(F.coalesce("text", F.lit(""))).alias("intent")), f"WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations) SELECT conv_id, turn, {_QUESTION_SQL} AS intent FROM q"),
     "search_code": (lambda c: c.table("documents").where(F.contains(F.lower("text"), F.lit("license"))).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id")).unionByName(c.table("pages").where(F.contains(F.lower("html"), F.lit("license"))).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"))).orderBy("kind", "id").limit(50), "WITH f AS (SELECT 'document' AS kind, doc_id AS id FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT 'page', page_id FROM pages WHERE contains(lower(html), 'license')) SELECT kind, id FROM f ORDER BY kind, id LIMIT 50"),
-    "vector_topk": (lambda c: _vector_topk(c), """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[])))), 5) AS distance FROM embeddings, q WHERE vec_id <> 0)
-        SELECT vec_id, distance FROM s ORDER BY distance, vec_id LIMIT 10"""),
+    "vector_topk": (lambda c: _vector_topk(c), "WITH " + DISTANCES_SQL + "SELECT vec_id, distance FROM s ORDER BY distance, vec_id LIMIT 10"),
 }
 
 
-def _vector_topk(c, query_id: int = 0, k: int = 10):
-    """vec_id, distance: nearest by cosine distance to one vector (a single row, broadcast)."""
+def vector_distances(c, query_id: int = 0):
+    """vec_id, distance: cosine distance of every other vector to one (a single row, broadcast)."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v = c.table("embeddings")
     q = v.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
     rows = v.where(F.col("vec_id") != query_id).crossJoin(F.broadcast(q))
-    return rows.select("vec_id", F.round(1 - dot("embedding", "q") / (F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("q", "q"))), 5).alias("distance")).orderBy("distance", "vec_id").limit(k)
+    return rows.select("vec_id", F.round(1 - dot("embedding", "q") / (F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("q", "q"))), 5).alias("distance"))
+
+
+def document_hits(c):
+    """type (language), id, distance of the documents that have a vector."""
+    return vector_distances(c).join(c.table("documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id").select(F.col("lang").alias("type"), F.col("vec_id").alias("id"), "distance")
+
+
+def _vector_topk(c, k: int = 10):
+    return vector_distances(c).orderBy("distance", "vec_id").limit(k)

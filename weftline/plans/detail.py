@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import drill, features, usage
+from weftline.plans.code import HITS_SQL, document_hits
 from weftline.plans.lineage import START, TABLE, start_of
 from weftline.plans.scores import _LABELS, _SCORE, _by_tier, _labels, _scores
 
@@ -79,16 +80,16 @@ _RANKED = ", d AS (SELECT s.sid, name, tier, critical, (SELECT count(*) FROM con
 
 
 def _hits(c):
-    """Documents by how far their length is from 1,000 characters: type (language), id, distance; some hits come twice."""
-    d = c.table("documents").select(F.col("lang").alias("type"), F.col("doc_id").alias("id"), F.abs(F.col("n_chars") - 1000).alias("distance"))
+    """Documents by the cosine distance of their vectors to the first one; some hits come twice."""
+    d = document_hits(c)
     return d.unionByName(d.where("id % 3 = 0"))
 
 
 def _platform(c, remainder):
-    """A catalog with numeric ids from a third of the nations' customers and suppliers."""
-    sessions = c.table("customer").where(F.col("c_nationkey") % 3 == remainder).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    tables = c.table("part").where(F.col("p_size") % 3 == remainder).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("tname"))
-    links = c.table("orders").join(c.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where(F.col("o_orderkey") % 3 == remainder)
+    """A catalog with numeric ids: every second nation's customers, part size and order is of one of two platforms."""
+    sessions = c.table("customer").where(F.col("c_nationkey") % 2 == remainder).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    tables = c.table("part").where(F.col("p_size") % 2 == remainder).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("tname"))
+    links = c.table("orders").join(c.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where(F.col("o_orderkey") % 2 == remainder)
     return {"sessions": sessions, "tables": tables, "connections": links.select(F.col("o_custkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_linestatus").alias("conn_type"))}
 
 
@@ -96,7 +97,7 @@ def _merged(c, part):
     return drill.merge_platforms(_platform(c, 0), _platform(c, 1))[part]
 
 
-_SHIFT = "WITH s AS (SELECT coalesce(max(c_custkey), -1) + 1 AS s FROM customer WHERE c_nationkey % 3 = 0), t AS (SELECT coalesce(max(p_partkey), -1) + 1 AS t FROM part WHERE p_size % 3 = 0) "
+_SHIFT = "WITH s AS (SELECT coalesce(max(c_custkey), -1) + 1 AS s FROM customer WHERE c_nationkey % 2 = 0), t AS (SELECT coalesce(max(p_partkey), -1) + 1 AS t FROM part WHERE p_size % 2 = 0) "
 
 
 def _session_parts(c):
@@ -175,9 +176,9 @@ QUERIES = {
     "cluster_page": (_cluster_page, _LABELS + """, p AS (SELECT cluster, tname, row_number() OVER (PARTITION BY cluster ORDER BY count(DISTINCT sid) DESC, tname) AS r FROM cat_access JOIN labels USING (sid) GROUP BY cluster, tname), s AS (SELECT cluster, count(*) AS sessions, min(tier) AS first_tier FROM labels JOIN tiers USING (sid) GROUP BY cluster)
         SELECT * FROM s WHERE contains(lower(cluster), 'l2_1') OR cluster IN (SELECT cluster FROM p WHERE r <= 5 AND contains(lower(tname), 'l2_1')) ORDER BY sessions DESC, first_tier, cluster LIMIT 20"""),
     "rank_sessions": (_ranked, _RANKED),
-    "per_type_topk": (lambda c: drill.per_type_topk(_hits(c)), "WITH h AS (SELECT lang AS type, doc_id AS id, abs(n_chars - 1000) AS distance, row_number() OVER (PARTITION BY lang ORDER BY abs(n_chars - 1000), doc_id) AS r FROM documents) SELECT type, id, distance FROM h WHERE r <= 5 ORDER BY distance, type, id LIMIT 15"),
-    "merge_platforms": (lambda c: _merged(c, "connections"), _SHIFT + ", l AS (SELECT o_orderkey % 3 AS r, o_custkey, l_partkey, l_linestatus FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT o_custkey + CASE r WHEN 1 THEN s ELSE 0 END AS from_id, l_partkey + CASE r WHEN 1 THEN t ELSE 0 END AS to_id, l_linestatus AS conn_type FROM l, s, t WHERE r < 2"),
-    "merge_platforms_stats": (lambda c: _merged(c, "stats"), _SHIFT + "SELECT CAST(r + 1 AS INTEGER) AS platform, count(*) AS sessions, max(id) AS last_id FROM (SELECT c_nationkey % 3 AS r, c_custkey + CASE c_nationkey % 3 WHEN 1 THEN s ELSE 0 END AS id FROM customer, s) WHERE r < 2 GROUP BY r"),
+    "per_type_topk": (lambda c: drill.per_type_topk(_hits(c)), "WITH " + HITS_SQL + ", h AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY distance, id) AS r FROM hits) SELECT type, id, distance FROM h WHERE r <= 5 ORDER BY distance, type, id LIMIT 15"),
+    "merge_platforms": (lambda c: _merged(c, "connections"), _SHIFT + ", l AS (SELECT o_orderkey % 2 AS r, o_custkey, l_partkey, l_linestatus FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT o_custkey + CASE r WHEN 1 THEN s ELSE 0 END AS from_id, l_partkey + CASE r WHEN 1 THEN t ELSE 0 END AS to_id, l_linestatus AS conn_type FROM l, s, t WHERE r < 2"),
+    "merge_platforms_stats": (lambda c: _merged(c, "stats"), _SHIFT + "SELECT CAST(r + 1 AS INTEGER) AS platform, count(*) AS sessions, max(id) AS last_id FROM (SELECT c_nationkey % 2 AS r, c_custkey + CASE c_nationkey % 2 WHEN 1 THEN s ELSE 0 END AS id FROM customer, s) WHERE r < 2 GROUP BY r"),
     "merge_session_lists": (lambda c: drill.merge_session_lists(_session_parts(c)), """, p AS (SELECT n.sid, full_name, workflow, tname, coalesce(ascii(right(tname, 1)) % 3, 0) AS file FROM cat_names n LEFT JOIN cat_access a USING (sid)) SELECT full_name, any_value(workflow) FILTER (file > 0) AS workflow, coalesce(array_to_string(list_sort(list_distinct(list(tname) FILTER (tname IS NOT NULL))), ','), '') AS tables FROM p GROUP BY full_name"""),
     "connection_topology": (lambda c: _profiles(c)["nodes"], _SYSTEMS + "SELECT concat('sys', s_nationkey % 7) AS system, concat('c', s_suppkey) AS connection, concat('host', s_suppkey) AS host, concat('db', s_suppkey % 5) AS database, (SELECT count(*) FROM cat_link WHERE l_suppkey = s_suppkey) AS sessions FROM supplier"),
     "connection_topology_edges": (lambda c: _profiles(c)["edges"], _SYSTEMS + "SELECT a.system AS from_system, b.system AS to_system, count(*) AS sessions FROM on_system a JOIN on_system b ON a.sid = b.sid AND a.system < b.system GROUP BY ALL"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as t
 from weftline.operators import docs, views
+from weftline.plans.code import HITS_SQL, document_hits
 from weftline.plans.scores import _LABELS, _SCORE, _by_tier, _labels, _scores
 from weftline.shared import shared_dir
 from weftline.streaming import events
@@ -33,8 +34,8 @@ def _names(c):
 
 
 def _hybrid(c):
-    """Documents near 1,000 characters, and the catalog objects that the question names."""
-    near = c.table("documents").select(F.col("lang").alias("type"), F.col("doc_id").cast("string").alias("id"), (F.abs(F.col("n_chars") - 1000) / 1000).alias("distance"))
+    """Documents by the distance of their vectors, and the catalog objects that the question names."""
+    near = document_hits(c).withColumn("id", F.col("id").cast("string"))
     named = c.session.select(F.lit("session").alias("type"), F.col("sid").alias("id"), "name").unionByName(c.usage.select(F.lit("table").alias("type"), F.col("tname").alias("id"), F.col("tname").alias("name")))
     return docs.hybrid_search(near, named, "does s_m_25 write l1_3 or L2_7?").select("type", "id", F.round("distance", 6).alias("distance"))
 
@@ -77,7 +78,7 @@ QUERIES = {
     "doc_environment": (lambda c: docs.doc_environment(_stats(c), _folders(c)), """, fo AS (SELECT string_agg(concat(folder, ' ', n), ', ' ORDER BY concat(folder, ' ', n)) AS x FROM (SELECT folder, count(*) AS n FROM cat_names GROUP BY folder))
         SELECT concat((SELECT count(*) FROM tiers), ' sessions in ', (SELECT max(tier) FROM tiers), ' tiers, ', count(*) FILTER (type = 'conflict'), ' conflicts, ', count(*) FILTER (type = 'chain'), ' chains, ', count(*) FILTER (type = 'source'), ' source tables, folders: ', (SELECT x FROM fo)) AS doc FROM cat_table"""),
     "index_documents": (_indexed, "SELECT 'session' AS type, count(*) AS documents FROM cat_names UNION ALL SELECT 'table', count(*) FROM usage UNION ALL SELECT 'text', count(*) FROM documents"),
-    "hybrid_search": (_hybrid, """, x AS (SELECT lang AS type, CAST(doc_id AS VARCHAR) AS id, abs(n_chars - 1000) / 1000 AS distance FROM documents UNION ALL SELECT 'session', sid, 0.0 FROM cat_names WHERE name = 's_m_25' UNION ALL SELECT 'table', tname, 0.0 FROM usage WHERE tname IN ('L1_3', 'L2_7')),
+    "hybrid_search": (_hybrid, ", " + HITS_SQL + """, x AS (SELECT type, CAST(id AS VARCHAR) AS id, distance FROM hits UNION ALL SELECT 'session', sid, 0.0 FROM cat_names WHERE name = 's_m_25' UNION ALL SELECT 'table', tname, 0.0 FROM usage WHERE tname IN ('L1_3', 'L2_7')),
         r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY distance, id) AS r FROM x) SELECT type, id, round(distance, 6) AS distance FROM (SELECT * FROM r WHERE r <= 5 ORDER BY distance, type, id LIMIT 15)"""),
     "extract_references": (_answers, """, w AS (SELECT event_id AS answer, unnest([concat('L1_', user_id % 50), concat('S_M_', event_id % 40), concat('L2_', event_id % 30)]) AS w FROM events)
         SELECT DISTINCT answer, kind, name FROM w JOIN (SELECT 'session' AS kind, name FROM cat_names UNION ALL SELECT 'table', tname FROM usage) ON upper(name) = w"""),

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import graph
-from weftline.shared import shared_dir
+from weftline.shared import exists, shared_dir, version
 from weftline.sources import mappings as m
 
-_PATHS: dict[tuple[str, str], str] = {}
+_PATHS: dict[tuple, str] = {}
 
 
 def _path(c) -> str:
     """The exports of the whole catalog, written once a session and input folder."""
-    key = (c.spark.sparkContext.applicationId, c.sf_dir)
-    if key not in _PATHS:
+    key = (c.spark.sparkContext.applicationId, *version(c.spark, c.sf_dir, "orders", "lineitem", "part"))
+    if key not in _PATHS or not exists(c.spark, [_PATHS[key]]):
         path = shared_dir(c.spark, "mapping-exports")
         m.write_exports(c.base, c.access, path)
         _PATHS[key] = path

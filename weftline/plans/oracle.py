@@ -58,7 +58,7 @@ cat_sql AS (SELECT sid, concat('i_', l_linenumber) AS transform, CASE l_partkey
     WHEN 0 THEN concat('SELECT x.id, y.v FROM ', a, ' x JOIN ', b, ' y ON x.id = y.id', chr(10), 'WHERE x.v > 1') WHEN 1 THEN concat('DELETE FROM ', a, ' WHERE v IS NULL')
     WHEN 2 THEN concat('MERGE INTO ', a, ' USING ', b, ' ON (1 = 1)', chr(10), 'WHEN MATCHED THEN UPDATE SET v = 1') ELSE concat('BEGIN', chr(10), '  UPDATE ', a, ' SET v = NVL(v, 0);', chr(10), chr(10), 'END;') END AS sql_text,
     CASE l_partkey % 4 WHEN 0 THEN 'sql_override' WHEN 2 THEN 'post_sql' ELSE 'pre_sql' END AS kind
-  FROM (SELECT *, concat('DW.T', l_partkey % 50) AS a, concat('DW.U', l_suppkey % 20) AS b FROM cat_line WHERE l_linenumber IN (2, 5)))
+  FROM (SELECT *, concat('DW.T', l_partkey % 50) AS a, concat('DW.U', l_suppkey % 20) AS b FROM cat_line))
 """
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.operators import compare, score, usage, views
+from weftline.operators.ranking import positions
 from weftline.plans.oracle import oracle
 
 _DIMS = list(score.DIMENSIONS)
@@ -31,11 +31,12 @@ def _by_tier(c):
 
 
 def _latency(events):
-    """route, requests, errors, nearest-rank percentiles, mean: exact ranks from a window by route."""
-    rank, n = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")), F.count("*").over(Window.partitionBy("event_type"))
-    ranked = events.select("event_type", "value", "event_id", rank.alias("r"), n.alias("n"))
-    at = lambda p: F.max(F.when(F.col("r") == F.ceil(F.col("n") * p / 100), F.col("value")))
-    return ranked.groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("requests"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.round(F.avg("value"), 7).alias("mean"))
+    """route, requests, nearest-rank percentiles, mean: exact ranks from counts of values, so no task holds a route."""
+    ranked = positions(events.groupBy("event_type", "value").agg(F.count("*").alias("ties")), ["event_type", "value"], "before", "ties")
+    routes = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 7).alias("mean")).join(ranked.groupBy("event_type").agg(F.min("before").alias("first")), "event_type")
+    rank = F.col("before") - F.col("first")
+    at = lambda p: F.max(F.when((rank < F.ceil(F.col("n") * p / 100)) & (F.ceil(F.col("n") * p / 100) <= rank + F.col("ties")), F.col("value")))
+    return ranked.join(F.broadcast(routes), "event_type").groupBy(F.col("event_type").alias("route")).agg(F.max("n").alias("requests"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.max("mean").alias("mean"))
 
 
 _Z = ", ".join(f"round(abs(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1.0 END), 6) AS {c}" for c in _DIMS)
@@ -44,7 +45,7 @@ _FIRED = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {{'w': CAST({w} AS DOU
 _B = """, b AS (SELECT sid, full_name, CASE WHEN k % 37 = 0 THEN transforms + 1 ELSE transforms END AS transforms, step FROM cat_names WHERE k % 29 <> 0 UNION ALL SELECT sid, concat(full_name, '_new'), transforms, step FROM cat_names WHERE k % 31 = 0) """
 
 QUERIES = {
-    "percentile_norm": (lambda c: c.table("customer").select("c_custkey", F.round(score.percentile_norm(F.col("c_nationkey")), 6).alias("norm")), "WITH c AS (SELECT c_custkey, 100.0 * (rank() OVER (ORDER BY c_nationkey) - 1 + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0) / greatest(count(*) OVER () - 1, 1) AS n FROM customer) SELECT c_custkey, CAST(round(CAST(n AS DOUBLE), 6) AS DOUBLE) AS norm FROM c"),
+    "percentile_norm": (lambda c: score.percentile_norm(c.table("customer"), "c_nationkey").select("c_custkey", F.round("norm", 6).alias("norm")), "WITH c AS (SELECT c_custkey, 100.0 * (rank() OVER (ORDER BY c_nationkey) - 1 + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0) / greatest(count(*) OVER () - 1, 1) AS n FROM customer) SELECT c_custkey, CAST(round(CAST(n AS DOUBLE), 6) AS DOUBLE) AS norm FROM c"),
     "complexity_score": (_scores, _SCORE + "SELECT * FROM scores"),
     "complexity_summary": (lambda c: score.complexity_summary(_scores(c)), _SCORE + "SELECT count(*) AS sessions, round(avg(score), 4) AS mean, (SELECT score FROM scores ORDER BY score, sid LIMIT 1 OFFSET (SELECT CAST(floor(count(*) / 2) AS BIGINT) FROM scores)) AS median, min(score) AS least, max(score) AS most, round(stddev_pop(score), 4) AS std, round(sum(hours), 2) AS hours FROM scores"),
     "effort_estimate": (lambda c: score.effort_estimate(_scores(c)), _SCORE + f"""SELECT coalesce(bucket, 'all') AS bucket, count(*) AS sessions, CAST(sum(CASE bucket_ {_HOURS[0]} END) AS BIGINT) AS p10, CAST(sum(CASE bucket_ {_HOURS[1]} END) AS BIGINT) AS p50, CAST(sum(CASE bucket_ {_HOURS[2]} END) AS BIGINT) AS p90,
@@ -63,7 +64,7 @@ QUERIES = {
     "compare_tables": (lambda c: compare.compare_sets(usage.table_usage(c.access), usage.table_usage(c.access.join(c.base.where("k % 29 <> 0").select("sid"), "sid", "left_semi")), ["tname", "writers", "readers"]), """, after AS (SELECT tname, count(*) FILTER (role = 'target') AS writers, count(*) FILTER (role = 'source') AS readers FROM cat_access JOIN cat_session0 USING (sid) WHERE k % 29 <> 0 GROUP BY tname)
         SELECT *, 'removed' AS status FROM (SELECT tname, writers, readers FROM usage EXCEPT SELECT * FROM after) UNION ALL SELECT *, 'added' FROM (SELECT * FROM after EXCEPT SELECT tname, writers, readers FROM usage)"""),
     "compare_connections": (lambda c: compare.compare_sets(c.connections, c.connections.where("conn_type <> 'lookup_stale'"), ["from_id", "to_id", "conn_type"]), "SELECT *, 'removed' AS status FROM cat_connection WHERE conn_type = 'lookup_stale'"),
-    "merge_uploads": (lambda c: compare.merge_uploads(c.base.where("k % 2 = 0"), c.base.where("k % 3 = 0")), "SELECT sid, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS source FROM cat_session0 WHERE k % 2 = 0 OR k % 3 = 0"),
+    "merge_uploads": (lambda c: compare.merge_uploads(c.base.where("k % 2 = 0"), c.base.where("k % 2 = 1 or k % 3 = 0")), "SELECT sid, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS source FROM cat_session0"),
     "merge_duplicates": (lambda c: compare.merge_duplicates(c.session), "SELECT folder, workflow, targets, sid, members FROM (SELECT *, row_number() OVER (PARTITION BY folder, workflow, targets ORDER BY transforms DESC, sid) AS r, count(*) OVER (PARTITION BY folder, workflow, targets) AS members FROM cat_session) WHERE r = 1"),
     "schema_drift": (lambda c: compare.schema_drift(c.connector.select("sid", F.concat_ws(".", "from_instance", "from_field").alias("field")), c.connector.select("sid", F.concat_ws(".", "to_instance", "to_field").alias("field"))), """, x AS (SELECT DISTINCT sid, concat(from_instance, '.', from_field) AS field FROM cat_connector), y AS (SELECT DISTINCT sid, concat(to_instance, '.', to_field) AS field FROM cat_connector)
         SELECT sid, count(*) FILTER (a IS NULL) AS added, count(*) FILTER (b IS NULL) AS removed, count(*) AS fields FROM (SELECT *, 1 AS a FROM x) FULL JOIN (SELECT *, 1 AS b FROM y) USING (sid, field) GROUP BY sid"""),

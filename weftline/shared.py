@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """A new folder below ``spark.checkpoint.dir``, which every executor reaches.
+
+    Where the session names none, a temporary folder is set once, but only in local mode: on a cluster each machine has its
+    own, so tables would be lost.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -22,3 +29,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _status(spark: SparkSession, path: str):
+    """The file system's entry of a path, or None."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getFileStatus(at) if system.exists(at) else None
+
+
+def exists(spark: SparkSession, paths) -> bool:
+    return all(_status(spark, p) is not None for p in paths)
+
+
+def version(spark: SparkSession, sf_dir: str, *tables: str) -> tuple:
+    """Folder, and when the tables were written: what is kept of a folder holds for these tables alone."""
+    found = [_status(spark, f"{sf_dir}/{t}.parquet") for t in tables]
+    return sf_dir, *((s.getModificationTime(), s.getLen()) if s is not None else None for s in found)
