@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.shared import shared_dir, stored
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_ROWS", "bound_batches", "join_bounded", "range_cuts", "read", "shard_count", "shard_of", "shared_dir", "stored"]
+
 #: Bounds of one Arrow batch: rows, and bytes (a longer row makes a batch of its own).
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: A side is broadcast only up to so many rows of a few integers each (about 32 MB).
@@ -26,26 +28,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor reaches.
-
-    Only where the session names none (tests) is a temporary folder set, once per session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_bounded(df: DataFrame, side: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join a narrow ``side``; it is broadcast only if a count shows that it is within the bound.
 
