@@ -45,3 +45,19 @@ def test_two_cliques_are_two_communities(spark):
     assert found == {n: "a" if n in "abcde" else "q" if n == "q" else "v" for n in "abcdevwxyzq"}
     alone = communities.louvain(nodes, spark.createDataFrame([], "a string, b string, sim double")).collect()
     assert all(r.node == r.cluster for r in alone)
+
+
+def test_containers_that_hold_each_other(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("""<REPOSITORY><FOLDER NAME="A">
+      <TRANSFORMATION NAME="lkp_c" TYPE="Lookup Procedure"><TABLEATTRIBUTE NAME="Lookup table name" VALUE="common"/><TABLEATTRIBUTE NAME="Lookup condition" VALUE="a = b"/></TRANSFORMATION>
+      <WORKLET NAME="x"><TASKINSTANCE TASKTYPE="Worklet" REFERENCETASKNAME="y"/><TASKINSTANCE TASKTYPE="SESSION" REFERENCETASKNAME="s1"/></WORKLET>
+      <WORKLET NAME="y"><TASKINSTANCE TASKTYPE="worklet" REFERENCETASKNAME="x"/><TASKINSTANCE TASKTYPE="Session" REFERENCETASKNAME="s2"/><TASKINSTANCE TASKTYPE="Session"/><TASKINSTANCE TASKTYPE="Worklet" REFERENCETASKNAME="gone"/></WORKLET>
+      <WORKLET NAME="empty"></WORKLET>
+      <MAPPLET NAME="p"><INSTANCE NAME="i" TYPE="SOURCE" TRANSFORMATION_NAME="s"><ASSOCIATED_SOURCE_INSTANCE NAME="t"/></INSTANCE><INSTANCE NAME="q" TYPE="MAPPLET"/></MAPPLET>
+      <MAPPLET NAME="Q"><INSTANCE NAME="l" TYPE="TRANSFORMATION" TRANSFORMATION_NAME="lkp_c" TRANSFORMATION_TYPE="Lookup Procedure"/><INSTANCE NAME="p" TYPE="MAPPLET" TRANSFORMATION_NAME="P"/></MAPPLET>
+      <MAPPING NAME="m"><INSTANCE NAME="use" TYPE="MAPPLET" TRANSFORMATION_NAME="q"/><TRANSFORMATION NAME="r" TYPE="Router"><GROUP NAME="g"/><GROUP EXPRESSION="lost"/></TRANSFORMATION><TRANSFORMATION NAME="f" TYPE="Filter"><TABLEATTRIBUTE NAME="Filter Condition" VALUE=" "/></TRANSFORMATION></MAPPING>
+    </FOLDER><FOLDER NAME="B"><WORKLET NAME="y"><TASKINSTANCE TASKTYPE="Session" REFERENCETASKNAME="other"/></WORKLET></FOLDER></REPOSITORY>""")
+    folders = mappings.read_folders(spark, str(tmp_path))
+    assert {tuple(r) for r in mappings.worklet_sessions(folders).collect()} == {("x", "s1"), ("x", "s2"), ("y", "s1"), ("y", "s2"), ("y", "other")}
+    assert {tuple(r) for r in mappings.mapplet_tables(folders).collect()} == {("m", "source", "S"), ("m", "source", "T"), ("m", "lookup", "COMMON")}
+    assert {tuple(r) for r in mappings.conditions(folders).collect()} == {(None, "lkp_c", "lookup", "a = b", "common"), ("m", "r", "router", "", "g")}

@@ -2,8 +2,9 @@
 
 An export has a FOLDER element for each batch of sessions and a file for each few of them, so neither grows
 with the data. A folder holds
-transformations, mappings (instances and connectors), sessions (attributes, connections, overrides), schedulers,
-configs, source and target definitions and a workflow. Attribute names follow the export format.
+transformations, mappings (instances, connectors, transformations of their own), mapplets and worklets (both may hold
+others of their kind, even in a circle), sessions (attributes, connections, overrides), schedulers, configs, source
+and target definitions and a workflow. Attribute names follow the export format.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from weftline.shared import stored
+
 
 def _element(attributes: str, **children: T.DataType) -> T.StructType:
     """A struct of string attributes and of lists of child elements."""
@@ -21,11 +24,14 @@ def _element(attributes: str, **children: T.DataType) -> T.StructType:
 
 
 _ATTRIBUTE = _element("NAME VALUE")
+_TRANSFORMATION = _element("NAME TYPE", TABLEATTRIBUTE=_ATTRIBUTE, GROUP=_element("NAME EXPRESSION"))
+_INSTANCE = _element("NAME TYPE TRANSFORMATION_NAME TRANSFORMATION_TYPE", ASSOCIATED_SOURCE_INSTANCE=_element("NAME"))
 FOLDER = _element(
     "NAME OWNER",
     SOURCE=_element("NAME DATABASETYPE DBDNAME", SOURCEFIELD=_element("NAME DATATYPE KEYTYPE")), TARGET=_element("NAME DATABASETYPE", TARGETFIELD=_element("NAME DATATYPE KEYTYPE")),
-    TRANSFORMATION=_element("NAME TYPE", TABLEATTRIBUTE=_ATTRIBUTE),
-    MAPPING=_element("NAME ISVALID", INSTANCE=_element("NAME TYPE TRANSFORMATION_NAME TRANSFORMATION_TYPE"), CONNECTOR=_element("FROMINSTANCE FROMFIELD TOINSTANCE TOFIELD")),
+    TRANSFORMATION=_TRANSFORMATION, MAPPLET=_element("NAME", INSTANCE=_INSTANCE, TRANSFORMATION=_TRANSFORMATION),
+    WORKLET=_element("NAME", TASKINSTANCE=_element("TASKTYPE REFERENCETASKNAME")),
+    MAPPING=_element("NAME ISVALID", INSTANCE=_INSTANCE, TRANSFORMATION=_TRANSFORMATION, CONNECTOR=_element("FROMINSTANCE FROMFIELD TOINSTANCE TOFIELD")),
     SESSION=_element("NAME MAPPINGNAME CONFIGREFERENCE", ATTRIBUTE=_ATTRIBUTE, SESSTRANSFORMATIONINST=_element("TRANSFORMATIONNAME", ATTRIBUTE=_ATTRIBUTE, CONNECTIONREFERENCE=_element("CONNECTIONNAME CONNECTIONSUBTYPE"))),
     SCHEDULER=_element("NAME", SCHEDULEINFO=_element("SCHEDULETYPE FREQUENCY")), CONFIG=_element("NAME", ATTRIBUTE=_ATTRIBUTE),
     WORKFLOW=_element("NAME SCHEDULERREFERENCE", TASKINSTANCE=_element("TASKNAME"), WORKFLOWLINK=_element("FROMTASK TOTASK CONDITION")),
@@ -47,6 +53,31 @@ def _joined(column: Column) -> Column:
     return F.array_join(F.sort_array(F.collect_list(column)), "")
 
 
+def _conditional(k: Column) -> Column:
+    """Transformations of a mapping that hold conditions, by its number."""
+    attribute = lambda name, value: _tag("TABLEATTRIBUTE", NAME=name, VALUE=value)
+    of = lambda prefix, kind, body: _tag("TRANSFORMATION", body, NAME=F.concat(F.lit(prefix), k), TYPE=kind)
+    joiner = of("JNR_", "Joiner", F.concat(attribute("Join Condition", F.concat(F.lit("A.id = B.id"), k % 4)), attribute("Join Type", "Normal Join")))
+    chosen = of("FIL_", "Filter", attribute("Filter Condition", F.concat(F.lit("AMT &lt; "), k % 100)))
+    router = of("RTR_", "Router", F.concat(_tag("GROUP", NAME="G1", EXPRESSION=F.concat(F.lit("X = "), k % 7)), _tag("GROUP", NAME="DEFAULT1", EXPRESSION=F.lit(None).cast("string"))))
+    query = of("SQ_", "Source Qualifier", attribute("Sql Query", F.concat(F.lit("SELECT a FROM T"), k % 9)))
+    return F.concat(*[F.when(k % n == r, x).otherwise("") for n, r, x in ((3, 0, joiner), (4, 1, chosen), (5, 2, router), (6, 4, query))])
+
+
+def _containers(b: Column) -> Column:
+    """Two mapplets and three worklets of a batch; each holds the next, and in every second or third batch the last the first."""
+    name = lambda kind, i: F.concat(F.lit(kind), b, F.lit(f"_{i}"))
+    instance = lambda n, kind, of, what: _tag("INSTANCE", NAME=n, TYPE=kind, TRANSFORMATION_NAME=of, TRANSFORMATION_TYPE=what)
+    inner = lambda i: instance("MPLT", "MAPPLET", name("mp_", i), "Mapplet")
+    looked = F.concat(F.lit("ML_"), b)
+    lookup = _tag("TRANSFORMATION", _tag("TABLEATTRIBUTE", NAME="Lookup table name", VALUE=looked), NAME="lkp_inner", TYPE="Lookup Procedure")
+    first = F.concat(instance("SQ", "SOURCE", F.concat(F.lit("MS_"), b), "Source Definition"), instance("LKP", "TRANSFORMATION", F.lit("lkp_inner"), "Lookup Procedure"), lookup, inner(1))
+    second = F.concat(instance("TGT", "TARGET", F.concat(F.lit("MT_"), b), "Target Definition"), F.when(b % 3 == 0, inner(0)).otherwise(""))
+    nested = lambda i: _tag("TASKINSTANCE", TASKTYPE="Worklet", REFERENCETASKNAME=name("wl_", i))
+    lets = [F.concat("w0", nested(1)), F.concat("w1", nested(2)), F.concat("w2", F.when(b % 2 == 0, nested(0)).otherwise(""))]
+    return F.concat(_tag("MAPPLET", first, NAME=name("mp_", 0)), _tag("MAPPLET", second, NAME=name("mp_", 1)), *[_tag("WORKLET", x, NAME=name("wl_", i)) for i, x in enumerate(lets)])
+
+
 def write_exports(sessions: DataFrame, access: DataFrame, folder: str, batch: int = 20, per_file: int = 25) -> None:
     """Write the exports of ``sessions`` (sid, k) and ``access`` below ``folder``: FOLDER elements of at most ``batch``
     sessions, ``per_file`` of them a file."""
@@ -63,7 +94,10 @@ def write_exports(sessions: DataFrame, access: DataFrame, folder: str, batch: in
     wire = _tag("CONNECTOR", FROMINSTANCE=F.concat(F.lit("SQ_"), "s"), FROMFIELD="id", TOINSTANCE=F.concat(F.lit("TGT_"), "t"), TOFIELD="id")
     inner = access.groupBy("sid").agg(_joined(instance).alias("instances"), _joined(F.coalesce(lookup, source, target)).alias("defined"))
     rows = sessions.select("sid", "k").join(inner, "sid", "left").join(wired.groupBy("sid").agg(_joined(wire).alias("wires")), "sid", "left")
-    mapping = _tag("MAPPING", F.concat(F.coalesce("instances", F.lit("")), F.coalesce("wires", F.lit(""))), NAME=F.concat(F.lit("m_"), k), ISVALID=F.when(k % 13 == 0, "NO").otherwise("YES"))
+    b = F.floor(k / batch).cast("long")
+    used = F.when(k % 6 == 0, 0).when(k % 6 == 3, 1)
+    uses = F.when(used.isNotNull(), _tag("INSTANCE", NAME="MPLT", TYPE="MAPPLET", TRANSFORMATION_NAME=F.concat(F.lit("mp_"), b, F.lit("_"), used), TRANSFORMATION_TYPE="Mapplet")).otherwise("")
+    mapping = _tag("MAPPING", F.concat(F.coalesce("instances", F.lit("")), uses, _conditional(k), F.coalesce("wires", F.lit(""))), NAME=F.concat(F.lit("m_"), k), ISVALID=F.when(k % 13 == 0, "NO").otherwise("YES"))
     attributes = F.concat(_tag("ATTRIBUTE", NAME="Commit Interval", VALUE=k % 5 * 1000), F.when(k % 4 == 0, _tag("ATTRIBUTE", NAME="Pre SQL", VALUE=F.concat(F.lit("DELETE FROM T"), k))).otherwise(""))
     replaced = F.when(k % 11 == 0, "$Param").when(k % 7 == 0, F.concat(F.lit("OVR_"), k))
     part = _tag("SESSTRANSFORMATIONINST", F.concat(F.when(replaced.isNotNull(), _tag("ATTRIBUTE", NAME="Target Table Name", VALUE=replaced)).otherwise(""), _tag("CONNECTIONREFERENCE", CONNECTIONNAME=F.concat(F.lit("C"), k % 11), CONNECTIONSUBTYPE="Oracle")), TRANSFORMATIONNAME="TGT")
@@ -71,13 +105,12 @@ def write_exports(sessions: DataFrame, access: DataFrame, folder: str, batch: in
     session = _tag("SESSION", F.concat(attributes, part), NAME=name, MAPPINGNAME=F.concat(F.lit("m_"), k), CONFIGREFERENCE=F.concat(F.lit("cfg_"), k % 3))
     first = k % batch == 0
     link = _tag("WORKFLOWLINK", FROMTASK=F.when(first, "Start").otherwise(F.concat(F.lit("s_m_"), k - 1)), TOTASK=name, CONDITION=F.when(k % 3 == 0, "Status = SUCCEEDED"))
-    b = F.floor(k / batch).cast("long")
-    made = rows.select(b.alias("b"), F.coalesce("defined", F.lit("")).alias("defined"), mapping.alias("m"), session.alias("s"), _tag("TASKINSTANCE", TASKNAME=name).alias("t"), link.alias("l"))
-    batches = made.groupBy("b").agg(*[_joined(F.col(c)).alias(c) for c in ("defined", "m", "s", "t", "l")])
+    made = rows.select(b.alias("b"), F.coalesce("defined", F.lit("")).alias("defined"), mapping.alias("m"), session.alias("s"), _tag("TASKINSTANCE", TASKNAME=name).alias("t"), link.alias("l"), *[F.when((k % batch >= 5 * i) & (k % batch < 5 * i + 5), _tag("TASKINSTANCE", TASKTYPE="Session", REFERENCETASKNAME=name)).alias(f"w{i}") for i in range(3)])
+    batches = made.groupBy("b").agg(*[_joined(F.col(c)).alias(c) for c in ("defined", "m", "s", "t", "l", "w0", "w1", "w2")])
     scheduler = _tag("SCHEDULER", _tag("SCHEDULEINFO", SCHEDULETYPE="RunOnce", FREQUENCY=F.when(F.col("b") % 4 == 0, "Daily").otherwise("Weekly")), NAME=F.concat(F.lit("sch_"), F.col("b") % 4))
     configs = F.concat(*[_tag("CONFIG", _tag("ATTRIBUTE", NAME="Tracing", VALUE=str(i)), NAME=f"cfg_{i}") for i in range(3)])
     workflow = _tag("WORKFLOW", F.concat("t", "l"), NAME=F.concat(F.lit("wf_b"), "b"), SCHEDULERREFERENCE=F.concat(F.lit("sch_"), F.col("b") % 4))
-    inside = _tag("FOLDER", F.concat("defined", "m", "s", scheduler, configs, workflow), NAME=F.concat(F.lit("F"), F.col("b") % 7), OWNER="etl")
+    inside = _tag("FOLDER", F.concat("defined", _containers(F.col("b")), "m", "s", scheduler, configs, workflow), NAME=F.concat(F.lit("F"), F.col("b") % 7), OWNER="etl")
     files = batches.select(F.floor(F.col("b") / per_file).cast("long").alias("f"), inside.alias("xml")).groupBy("f").agg(_joined(F.col("xml")).alias("xml"))
     head = _tag("REPOSITORY", F.col("xml"), NAME=F.concat(F.lit("REP_"), F.col("f") % 3), VERSION="1", CODEPAGE="UTF-8", DATABASETYPE="Oracle")
     whole = F.concat(F.lit('<POWERMART CREATION_DATE="2020-01-01">'), head, F.lit("</POWERMART>"))
@@ -121,6 +154,66 @@ def mapping_tables(folders: DataFrame) -> DataFrame:
     return found.groupBy("mapping").agg(of("Source Definition", F.col("tx")).alias("sources"), of("Target Definition", F.col("tx")).alias("targets"), of("Lookup Procedure", F.col("tname")).alias("lookups"))
 
 
+def nested(nodes: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, root, node: what every node (keys, node) holds, itself included, through ``refs`` (keys, node, inner) of any depth. A
+    pair is followed once, so containers that hold each other in a circle end."""
+    refs = stored(refs.select(*keys, "node", "inner").distinct(), "nested-refs")
+    seen = stored(nodes.select(*keys, F.col("node").alias("root"), "node").distinct(), "nested")
+    front = seen
+    while True:
+        deeper = front.join(refs, [*keys, "node"]).select(*keys, "root", F.col("inner").alias("node")).distinct().join(seen, [*keys, "root", "node"], "left_anti")
+        front = stored(deeper, "nested")
+        if not front.limit(1).count():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def worklet_sessions(folders: DataFrame) -> DataFrame:
+    """worklet, session: sessions of a worklet and of those inside it, to any depth."""
+    lets = _each(folders, "WORKLET").select("folder", F.col("e._NAME").alias("node"), F.explode_outer("e.TASKINSTANCE").alias("t"))
+    tasks = stored(lets.select("folder", "node", F.lower("t._TASKTYPE").alias("kind"), F.col("t._REFERENCETASKNAME").alias("ref")), "worklets")
+    held = nested(tasks, tasks.where("kind = 'worklet' and ref is not null").withColumnRenamed("ref", "inner"), ["folder"])
+    own = tasks.where("kind = 'session' and ref is not null").select("folder", "node", F.col("ref").alias("session"))
+    return held.join(own, ["folder", "node"]).select(F.col("root").alias("worklet"), "session").distinct()
+
+
+def mapplet_tables(folders: DataFrame) -> DataFrame:
+    """mapping, role, tname: the tables that a mapping uses through its mapplets, and through mapplets inside these.
+
+    A mapplet's sources, their associated sources and targets are its instances'; a lookup's table is that of its own
+    transformations first, then of the folder's.
+    """
+    rows = _each(folders, "MAPPLET").select("folder", F.upper(F.trim("e._NAME")).alias("node"), "e")
+    inside = stored(rows.select("folder", "node", F.explode_outer("e.INSTANCE").alias("i")).select(
+        "folder", "node", F.lower("i._TYPE").alias("type"), F.lower("i._TRANSFORMATION_TYPE").alias("kind"), F.coalesce("i._TRANSFORMATION_NAME", "i._NAME").alias("name"), F.transform("i.ASSOCIATED_SOURCE_INSTANCE", lambda a: a["_NAME"]).alias("also")), "mapplets")
+    mine = rows.select("folder", "node", F.explode("e.TRANSFORMATION").alias("x")).select("folder", "node", F.col("x._NAME").alias("name"), F.explode("x.TABLEATTRIBUTE").alias("a")).where("lower(a._NAME) = 'lookup table name'")
+    mine = mine.groupBy("folder", "node", "name").agg(F.upper(F.trim(F.max("a._VALUE"))).alias("own"))
+    shared = lookup_tables(folders).groupBy("folder", F.col("transform").alias("name")).agg(F.min("tname").alias("common"))
+    looked = inside.where("kind like '%lookup%'").join(mine, ["folder", "node", "name"], "left").join(shared, ["folder", "name"], "left").select("folder", "node", F.lit("lookup").alias("role"), F.coalesce("own", "common").alias("tname"))
+    read = inside.where("type = 'source'").select("folder", "node", F.lit("source").alias("role"), F.explode(F.concat(F.array(F.upper("name")), F.coalesce(F.transform("also", F.upper), F.array().cast("array<string>")))).alias("tname"))
+    written = inside.where("type = 'target'").select("folder", "node", F.lit("target").alias("role"), F.upper("name").alias("tname"))
+    tables = stored(looked.unionByName(read).unionByName(written).where("tname is not null").distinct(), "mapplet-tables")
+    refs = inside.where("type = 'mapplet'").select("folder", "node", F.upper(F.trim("name")).alias("inner"))
+    held = nested(inside, refs, ["folder"])
+    uses = _nested(_each(folders, "MAPPING"), "INSTANCE", "folder", F.col("e._NAME").alias("mapping")).where("lower(i._TYPE) = 'mapplet'").select("folder", "mapping", F.upper(F.trim(F.coalesce("i._TRANSFORMATION_NAME", "i._NAME"))).alias("root"))
+    return uses.join(held, ["folder", "root"]).join(tables, ["folder", "node"]).select("mapping", "role", "tname").distinct()
+
+
+def conditions(folders: DataFrame) -> DataFrame:
+    """mapping, transform, kind, text, extra: SQL in place of a read, conditions of joins (extra: their type), filters, lookups (extra:
+    the table) and router groups (extra: the group). Reusable transformations have no mapping; empty values are left out."""
+    own = _nested(_each(folders, "MAPPING"), "TRANSFORMATION", F.col("e._NAME").alias("mapping")).select("mapping", F.col("i").alias("x"))
+    rows = own.unionByName(_each(folders, "TRANSFORMATION").select(F.lit(None).cast("string").alias("mapping"), F.col("e").alias("x")))
+    value = lambda part: F.try_element_at(F.filter("x.TABLEATTRIBUTE", lambda a: F.contains(F.lower(a["_NAME"]), F.lit(part))), F.lit(1))["_VALUE"]
+    at = rows.select("mapping", F.col("x._NAME").alias("transform"), F.lower("x._TYPE").alias("type"), value("join type").alias("join"), value("lookup table name").alias("table"), F.explode("x.TABLEATTRIBUTE").alias("a"))
+    name, has = F.lower("a._NAME"), lambda s: F.contains(F.lower("a._NAME"), F.lit(s))
+    kind = F.when(has("sql query") | has("sql override"), "sql").when(has("join condition"), "join").when((name == "filter condition") & F.contains("type", F.lit("filter")), "filter").when(has("lookup condition"), "lookup")
+    extra = F.when(kind == "join", F.col("join")).when(kind == "lookup", F.col("table"))
+    found = at.select("mapping", "transform", kind.alias("kind"), F.trim("a._VALUE").alias("text"), F.coalesce(extra, F.lit("")).alias("extra")).where("kind is not null and text <> ''")
+    routed = rows.where("lower(x._TYPE) like '%router%'").select("mapping", F.col("x._NAME").alias("transform"), F.explode("x.GROUP").alias("g")).where("g._NAME is not null")
+    return found.unionByName(routed.select("mapping", "transform", F.lit("router").alias("kind"), F.coalesce("g._EXPRESSION", F.lit("")).alias("text"), F.col("g._NAME").alias("extra")))
+
+
 def connectors(folders: DataFrame) -> DataFrame:
     """mapping, from_instance, from_field, to_instance, to_field."""
     rows = _nested(_each(folders, "MAPPING"), "CONNECTOR", F.col("e._NAME").alias("mapping"))
