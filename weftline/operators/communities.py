@@ -4,8 +4,8 @@ All resolutions run in the same rounds (a column ``r`` keys every table), so a s
 evaluates every node once: the weight to its own and to the best other community. The same table gives the modularity of
 the labels, so a round that moved about half of the nodes that gain is kept only if modularity rose; otherwise only
 moves are made that are the best of all that touch their old or their new community. Those never touch the same
-community, so their gains add up, and modularity rises in every such round. A level ends when nothing gains, or when such
-a round gains less than ``SETTLED``. A contracted community's inner weight stays as a loop: it counts in degrees and in
+community, so their gains add up, and modularity rises in every such round. A level ends when nothing gains, or when a
+round that is kept adds less than ``SETTLED``. A contracted community's inner weight stays as a loop: it counts in degrees and in
 modularity, never as a tie to a community.
 """
 
@@ -20,8 +20,8 @@ from weftline.shared import stored
 SCALES = {"macro": 0.3, "meso": 1.0, "micro": 3.0}
 AUTO = (0.5, 0.8, 1.0, 1.3, 1.8, 2.5, 4.0)
 SWEEP = (0.1, 0.3, 0.5, 0.8, 1.0, 1.5, 2.0, 3.0, 5.0)
-#: A round of separate moves that adds less modularity ends a level.
-SETTLED = 1e-5
+#: A round that adds less modularity ends a level.
+SETTLED = 1e-4
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _level(edges: DataFrame, total: float, inner: dict[float, float], settled: f
                 redo.append(r)
                 continue
             known[r] = q
-            if not x.n or gain is not None and r in strict and gain < settled:
+            if not x.n or gain is not None and gain < settled:
                 over.append(r)
         strict = set(redo)
         if redo:  # back to the labels before, and only separate moves from there

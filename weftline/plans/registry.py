@@ -10,7 +10,7 @@ from weftline.catalog import Catalog
 from weftline.plans import centrality, clusters, code, detail, documents, exported, flows, jobs, lineage, more, partitions, scores
 from weftline.plans.oracle import oracle
 
-_FAMILIES = (lineage.QUERIES, code.QUERIES, scores.QUERIES, jobs.QUERIES, more.QUERIES, detail.QUERIES, exported.QUERIES, flows.QUERIES, documents.QUERIES, clusters.QUERIES, centrality.QUERIES, partitions.QUERIES)
+_FAMILIES = (lineage.QUERIES, code.QUERIES, scores.QUERIES, jobs.QUERIES, more.QUERIES, detail.QUERIES, exported.QUERIES, flows.QUERIES, documents.QUERIES, centrality.QUERIES, partitions.QUERIES, clusters.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
