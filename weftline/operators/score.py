@@ -9,6 +9,14 @@ from pyspark.sql.window import Window
 from weftline.operators.ranking import positions
 
 DIMENSIONS = {"transforms": 0.3, "join_count": 0.15, "filter_count": 0.1, "router_count": 0.1, "lookup_count": 0.1, "ext_reads": 0.05, "n_sources": 0.1, "n_targets": 0.1}
+#: The dimensions of complexity and their weights, which sum to 1.
+COMPLEXITY = {
+    "transform_volume": 0.10, "diversity": 0.07, "risk": 0.12, "io_volume": 0.07, "lookup_intensity": 0.07, "coupling": 0.10, "structural_depth": 0.07, "external_reads": 0.05,
+    "expression_complexity": 0.08, "parameter_dependency": 0.04, "sql_override_complexity": 0.05, "join_complexity": 0.05, "field_mapping_density": 0.04, "lookup_cache_potential": 0.03,
+    "error_handling": 0.03, "schedule_dependency": 0.03,
+}
+#: Dimensions where 0 is a place like others; elsewhere 0 means no complexity.
+RANKED_ZEROS = ("diversity", "structural_depth")
 HOURS = {"low": (4, 8, 16), "medium": (8, 16, 32), "high": (16, 32, 64), "very_high": (32, 64, 120)}
 
 
@@ -32,27 +40,54 @@ def features(sessions: DataFrame) -> DataFrame:
     return sessions.select("sid", "name", "tier", "workflow", *[c for c in DIMENSIONS if c not in ("n_sources", "n_targets")], F.size("sources").cast("long").alias("n_sources"), F.size("targets").cast("long").alias("n_targets"))
 
 
+def complexity_inputs(features: DataFrame, coupling: DataFrame) -> DataFrame:
+    """sid and the raw value of each dimension of ``COMPLEXITY`` from feature rows and (sid, coupled)."""
+    reads = F.col("source_table_count") + F.col("target_table_count") + F.col("lookup_table_count")
+    raw = {
+        "transform_volume": F.col("transform_count"), "diversity": F.col("total_table_footprint"), "risk": F.col("write_conflict_count") + F.col("staleness_risk"), "io_volume": reads,
+        "lookup_intensity": F.col("lookup_count"), "coupling": F.coalesce("coupled", F.lit(0)), "structural_depth": F.col("dependency_depth"), "external_reads": F.col("ext_reads"),
+        "expression_complexity": F.col("expression_complexity_score"), "parameter_dependency": F.col("parameter_count"), "sql_override_complexity": F.col("sql_override_count"), "join_complexity": F.col("join_count"),
+        "field_mapping_density": F.round(F.col("field_count") / F.greatest(F.col("transform_count"), F.lit(1.0)), 6), "lookup_cache_potential": F.col("lookup_cache_potential"),
+        "error_handling": F.col("filter_count") + F.col("router_group_count"), "schedule_dependency": F.col("schedule_frequency_code"),
+    }
+    return features.join(coupling, "sid", "left").select("sid", *[raw[d].cast("double").alias(d) for d in COMPLEXITY])
+
+
 def complexity_score(rows: DataFrame) -> DataFrame:
-    """sid, score, bucket, hours: weighted percentile norms of the dimensions.
+    """sid, score, bucket, hours, raw_d and norm_d of each dimension d, top_drivers (the three that add most, earlier ones
+    first among equals).
 
-    The long form has a row a session and dimension; norms are windows over the values of a dimension,
-    summed first by (dimension, value) so that a window sees distinct values, not sessions.
+    A norm is the place of a value among all sessions from 0 to 100, ties by mean rank; but for ``RANKED_ZEROS`` values of 0 and
+    less are 0 and the others are placed among themselves, at 1 at least. One value alone is 50. The long form has a row a
+    session and dimension; values are counted first and placed by range partitions, so no task holds a dimension. Null
+    counts as 0. Empty input: no rows.
     """
-    pairs = ", ".join(f"'{c}', cast({c} as double)" for c in DIMENSIONS)
-    long = rows.selectExpr("sid", f"stack({len(DIMENSIONS)}, {pairs}) as (dimension, value)")
+    names = list(COMPLEXITY)
+    long = rows.selectExpr("sid", f"stack({len(names)}, {', '.join(f"{k}, coalesce({d}, 0d)" for k, d in enumerate(names))}) as (dimension, value)")
+    floored = ~F.col("dimension").isin([names.index(d) for d in RANKED_ZEROS])
     counts = long.groupBy("dimension", "value").agg(F.count("*").alias("ties"))
-    by = Window.partitionBy("dimension")
-    below = F.coalesce(F.sum("ties").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("ties").over(by)
-    norm = counts.select("dimension", "value", F.when(n == 1, F.lit(50.0)).otherwise(100.0 * (below + (F.col("ties") - 1) / 2.0) / F.greatest(n - 1, F.lit(1))).alias("norm"))
-    weight = F.lit(0.0)
-    for c, w in DIMENSIONS.items():
-        weight = F.when(F.col("dimension") == c, F.lit(w)).otherwise(weight)
-    scored = long.join(norm, ["dimension", "value"]).groupBy("sid").agg(F.round(F.sum(F.round(F.col("norm") * weight, 6).cast("decimal(18,6)")), 2).cast("double").alias("score"))
+    kept = counts.where(~floored | (F.col("value") > 0))
+    ranked = positions(kept, ["dimension", "value"], "before", "ties")
+    whole = ranked.groupBy("dimension").agg(F.min("before").alias("first"), F.sum("ties").alias("n"))
+    below = F.col("before") - F.col("first")
+    place = 100.0 * (below + (F.col("ties") - 1) / 2.0) / F.greatest(F.col("n") - 1, F.lit(1))
+    norms = ranked.join(F.broadcast(whole), "dimension").select("dimension", "value", F.when(F.col("n") == 1, F.lit(50.0)).otherwise(F.when(floored, F.greatest(F.lit(1.0), place)).otherwise(place)).alias("norm"))
+    alone = F.broadcast(rows.agg((F.count("*") == 1).alias("alone")))
+    weights = F.array(*[F.lit(w) for w in COMPLEXITY.values()])
+    placed = long.join(norms, ["dimension", "value"], "left").crossJoin(alone)
+    norm = F.when(F.col("alone"), F.lit(50.0)).otherwise(F.coalesce("norm", F.lit(0.0)))
+    share = F.round(norm * F.element_at(weights, F.col("dimension") + 1), 6)
+    placed = placed.select("sid", "dimension", "value", norm.alias("norm"), share.alias("share"))
+    of = lambda k, c: F.max(F.when(F.col("dimension") == k, F.col(c)))
+    drivers = F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("less"), "dimension")))
+    scored = placed.groupBy("sid").agg(
+        F.round(F.sum(F.col("share").cast("decimal(18,6)")), 2).cast("double").alias("score"), drivers.alias("drivers"),
+        *[of(k, "value").alias(f"raw_{d}") for k, d in enumerate(names)], *[F.round(of(k, "norm"), 6).alias(f"norm_{d}") for k, d in enumerate(names)])
     s = F.col("score")
     bucket = F.when(s < 30, "low").when(s < 55, "medium").when(s < 75, "high").otherwise("very_high")
     hours = F.when(s < 30, 8).when(s < 55, 16).when(s < 75, 32).otherwise(64) * 0.7
-    return scored.select("sid", "score", bucket.alias("bucket"), F.round(hours, 2).alias("hours"))
+    top = F.array_join(F.transform(F.slice("drivers", 1, 3), lambda x: F.element_at(F.array(*map(F.lit, names)), x["dimension"] + 1)), ",")
+    return scored.select("sid", "score", bucket.alias("bucket"), F.round(hours, 2).alias("hours"), top.alias("top_drivers"), *[f"raw_{d}" for d in names], *[f"norm_{d}" for d in names])
 
 
 def complexity_summary(scores: DataFrame) -> DataFrame:

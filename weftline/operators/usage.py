@@ -102,11 +102,27 @@ def similarity_pairs(access: DataFrame, metric: str = "jaccard", max_share: int
     return pairs.select("a", "b", (F.col("shared") / below).alias("sim"))
 
 
-def coupling_counts(access: DataFrame) -> DataFrame:
-    """sid, coupled: other sessions that share a table."""
-    pairs = shared_table_pairs(access)
-    counts = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("coupled"))
-    return access.select("sid").distinct().join(counts, "sid", "left").select("sid", F.coalesce("coupled", F.lit(0)).cast("long").alias("coupled"))
+def coupling_counts(access: DataFrame, bound: int = 500) -> DataFrame:
+    """sid, coupled: other sessions that share a table, exact.
+
+    Tables of more than ``bound`` sessions make no pairs: sessions with one set of such tables are one row with a count, and
+    sets meet sets. Other tables make at most ``bound`` pairs a session, of which those stay whose sessions do not meet
+    in a hot table anyway.
+    """
+    held = access.select("sid", "tname").distinct()
+    users = held.groupBy("tname").agg(F.count("*").alias("n"))
+    hot = held.join(users.where(F.col("n") > bound).select("tname"), "tname", "left_semi").groupBy("sid").agg(F.sort_array(F.collect_set("tname")).alias("hot"))
+    sets = hot.groupBy("hot").agg(F.count("*").alias("n"))
+    ends = sets.select("hot", "n", F.explode("hot").alias("tname"))
+    met = ends.select("hot", "tname").join(ends.select(F.col("hot").alias("other"), "n", "tname"), "tname").select("hot", "other", "n").distinct()
+    reach = hot.join(met.groupBy("hot").agg((F.sum("n") - 1).alias("near")), "hot").select("sid", "near")
+    cold = held.join(users.where(F.col("n") <= bound).select("tname"), "tname", "left_semi")
+    pairs = cold.join(cold.select(F.col("sid").alias("b"), "tname"), "tname").where("sid <> b").select("sid", "b").distinct()
+    apart = pairs.join(hot, "sid", "left").join(hot.select(F.col("sid").alias("b"), F.col("hot").alias("theirs")), "b", "left")
+    apart = apart.where(~F.coalesce(F.arrays_overlap("hot", "theirs"), F.lit(False)))
+    counts = apart.groupBy("sid").agg(F.count("*").alias("far"))
+    rows = access.select("sid").distinct().join(counts, "sid", "left").join(reach, "sid", "left")
+    return rows.select("sid", (F.coalesce("far", F.lit(0)) + F.coalesce("near", F.lit(0))).cast("long").alias("coupled"))
 
 
 def table_gravity(access: DataFrame) -> DataFrame:

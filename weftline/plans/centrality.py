@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import centrality, graph, score
+from weftline.operators import centrality, graph
+from weftline.plans.scores import _scores
 from weftline.shared import stored
 
 #: Origins of the approximated betweenness.
@@ -17,7 +18,7 @@ def _nodes(c):
 
 def _mass(c):
     """At least 1: a session's complexity over 50."""
-    return score.complexity_score(score.features(c.tiered)).select(F.col("sid").alias("node"), F.greatest(F.lit(1.0), F.col("score") / 50).alias("mass"))
+    return _scores(c).select(F.col("sid").alias("node"), F.greatest(F.lit(1.0), F.col("score") / 50).alias("mass"))
 
 
 def _criticality(c):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import drill, features, usage
 from weftline.plans.code import HITS_SQL, document_hits
 from weftline.plans.lineage import START, TABLE, start_of
-from weftline.plans.scores import _LABELS, _SCORE, _by_tier, _labels, _scores
+from weftline.plans.scores import _LABELS, _PARTS, _SCORE, _by_tier, _labels, _scores
 
 #: What the sample queries ask for.
 WORKFLOW, PREFIX = "wf_3", "s_m_1"
@@ -19,15 +19,7 @@ def _features(c):
     return features.session_features(c.tiered, c.access, c.connections, c.edges, c.expression, c.sql, c.instance, c.connector)
 
 
-_FEATURES = r""", f_access AS (SELECT sid, count(*) FILTER (role = 'source') AS s, count(*) FILTER (role = 'target') AS t, count(*) FILTER (role = 'lookup') AS l, count(DISTINCT tname) AS d, round(count(DISTINCT tname) / count(*), 6) AS u FROM cat_access GROUP BY sid),
-f_typed AS (SELECT node AS sid, count(*) FILTER (conn_type = 'write_conflict') AS w, count(*) FILTER (conn_type = 'chain') AS c, count(*) FILTER (conn_type = 'lookup_stale') AS k FROM conn_ends GROUP BY node),
-f_up AS (SELECT dst AS sid, count(*) AS n FROM edges GROUP BY dst), f_down AS (SELECT src AS sid, count(*) AS n FROM edges GROUP BY src),
-f_text AS (SELECT sid, count(*) AS n, round(sum(len(regexp_extract_all(expression_text, '\('))) / count(*), 6) AS p FROM cat_expression GROUP BY sid),
-f_param AS (SELECT sid, count(DISTINCT p) AS n FROM (SELECT sid, unnest(regexp_extract_all(expression_text, '\$\$\w+')) AS p FROM cat_expression) GROUP BY sid),
-f_sql AS (SELECT sid, count(*) FILTER (kind = 'sql_override') AS o, count(*) FILTER (kind <> 'sql_override') AS p, count(*) FILTER (starts_with(sql_text, 'BEGIN')) AS b FROM cat_sql GROUP BY sid),
-f_inst AS (SELECT sid, count(*) FILTER (transformation_type = 'Joiner') AS j, count(*) FILTER (transformation_type = 'Filter') AS f, count(*) FILTER (transformation_type = 'Router') AS r FROM cat_instance GROUP BY sid),
-f_conn AS (SELECT sid, count(*) AS n FROM cat_connector GROUP BY sid),
-f_field AS (SELECT sid, count(DISTINCT x) AS n FROM (SELECT sid, concat(from_instance, '.', from_field) AS x FROM cat_connector UNION ALL SELECT sid, concat(to_instance, '.', to_field) FROM cat_connector) GROUP BY sid),
+_FEATURES = _PARTS + r""", f_up AS (SELECT dst AS sid, count(*) AS n FROM edges GROUP BY dst), f_down AS (SELECT src AS sid, count(*) AS n FROM edges GROUP BY src),
 feat AS (SELECT z.sid, z.tier AS tier, z.transforms AS transform_count, z.ext_reads, z.lookup_count, a.s AS source_table_count, a.t AS target_table_count, a.l AS lookup_table_count, a.d AS total_table_footprint, a.u AS unique_table_ratio,
   CAST(z.critical AS INTEGER) AS is_critical, up.n AS upstream_count, dn.n AS downstream_count, z.tier AS dependency_depth, ty.w AS write_conflict_count, ty.c AS chain_involvement, ty.k AS staleness_risk, x.n AS expression_count, pa.n AS parameter_count,
   q.o AS sql_override_count, i.j AS join_count, i.f AS filter_count, i.r AS router_group_count, 0 AS lookup_cache_potential, ff.n AS field_count, cc.n AS connector_count, 0 AS mapplet_usage, 0 AS worklet_nesting_depth, 0 AS schedule_frequency_code,

@@ -4,22 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import compare, score, usage, views
+from weftline.operators import compare, features, score, usage, views
 from weftline.operators.ranking import positions
 from weftline.plans.oracle import oracle
 
 _DIMS = list(score.DIMENSIONS)
-_SCORE = ", long AS (" + " UNION ALL ".join(f"SELECT sid, '{c}' AS dimension, CAST({c} AS DOUBLE) AS value FROM cat_session" for c in _DIMS) + """),
-norms AS (SELECT sid, dimension, CASE WHEN count(*) OVER (PARTITION BY dimension) = 1 THEN 50.0 ELSE 100.0 * (rank() OVER (PARTITION BY dimension ORDER BY value) - 1 + (count(*) OVER (PARTITION BY dimension, value) - 1) / 2.0) / (count(*) OVER (PARTITION BY dimension) - 1) END AS norm FROM long),
-scored AS (SELECT sid, CAST(round(sum(CAST(round(CAST(norm AS DOUBLE) * CASE dimension """ + " ".join(f"WHEN '{c}' THEN CAST({w} AS DOUBLE)" for c, w in score.DIMENSIONS.items()) + """ END, 6) AS DECIMAL(18,6))), 2) AS DOUBLE) AS score FROM norms GROUP BY sid),
+_PARTS = r""", f_access AS (SELECT sid, count(*) FILTER (role = 'source') AS s, count(*) FILTER (role = 'target') AS t, count(*) FILTER (role = 'lookup') AS l, count(DISTINCT tname) AS d, round(count(DISTINCT tname) / count(*), 6) AS u FROM cat_access GROUP BY sid),
+f_typed AS (SELECT node AS sid, count(*) FILTER (conn_type = 'write_conflict') AS w, count(*) FILTER (conn_type = 'chain') AS c, count(*) FILTER (conn_type = 'lookup_stale') AS k FROM conn_ends GROUP BY node),
+f_text AS (SELECT sid, count(*) AS n, round(sum(len(regexp_extract_all(expression_text, '\('))) / count(*), 6) AS p FROM cat_expression GROUP BY sid),
+f_param AS (SELECT sid, count(DISTINCT p) AS n FROM (SELECT sid, unnest(regexp_extract_all(expression_text, '\$\$\w+')) AS p FROM cat_expression) GROUP BY sid),
+f_sql AS (SELECT sid, count(*) FILTER (kind = 'sql_override') AS o, count(*) FILTER (kind <> 'sql_override') AS p, count(*) FILTER (starts_with(sql_text, 'BEGIN')) AS b FROM cat_sql GROUP BY sid),
+f_inst AS (SELECT sid, count(*) FILTER (transformation_type = 'Joiner') AS j, count(*) FILTER (transformation_type = 'Filter') AS f, count(*) FILTER (transformation_type = 'Router') AS r FROM cat_instance GROUP BY sid),
+f_conn AS (SELECT sid, count(*) AS n FROM cat_connector GROUP BY sid),
+f_field AS (SELECT sid, count(DISTINCT x) AS n FROM (SELECT sid, concat(from_instance, '.', from_field) AS x FROM cat_connector UNION ALL SELECT sid, concat(to_instance, '.', to_field) FROM cat_connector) GROUP BY sid) """
+_RAW = {
+    "transform_volume": "z.transforms", "diversity": "a.d", "risk": "coalesce(ty.w, 0) + coalesce(ty.k, 0)", "io_volume": "a.s + a.t + a.l", "lookup_intensity": "z.lookup_count", "coupling": "cp.n", "structural_depth": "z.tier",
+    "external_reads": "z.ext_reads", "expression_complexity": "x.p", "parameter_dependency": "pa.n", "sql_override_complexity": "q.o", "join_complexity": "i.j", "field_mapping_density": "round(ff.n / greatest(z.transforms, 1), 6)",
+    "lookup_cache_potential": "0", "error_handling": "i.f + i.r", "schedule_dependency": "0",
+}
+_FLOORED = "(dimension NOT IN (" + ", ".join(f"'{d}'" for d in score.RANKED_ZEROS) + ") AND value <= 0)"
+_COLUMNS = ", ".join(f"max(value) FILTER (dimension = '{d}') AS raw_{d}, round(max(norm) FILTER (dimension = '{d}'), 6) AS norm_{d}" for d in score.COMPLEXITY)
+_SCORE = _PARTS + ", f_couple AS (SELECT sid, count(*) AS n FROM (SELECT a AS sid FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY sid), dims AS MATERIALIZED (SELECT z.sid, " + ", ".join(f"CAST(coalesce({_RAW[d]}, 0) AS DOUBLE) AS {d}" for d in score.COMPLEXITY) + """
+  FROM cat_s z LEFT JOIN f_access a USING (sid) LEFT JOIN f_typed ty USING (sid) LEFT JOIN f_couple cp USING (sid) LEFT JOIN f_text x USING (sid) LEFT JOIN f_param pa USING (sid) LEFT JOIN f_sql q USING (sid) LEFT JOIN f_inst i USING (sid) LEFT JOIN f_field ff USING (sid)),
+long AS (""" + " UNION ALL ".join(f"SELECT sid, {k} AS k, '{d}' AS dimension, CAST({w} AS DOUBLE) AS weight, {d} AS value FROM dims" for k, (d, w) in enumerate(score.COMPLEXITY.items())) + f"""),
+placed AS (SELECT *, {_FLOORED} AS zero, count(*) OVER (PARTITION BY dimension, {_FLOORED}) AS n, 100.0 * (rank() OVER (PARTITION BY dimension, {_FLOORED} ORDER BY value) - 1 + (count(*) OVER (PARTITION BY dimension, value) - 1) / 2.0) AS up FROM long),
+norms AS MATERIALIZED (SELECT *, round(norm * weight, 6) AS share FROM (SELECT sid, k, dimension, weight, value, CASE WHEN (SELECT count(*) FROM dims) = 1 THEN CAST(50 AS DOUBLE) WHEN zero THEN CAST(0 AS DOUBLE) WHEN n = 1 THEN CAST(50 AS DOUBLE)
+  WHEN dimension IN ('diversity', 'structural_depth') THEN CAST(up AS DOUBLE) / (n - 1) ELSE greatest(CAST(1 AS DOUBLE), CAST(up AS DOUBLE) / (n - 1)) END AS norm FROM placed)),
+scored AS (SELECT sid, CAST(round(sum(CAST(share AS DECIMAL(18,6))), 2) AS DOUBLE) AS score FROM norms GROUP BY sid),
 scores AS (SELECT sid, score, CASE WHEN score < 30 THEN 'low' WHEN score < 55 THEN 'medium' WHEN score < 75 THEN 'high' ELSE 'very_high' END AS bucket,
   CAST(round(CASE WHEN score < 30 THEN 8 WHEN score < 55 THEN 16 WHEN score < 75 THEN 32 ELSE 64 END * 0.7, 2) AS DOUBLE) AS hours FROM scored) """
 _LABELS = ", labels AS (SELECT sid, concat(workflow, '.', right(name, 1)) AS cluster FROM cat_names), by_tier AS (SELECT sid, CAST(tier AS VARCHAR) AS cluster FROM tiers) "
 _HOURS = {k: " ".join(f"WHEN '{b}' THEN {h[k]}" for b, h in score.HOURS.items()) for k in range(3)}
 
 
+def _complexity(c):
+    rows = features.session_features(c.tiered, c.access, c.connections, None, c.expression, c.sql, c.instance, c.connector)
+    return score.complexity_score(score.complexity_inputs(rows, usage.coupling_counts(c.access)))
+
+
 def _scores(c):
-    return score.complexity_score(score.features(c.tiered))
+    return _complexity(c).select("sid", "score", "bucket", "hours")
 
 
 def _labels(c):
@@ -46,7 +70,7 @@ _B = """, b AS (SELECT sid, full_name, CASE WHEN k % 37 = 0 THEN transforms + 1
 
 QUERIES = {
     "percentile_norm": (lambda c: score.percentile_norm(c.table("customer"), "c_nationkey").select("c_custkey", F.round("norm", 6).alias("norm")), "WITH c AS (SELECT c_custkey, 100.0 * (rank() OVER (ORDER BY c_nationkey) - 1 + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0) / greatest(count(*) OVER () - 1, 1) AS n FROM customer) SELECT c_custkey, CAST(round(CAST(n AS DOUBLE), 6) AS DOUBLE) AS norm FROM c"),
-    "complexity_score": (_scores, _SCORE + "SELECT * FROM scores"),
+    "complexity_score": (_complexity, _SCORE + f", wide AS (SELECT sid, {_COLUMNS}, array_to_string(list_slice(list(dimension ORDER BY share DESC, k), 1, 3), ',') AS top_drivers FROM norms GROUP BY sid) SELECT * FROM scores JOIN wide USING (sid)"),
     "complexity_summary": (lambda c: score.complexity_summary(_scores(c)), _SCORE + "SELECT count(*) AS sessions, round(avg(score), 4) AS mean, (SELECT score FROM scores ORDER BY score, sid LIMIT 1 OFFSET (SELECT CAST(floor(count(*) / 2) AS BIGINT) FROM scores)) AS median, min(score) AS least, max(score) AS most, round(stddev_pop(score), 4) AS std, round(sum(hours), 2) AS hours FROM scores"),
     "effort_estimate": (lambda c: score.effort_estimate(_scores(c)), _SCORE + f"""SELECT coalesce(bucket, 'all') AS bucket, count(*) AS sessions, CAST(sum(CASE bucket_ {_HOURS[0]} END) AS BIGINT) AS p10, CAST(sum(CASE bucket_ {_HOURS[1]} END) AS BIGINT) AS p50, CAST(sum(CASE bucket_ {_HOURS[2]} END) AS BIGINT) AS p90,
         round(sum(CASE bucket_ {_HOURS[1]} END) / 160.0, 4) AS weeks FROM (SELECT bucket, bucket AS bucket_ FROM scores) GROUP BY ROLLUP (bucket)"""),
