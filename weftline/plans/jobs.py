@@ -27,7 +27,7 @@ QUERIES = {
     "read_catalog": (lambda c: sinks.read_catalog(c.spark, _written(c), "connections", 2), "SELECT * FROM cat_connection"),
     "delete_upload": (lambda c: sinks.delete_upload(c.spark, _written(c), "access", 1, shared_dir(c.spark, "kept")), "SELECT 1 AS upload_id, count(*) AS removed FROM cat_access"),
     "copy_tables": (lambda c: sinks.copy_tables(c.spark, _written(c), shared_dir(c.spark, "copy"), _NAMES, c.spark.range(2, 3).select(F.col("id").cast("int").alias("upload_id"))), "SELECT 'access' AS name, count(*) AS copied FROM cat_access UNION ALL SELECT 'connections', count(*) FROM cat_connection UNION ALL SELECT 'tables', count(*) FROM cat_table"),
-    "stream_route_latency": (lambda c: events.stream_route_latency(c.spark, c.sf_dir).withColumn("start", F.date_format("start", "yyyy-MM-dd")), "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS start, event_type AS route, value FROM events) SELECT start, route, count(*) AS requests, max(value) AS most, round(avg(value), 7) AS mean FROM e GROUP BY ALL"),
+    "stream_route_latency": (lambda c: events.stream_route_latency(c.spark, c.sf_dir).withColumn("start", F.date_format("start", "yyyy-MM-dd")), "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS start, event_type AS route, value, 200 + 3 * CAST(regexp_extract(props, 'k.: *([0-9]+)', 1) AS INTEGER) AS status FROM events) SELECT start, route, count(*) AS requests, count(*) FILTER (status >= 400) AS errors, max(value) AS most, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, round(avg(value), 7) AS mean FROM e GROUP BY ALL"),
     "stream_recent_errors": (lambda c: events.stream_error_counts(c.spark, c.sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd")), "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error') SELECT day, count(*) AS errors FROM e GROUP BY 1"),
     "recent_errors": (lambda c: events.recent_errors(c.table("events")), "WITH e AS (SELECT * FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200) SELECT event_id, user_id, value FROM e"),
 }

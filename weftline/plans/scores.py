@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import compare, features, score, usage, views
-from weftline.operators.ranking import positions
+from weftline.operators import compare, features, requests, score, usage, views
 from weftline.plans.oracle import oracle
 
 _DIMS = list(score.DIMENSIONS)
@@ -54,15 +53,25 @@ def _by_tier(c):
     return c.tiers.select("sid", F.col("tier").cast("string").alias("cluster"))
 
 
-def _latency(events):
-    """route, requests, nearest-rank percentiles, mean: exact ranks from counts of values, so no task holds a route."""
-    ranked = positions(events.groupBy("event_type", "value").agg(F.count("*").alias("ties")), ["event_type", "value"], "before", "ties")
-    routes = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 7).alias("mean")).join(ranked.groupBy("event_type").agg(F.min("before").alias("first")), "event_type")
-    rank = F.col("before") - F.col("first")
-    at = lambda p: F.max(F.when((rank < F.ceil(F.col("n") * p / 100)) & (F.ceil(F.col("n") * p / 100) <= rank + F.col("ties")), F.col("value")))
-    return ranked.join(F.broadcast(routes), "event_type").groupBy(F.col("event_type").alias("route")).agg(F.max("n").alias("requests"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.max("mean").alias("mean"))
+def _requests(c):
+    """Events as requests: a status from 200 to 497 by the number in their properties."""
+    k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
+    return c.table("events").select(F.col("event_type").alias("route"), "ts", F.col("value").alias("ms"), (F.lit(200) + 3 * k).alias("status"))
 
 
+def _errors(c):
+    """Error events by the last digit of their number, side and size."""
+    v, k = F.col("value"), F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
+    side = F.when(F.col("user_id") % 2 == 0, "backend").otherwise("frontend")
+    return c.table("events").where("event_type = 'error'").select(F.concat(F.lit("E"), k % 10).alias("type"), side.alias("source"), F.when(v < 20, "warning").when(v < 100, "error").otherwise("critical").alias("severity"))
+
+
+_ERRORS = r"""WITH e AS (SELECT concat('E', CAST(regexp_extract(props, '"k": *(\d+)', 1) AS INTEGER) % 10) AS type, CASE WHEN user_id % 2 = 0 THEN 'backend' ELSE 'frontend' END AS source, CASE WHEN value < 20 THEN 'warning' WHEN value < 100 THEN 'error' ELSE 'critical' END AS severity FROM events WHERE event_type = 'error'),
+x AS (SELECT type, severity, count(*) AS count FROM e WHERE {where} GROUP BY GROUPING SETS ((type), (severity), ())) SELECT CASE WHEN type IS NOT NULL THEN 'type' WHEN severity IS NOT NULL THEN 'severity' ELSE 'total' END AS dimension, coalesce(type, severity, 'all') AS value, count FROM x"""
+_LATENCY = r"""WITH q AS (SELECT *, 200 + 3 * CAST(regexp_extract(props, '"k": *(\d+)', 1) AS INTEGER) AS status, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type AS route, count(*) AS requests, count(*) FILTER (status >= 400) AS errors, max(value) FILTER (r = ceil(n * 50 / 100)) AS p50, max(value) FILTER (r = ceil(n * 95 / 100)) AS p95, max(value) FILTER (r = ceil(n * 99 / 100)) AS p99, round(avg(value), 7) AS mean,
+round(count(*) / (SELECT greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1) FROM events), 9) AS rate FROM q GROUP BY 1"""
+
 _Z = ", ".join(f"round(abs(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1.0 END), 6) AS {c}" for c in _DIMS)
 _RULES = [("no_targets", "n_targets = 0", 0.8), ("no_sources", "n_sources = 0", 0.6), ("many_lookups", "lookup_count >= 2", 0.5), ("many_sources", "n_sources >= 3", 0.4), ("all_external", "n_sources > 0 AND ext_reads = n_sources", 0.7), ("deep", "tier >= 10", 0.6), ("heavy", "transforms >= 8", 0.5)]
 _FIRED = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {{'w': CAST({w} AS DOUBLE), 'n': '{n}'}} END" for n, c, w in _RULES) + "], lambda x: x IS NOT NULL)"
@@ -107,8 +116,9 @@ QUERIES = {
     "user_rollup": (lambda c: c.table("customer").join(c.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("uploads"), F.sum(F.col("o_orderkey") % 7).alias("sessions")), "c_custkey", "left").select("c_custkey", F.coalesce("uploads", F.lit(0)).cast("long").alias("uploads"), F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions")), "WITH o AS (SELECT o_custkey, count(*) AS u, CAST(sum(o_orderkey % 7) AS BIGINT) AS s FROM orders GROUP BY 1) SELECT c_custkey, coalesce(u, 0) AS uploads, coalesce(s, 0) AS sessions FROM customer LEFT JOIN o ON o_custkey = c_custkey"),
     "project_rollup": (lambda c: c.table("customer").join(c.table("orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_mktsegment").alias("project")).agg(F.count("o_orderkey").alias("upload_count")), "WITH j AS (SELECT c_mktsegment, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey) SELECT c_mktsegment AS project, count(o_orderkey) AS upload_count FROM j GROUP BY 1"),
     "uploads_list": (lambda c: c.table("orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).offset(10).limit(25).select("o_orderkey", "o_custkey"), "WITH o AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 10) SELECT o_orderkey, o_custkey FROM o"),
-    "route_latency": (lambda c: _latency(c.table("events")), "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type AS route, count(*) AS requests, max(value) FILTER (r = ceil(n * 50 / 100)) AS p50, max(value) FILTER (r = ceil(n * 95 / 100)) AS p95, max(value) FILTER (r = ceil(n * 99 / 100)) AS p99, round(avg(value), 7) AS mean FROM r GROUP BY 1"),
-    "error_summary": (lambda c: c.table("events").groupBy("event_type").agg(F.count("*").alias("count")), "WITH e AS (SELECT event_type FROM events) SELECT event_type, count(*) AS count FROM e GROUP BY 1"),
+    "route_latency": (lambda c: requests.route_latency(_requests(c)), _LATENCY),
+    "error_summary": (lambda c: requests.error_summary(_errors(c)), _ERRORS.replace("{where}", "true")),
+    "error_summary_filtered": (lambda c: requests.error_summary(_errors(c), "backend", "critical"), _ERRORS.replace("{where}", "source = 'backend' AND severity = 'critical'")),
     "activity_log": (lambda c: c.table("events").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("events")), "WITH e AS (SELECT user_id, event_id FROM events) SELECT user_id, max(event_id) AS last_event, count(*) AS events FROM e GROUP BY 1"),
     # exports
     "export_tickets": (lambda c: c.tiered.join(_scores(c), "sid").select("sid", F.concat(F.lit("Migrate "), "name").alias("summary"), F.when(F.col("critical"), "High").otherwise("Medium").alias("priority"), F.when(F.col("bucket") == "low", 1).when(F.col("bucket") == "medium", 3).when(F.col("bucket") == "high", 5).otherwise(8).alias("points")), _SCORE + "SELECT sid, concat('Migrate ', name) AS summary, CASE WHEN critical THEN 'High' ELSE 'Medium' END AS priority, CASE bucket WHEN 'low' THEN 1 WHEN 'medium' THEN 3 WHEN 'high' THEN 5 ELSE 8 END AS points FROM cat_s JOIN scores USING (sid)"),
