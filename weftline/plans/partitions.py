@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import partitions, usage
+from weftline.operators import drill, partitions, seeded, usage
+from weftline.plans import detail
 from weftline.shared import stored
 
 
@@ -39,7 +40,20 @@ moves AS (SELECT place, to_ FROM (SELECT a.place, b.place AS to_, count(*) AS sh
   QUALIFY row_number() OVER (PARTITION BY place ORDER BY shared DESC, CASE WHEN to_ < 0 THEN 1073741824 ELSE to_ END) = 1)
 SELECT sid, coalesce(tname, '__other__') AS cluster, tname AS anchor FROM lab LEFT JOIN moves USING (place) LEFT JOIN anchors ON anchors.place = coalesce(to_, lab.place)"""
 
+
+def _vectors(c):
+    return c.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _gravity_groups(c):
+    return seeded.gravity_groups(c.access, drill.independent_sessions(detail._features(c), detail._closest(c)))
+
+
 QUERIES = {
+    "seeded_label_vote": (_of(seeded.seeded_label_vote), None),
+    "seeded_k_communities": (_of(seeded.seeded_k_communities), None),
+    "kmeans_elbow": (lambda c: seeded.kmeans_elbow(_vectors(c)).withColumnRenamed("id", "vec_id"), None),
+    "gravity_groups": (_gravity_groups, None),
     "exemplar_clusters": (_of(partitions.exemplar_clusters), None),
     "spectral_clusters": (_of(partitions.spectral_clusters), None),
     "ppr_clusters": (_of(lambda n, p: partitions.ppr_clusters(n, p, landmarks=64)), None),
