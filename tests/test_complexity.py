@@ -2,7 +2,7 @@
 
 import random
 
-from weftline.operators import features, score, usage
+from weftline.operators import compare, features, score, usage
 
 
 def plain_norms(values, floored):
@@ -82,3 +82,12 @@ def test_coupling_with_hot_tables_equals_plain_sets(spark):
     want = {a: sum(a != b and bool(held[a] & held[b]) for b in held) for a in held}
     for bound in (0, 2, 5, 500):
         assert {x.sid: x.coupled for x in usage.coupling_counts(access, bound).collect()} == want
+
+
+def test_snapshots_differ_by_fields_and_lists(spark):
+    kinds = "full_name string, n int, flag boolean, sources array<string>"
+    a = spark.createDataFrame([("x", 1, True, ["T1", "T2"]), ("y", None, False, None), ("gone", 1, True, []), ("same", 2, None, ["T"])], kinds)
+    b = spark.createDataFrame([("x", 2, True, ["T2", "T3", "T0"]), ("y", 5, False, []), ("new", 1, True, []), ("same", 2, None, ["T"])], kinds)
+    found = {r.full_name: (r.status, r.changes) for r in compare.compare_sessions(a, b, ["n", "flag"], ["sources"]).collect()}
+    assert found == {"x": ("matched", "n:1>2,sources:+T0;T3-T1"), "y": ("matched", "n:null>5"), "gone": ("removed", ""), "new": ("added", ""), "same": ("matched", "")}
+    assert compare.compare_sessions(a.limit(0), b.limit(0), ["n"], ["sources"]).count() == 0

@@ -40,8 +40,9 @@ def density_clusters(points: DataFrame, eps: float, min_samples: int) -> DataFra
     least cluster of the cores near them.
 
     Cells have a side of ``eps / sqrt(2)``, so points of one cell are all near each other: where a cell holds
-    ``min_samples`` points all are cores and linked through the least, and no pairs are made inside it. Across
-    cells a point is counted against cells, and only points of cells below that number are compared one by one.
+    ``min_samples`` points all are cores and linked through the least, and no pairs are made inside it. Points of cells
+    below that number are compared with the points near them. Cells of cores are linked where two boxes of their points lie within
+    ``eps`` as a whole; only where no boxes decide, points of boxes at that distance are compared.
     """
     side = eps / 2**0.5
     placed = stored(points.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")), "cells")
@@ -57,9 +58,20 @@ def density_clusters(points: DataFrame, eps: float, min_samples: int) -> DataFra
     core_points = stored(placed.join(cores, "id", "left_semi"), "core-points")
     # cells of cores are linked by one near pair of them
     hubs = core_points.groupBy("cx", "cy").agg(F.min("id").alias("hub"))
-    reach = core_points.select("id", "x", "y", F.col("cx").alias("hx"), F.col("cy").alias("hy"), shifts.alias("s")).select("id", "x", "y", "hx", "hy", (F.col("hx") + F.col("s.i")).alias("cx"), (F.col("hy") + F.col("s.j")).alias("cy")).where((F.col("cx") > F.col("hx")) | ((F.col("cx") == F.col("hx")) & (F.col("cy") > F.col("hy"))))
-    core_other = core_points.select(F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
-    cells = reach.join(core_other, ["cx", "cy"]).where(near).select("hx", "hy", "cx", "cy").distinct()
+    # boxes of the points in an eighth of a cell's side decide most pairs of cells; points are compared in boxes that may or may not be near
+    part = lambda c: F.floor(F.col(c) / (side / 8))
+    fine = stored(core_points.select("x", "y", "cx", "cy", part("x").alias("fx"), part("y").alias("fy")).distinct(), "core-parts")
+    boxes = fine.groupBy("cx", "cy", "fx", "fy").agg(*[f(c).alias(n) for n, f, c in (("lx", F.min, "x"), ("ux", F.max, "x"), ("ly", F.min, "y"), ("uy", F.max, "y"))])
+    here = boxes.select(*[F.col(c).alias(f"h{c}") for c in boxes.columns], shifts.alias("s")).select("*", (F.col("hcx") + F.col("s.i")).alias("cx"), (F.col("hcy") + F.col("s.j")).alias("cy")).where((F.col("cx") > F.col("hcx")) | ((F.col("cx") == F.col("hcx")) & (F.col("cy") > F.col("hcy"))))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"l{c}") - F.col(f"hu{c}"), F.col(f"hl{c}") - F.col(f"u{c}"))
+    span = lambda c: F.greatest(F.col(f"u{c}") - F.col(f"hl{c}"), F.col(f"hu{c}") - F.col(f"l{c}"))
+    apart, across = gap("x") * gap("x") + gap("y") * gap("y"), span("x") * span("x") + span("y") * span("y")
+    met_boxes = stored(here.join(boxes, ["cx", "cy"]).where(apart <= eps * eps).select("hcx", "hcy", "hfx", "hfy", "cx", "cy", "fx", "fy", (across <= eps * eps).alias("sure")), "core-boxes")
+    ends = ["hcx", "hcy", "cx", "cy"]
+    sure = met_boxes.where("sure").select(*ends).distinct()
+    asked = met_boxes.where("not sure").join(sure, ends, "left_anti").join(fine.select("x", "y", *[F.col(c).alias(f"h{c}") for c in ("cx", "cy", "fx", "fy")]), ["hcx", "hcy", "hfx", "hfy"])
+    close = asked.join(fine.select(F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", "fx", "fy"), ["cx", "cy", "fx", "fy"]).where(near).select(*ends).distinct()
+    cells = sure.unionByName(close).select(F.col("hcx").alias("hx"), F.col("hcy").alias("hy"), "cx", "cy")
     named = cells.join(hubs, ["cx", "cy"]).withColumnRenamed("hub", "dst").drop("cx", "cy").join(hubs.select(F.col("cx").alias("hx"), F.col("cy").alias("hy"), F.col("hub").alias("src")), ["hx", "hy"])
     of_hub = connected_components(hubs.select(F.col("hub").alias("node")), named.select("src", "dst"))
     labelled = stored(core_points.join(hubs, ["cx", "cy"]).join(of_hub.select(F.col("node").alias("hub"), F.col("component").alias("cluster")), "hub").select("id", "x", "y", "cx", "cy", "cluster"), "core-labels")

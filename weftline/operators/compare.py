@@ -7,20 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: The fields in which two states of a session are compared, and its lists.
+FIELDS = (
+    "tier", "step", "transforms", "ext_reads", "lookup_count", "critical", "total_loc", "total_functions_used", "distinct_functions_used", "has_embedded_sql", "has_embedded_java", "has_stored_procedure", "core_intent",
+    "expression_count", "field_mapping_count",
+)
+LISTS = ("sources", "targets", "lookups")
+
+
 def snapshots(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two states of the sessions: b lacks some, has shifted ids for others, and changed transform counts."""
-    b = sessions.where("k % 29 <> 0").withColumn("transforms", F.when(F.col("k") % 37 == 0, F.col("transforms") + 1).otherwise(F.col("transforms")))
+    """Two states of the sessions: b lacks some, has other names for some, and changed transform counts, lookups and criticality."""
+    k = F.col("k")
+    b = sessions.where("k % 29 <> 0").withColumn("transforms", F.when(k % 37 == 0, F.col("transforms") + 1).otherwise(F.col("transforms")))
+    b = b.withColumn("lookup_count", F.when(k % 41 == 0, F.lit(0).cast("long")).otherwise(F.col("lookup_count"))).withColumn("lookups", F.when(k % 41 == 0, F.array(F.lit("added"))).otherwise(F.col("lookups")))
+    b = b.withColumn("critical", F.col("critical") != (k % 43 == 0))
     shifted = sessions.where("k % 31 = 0").withColumn("full_name", F.concat("full_name", F.lit("_new")))
     return sessions, b.unionByName(shifted)
 
 
-def compare_sessions(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:
-    """full_name, status, changes: added, removed or matched, with the fields that changed."""
-    left = a.select("full_name", F.lit(True).alias("in_a"), *[F.col(f).alias(f"a_{f}") for f in fields])
-    right = b.select("full_name", F.lit(True).alias("in_b"), *[F.col(f).alias(f"b_{f}") for f in fields])
+def compare_sessions(a: DataFrame, b: DataFrame, fields=FIELDS, lists=LISTS) -> DataFrame:
+    """full_name, status, changes: added, removed or matched by name; of matched ones the fields that changed (``field:old>new``) and
+    what lists gained and lost (``list:+x;y-z``), comma-joined, in the order of ``fields`` and ``lists``.
+
+    Null is a value of its own, printed as ``null``; a null list is empty. Names should be unique on each side.
+    """
+    side = lambda df, p: df.select("full_name", F.lit(True).alias(f"in_{p}"), *[F.col(f).alias(f"{p}_{f}") for f in (*fields, *lists)])
+    both = F.col("in_a") & F.col("in_b")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    items = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     status = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").otherwise("matched")
-    changed = F.array_compact(F.array(*[F.when(F.col("in_a") & F.col("in_b") & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), F.concat(F.lit(f"{f}:"), F.col(f"a_{f}").cast("string"), F.lit(">"), F.col(f"b_{f}").cast("string"))) for f in fields]))
-    return left.join(right, "full_name", "full_outer").select("full_name", status.alias("status"), F.array_join(changed, ",").alias("changes"))
+    changed = [F.when(both & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), F.concat(F.lit(f"{f}:"), text(f"a_{f}"), F.lit(">"), text(f"b_{f}"))) for f in fields]
+    for f in lists:
+        gained, lost = (F.sort_array(F.array_except(items(x), items(y))) for x, y in ((f"b_{f}", f"a_{f}"), (f"a_{f}", f"b_{f}")))
+        mark = lambda sign, x: F.when(F.size(x) > 0, F.concat(F.lit(sign), F.array_join(x, ";"))).otherwise("")
+        changed.append(F.when(both & ((F.size(gained) > 0) | (F.size(lost) > 0)), F.concat(F.lit(f"{f}:"), mark("+", gained), mark("-", lost))))
+    return side(a, "a").join(side(b, "b"), "full_name", "full_outer").select("full_name", status.alias("status"), F.array_join(F.array_compact(F.array(*changed)), ",").alias("changes"))
 
 
 def compare_sets(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

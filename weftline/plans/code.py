@@ -86,6 +86,9 @@ _NORM = "sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])))"
 DISTANCES_SQL = f"q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / ({_NORM.format('embedding')} * {_NORM.format('e')}), 5) AS distance FROM embeddings, q WHERE vec_id <> 0) "
 HITS_SQL = DISTANCES_SQL + ", hits AS (SELECT lang AS type, doc_id AS id, distance FROM s JOIN documents ON doc_id = vec_id) "
 
+INTENT_SQL = """SELECT sid, CASE greatest(ag, jo, ro, fi, ex) WHEN 0 THEN 'passthrough' WHEN ag THEN 'aggregation' WHEN jo THEN 'integration' WHEN ro THEN 'routing' WHEN fi THEN 'filtering' ELSE 'transformation' END AS intent,
+        round(CASE WHEN ag + jo + ro + fi + ex > 0 THEN greatest(ag, jo, ro, fi, ex) / (ag + jo + ro + fi + ex) ELSE 0.0 END, 6) AS confidence FROM (SELECT sid, 3 * count(*) FILTER (transformation_type = 'Aggregator') AS ag, 2 * count(*) FILTER (transformation_type = 'Joiner') AS jo, 2 * count(*) FILTER (transformation_type = 'Router') AS ro, count(*) FILTER (transformation_type = 'Filter') AS fi, count(*) FILTER (transformation_type = 'Expression') AS ex FROM cat_instance GROUP BY sid)"""
+
 QUERIES = {
     "classify_language": (lambda c: c.sql.select("sid", "transform", t.classify_language(F.col("sql_text")).alias("language")), f"SELECT sid, transform, {_LANGUAGE_SQL} AS language FROM (SELECT *, sql_text AS x FROM cat_sql)"),
     "classify_language_documents": (lambda c: c.table("documents").select("doc_id", t.classify_language(F.coalesce("text", F.lit(""))).alias("language")).groupBy("language").agg(F.count("*").alias("n")), f"WITH d AS (SELECT {_LANGUAGE_SQL} AS language FROM (SELECT coalesce(text, '') AS x FROM documents)) SELECT language, count(*) AS n FROM d GROUP BY 1"),
@@ -113,9 +116,7 @@ QUERIES = {
         SELECT sid, 100 * n_sources AS source_volume, round(100 * n_sources * coalesce((SELECT product(CAST(f AS DOUBLE)) FROM st WHERE st.sid = c.sid), 1.0), 4) AS output_volume, coalesce((SELECT min_by(inst_name, pos) FROM st WHERE st.sid = c.sid AND f < 0.5), '') AS bottleneck FROM cat_session c"""),
     "transform_chokepoint": (_chokepoint, """, p AS (SELECT sid, i, CAST(sum(d) * sum(o) AS BIGINT) AS m, sum(d) + sum(o) AS g FROM (SELECT sid, from_instance AS i, 0 AS d, 1 AS o FROM cat_connector UNION ALL SELECT sid, to_instance, 1, 0 FROM cat_connector) GROUP BY ALL)
         SELECT sid, count(*) AS transforms, max(m) AS most, (SELECT i FROM p q WHERE q.sid = p.sid ORDER BY m DESC, i LIMIT 1) AS chokepoint, round(avg(g), 6) AS avg_degree FROM p GROUP BY sid"""),
-    "session_intent": (_intents, """, n AS (SELECT sid, 3 * count(*) FILTER (transformation_type = 'Aggregator') AS ag, 2 * count(*) FILTER (transformation_type = 'Joiner') AS jo, 2 * count(*) FILTER (transformation_type = 'Router') AS ro, count(*) FILTER (transformation_type = 'Filter') AS fi, count(*) FILTER (transformation_type = 'Expression') AS ex FROM cat_instance GROUP BY sid)
-        SELECT sid, CASE greatest(ag, jo, ro, fi, ex) WHEN 0 THEN 'passthrough' WHEN ag THEN 'aggregation' WHEN jo THEN 'integration' WHEN ro THEN 'routing' WHEN fi THEN 'filtering' ELSE 'transformation' END AS intent,
-        round(CASE WHEN ag + jo + ro + fi + ex > 0 THEN greatest(ag, jo, ro, fi, ex) / (ag + jo + ro + fi + ex) ELSE 0.0 END, 6) AS confidence FROM n"""),
+    "session_intent": (_intents, INTENT_SQL),
     "classify_transform_node": (lambda c: c.instance.select("sid", "inst_name", t.first_of((F.col("inst_type") == "SOURCE", "source"), (F.col("inst_type") == "TARGET", "target"), (F.col("transformation_type") == "Filter", "filter"), (F.col("transformation_type") == "Joiner", "join"), (F.col("transformation_type") == "Router", "router"), (F.col("transformation_type") == "Aggregator", "aggregate"), otherwise="transform").alias("node_type")),
         "SELECT sid, inst_name, CASE transformation_type WHEN 'Source Definition' THEN 'source' WHEN 'Target Definition' THEN 'target' WHEN 'Filter' THEN 'filter' WHEN 'Joiner' THEN 'join' WHEN 'Router' THEN 'router' WHEN 'Aggregator' THEN 'aggregate' ELSE 'transform' END AS node_type FROM cat_instance"),
     "column_lineage": (lambda c: c.connector.select("sid", F.concat_ws(".", "from_instance", "from_field").alias("from_column"), F.concat_ws(".", "to_instance", "to_field").alias("to_column")).join(c.instance.select("sid", F.col("inst_name").alias("i"), "transformation_type"), "sid").where("split_part(to_column, '.', 1) = i").select("sid", "from_column", "to_column", "transformation_type"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from weftline.functions import text
 from weftline.operators import compare, features, requests, score, usage, views
+from weftline.plans import code
 from weftline.plans.oracle import oracle
 
 _DIMS = list(score.DIMENSIONS)
@@ -53,6 +57,17 @@ def _by_tier(c):
     return c.tiers.select("sid", F.col("tier").cast("string").alias("cluster"))
 
 
+def _profiled(c):
+    """Sessions with what their code holds: the fields that snapshots are compared in."""
+    language = text.classify_language(F.col("sql_text"))
+    held = lambda kind: F.bool_or(language == kind)
+    blocks = c.sql.groupBy("sid").agg(F.sum(text.count_loc(F.col("sql_text"))).alias("total_loc"), held("sql").alias("has_embedded_sql"), held("java").alias("has_embedded_java"), held("plsql").alias("has_stored_procedure"))
+    calls = c.expression.select("sid", F.explode(text.function_names(F.col("expression_text"))).alias("f")).groupBy("sid").agg(F.count("*").alias("total_functions_used"), F.countDistinct("f").alias("distinct_functions_used"))
+    parts = [blocks, calls, code._intents(c).select("sid", F.col("intent").alias("core_intent")), c.expression.groupBy("sid").agg(F.count("*").alias("expression_count")), c.connector.groupBy("sid").agg(F.count("*").alias("field_mapping_count"))]
+    rows = reduce(lambda left, right: left.join(right, "sid", "left"), parts, c.tiered)
+    return rows.fillna(0, ["total_loc", "total_functions_used", "distinct_functions_used", "expression_count", "field_mapping_count"]).fillna(False, ["has_embedded_sql", "has_embedded_java", "has_stored_procedure"])
+
+
 def _requests(c):
     """Events as requests: a status from 200 to 497 by the number in their properties."""
     k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
@@ -75,7 +90,13 @@ round(count(*) / (SELECT greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6,
 _Z = ", ".join(f"round(abs(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1.0 END), 6) AS {c}" for c in _DIMS)
 _RULES = [("no_targets", "n_targets = 0", 0.8), ("no_sources", "n_sources = 0", 0.6), ("many_lookups", "lookup_count >= 2", 0.5), ("many_sources", "n_sources >= 3", 0.4), ("all_external", "n_sources > 0 AND ext_reads = n_sources", 0.7), ("deep", "tier >= 10", 0.6), ("heavy", "transforms >= 8", 0.5)]
 _FIRED = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {{'w': CAST({w} AS DOUBLE), 'n': '{n}'}} END" for n, c, w in _RULES) + "], lambda x: x IS NOT NULL)"
-_B = """, b AS (SELECT sid, full_name, CASE WHEN k % 37 = 0 THEN transforms + 1 ELSE transforms END AS transforms, step FROM cat_names WHERE k % 29 <> 0 UNION ALL SELECT sid, concat(full_name, '_new'), transforms, step FROM cat_names WHERE k % 31 = 0) """
+_STATES = (_PARTS + r""", f_loc AS (SELECT sid, CAST(sum(""" + code._LOC_SQL + """) AS BIGINT) AS n, bool_or(l = 'sql') AS q, bool_or(l = 'java') AS j, bool_or(l = 'plsql') AS p FROM (SELECT *, """ + code._LANGUAGE_SQL + """ AS l FROM (SELECT *, sql_text AS x FROM cat_sql)) GROUP BY sid),
+f_calls AS (SELECT sid, count(*) AS n, count(DISTINCT f) AS d FROM (SELECT sid, unnest(regexp_extract_all(upper(expression_text), '([A-Z_][A-Z0-9_]*)\\s*\\(', 1)) AS f FROM cat_expression) GROUP BY sid), f_intent AS (SELECT * FROM (""" + code.INTENT_SQL + """)),
+a AS MATERIALIZED (SELECT z.sid, full_name, k, tier, step, transforms, ext_reads, lookup_count, critical, coalesce(lo.n, 0) AS total_loc, coalesce(ca.n, 0) AS total_functions_used, coalesce(ca.d, 0) AS distinct_functions_used, coalesce(lo.q, false) AS has_embedded_sql,
+  coalesce(lo.j, false) AS has_embedded_java, coalesce(lo.p, false) AS has_stored_procedure, intent AS core_intent, coalesce(x.n, 0) AS expression_count, coalesce(cc.n, 0) AS field_mapping_count, lookups
+  FROM cat_s z LEFT JOIN f_loc lo USING (sid) LEFT JOIN f_calls ca USING (sid) LEFT JOIN f_intent USING (sid) LEFT JOIN f_text x USING (sid) LEFT JOIN f_conn cc USING (sid)),
+b AS MATERIALIZED (SELECT * REPLACE (CASE WHEN k % 37 = 0 THEN transforms + 1 ELSE transforms END AS transforms, CASE WHEN k % 41 = 0 THEN 0 ELSE lookup_count END AS lookup_count, CASE WHEN k % 41 = 0 THEN 'added' ELSE lookups END AS lookups, critical <> (k % 43 = 0) AS critical)
+  FROM a WHERE k % 29 <> 0 UNION ALL SELECT * REPLACE (concat(full_name, '_new') AS full_name) FROM a WHERE k % 31 = 0) """)
 
 QUERIES = {
     "percentile_norm": (lambda c: score.percentile_norm(c.table("customer"), "c_nationkey").select("c_custkey", F.round("norm", 6).alias("norm")), "WITH c AS (SELECT c_custkey, 100.0 * (rank() OVER (ORDER BY c_nationkey) - 1 + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0) / greatest(count(*) OVER () - 1, 1) AS n FROM customer) SELECT c_custkey, CAST(round(CAST(n AS DOUBLE), 6) AS DOUBLE) AS norm FROM c"),
@@ -92,8 +113,9 @@ QUERIES = {
     "minmax_features": (lambda c: score.minmax_features(score.features(c.tiered)), "SELECT sid, " + ", ".join(f"round(CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE CAST({c} AS DOUBLE) END, 6) AS {c}" for c in _DIMS) + " FROM cat_session"),
     "compare_pair": (lambda c: score.compare_pair(score.features(c.tiered), "S25", "S50"), ", p AS (" + " UNION ALL ".join(f"SELECT sid, '{c}' AS dimension, {c} AS value FROM cat_session WHERE sid IN ('S25', 'S50')" for c in _DIMS) + ") SELECT dimension, max(value) FILTER (sid = 'S25') AS a, max(value) FILTER (sid = 'S50') AS b, max(value) AS most FROM p GROUP BY dimension"),
     # differences and merges
-    "compare_sessions": (lambda c: compare.compare_sessions(*compare.snapshots(c.session), ["transforms", "step"]), _B + """SELECT full_name, CASE WHEN a.sid IS NULL THEN 'added' WHEN b.sid IS NULL THEN 'removed' ELSE 'matched' END AS status,
-        concat_ws(',', CASE WHEN a.transforms <> b.transforms THEN concat('transforms:', a.transforms, '>', b.transforms) END, CASE WHEN a.step <> b.step THEN concat('step:', a.step, '>', b.step) END) AS changes FROM cat_names a FULL JOIN b USING (full_name)"""),
+    "compare_sessions": (lambda c: compare.compare_sessions(*compare.snapshots(_profiled(c))), _STATES + """SELECT full_name, CASE WHEN a.sid IS NULL THEN 'added' WHEN b.sid IS NULL THEN 'removed' ELSE 'matched' END AS status,
+        concat_ws(',', """ + ", ".join(f"CASE WHEN a.sid IS NOT NULL AND b.sid IS NOT NULL AND a.{f} IS DISTINCT FROM b.{f} THEN concat('{f}:', coalesce(CAST(a.{f} AS VARCHAR), 'null'), '>', coalesce(CAST(b.{f} AS VARCHAR), 'null')) END" for f in compare.FIELDS) + """,
+        CASE WHEN a.sid IS NOT NULL AND b.sid IS NOT NULL AND a.lookups <> b.lookups THEN concat('lookups:+added', CASE WHEN a.lookups <> '' THEN concat('-', replace(a.lookups, ',', ';')) ELSE '' END) END) AS changes FROM a FULL JOIN b USING (full_name)"""),
     "compare_tables": (lambda c: compare.compare_sets(usage.table_usage(c.access), usage.table_usage(c.access.join(c.base.where("k % 29 <> 0").select("sid"), "sid", "left_semi")), ["tname", "writers", "readers"]), """, after AS (SELECT tname, count(*) FILTER (role = 'target') AS writers, count(*) FILTER (role = 'source') AS readers FROM cat_access JOIN cat_session0 USING (sid) WHERE k % 29 <> 0 GROUP BY tname)
         SELECT *, 'removed' AS status FROM (SELECT tname, writers, readers FROM usage EXCEPT SELECT * FROM after) UNION ALL SELECT *, 'added' FROM (SELECT * FROM after EXCEPT SELECT tname, writers, readers FROM usage)"""),
     "compare_connections": (lambda c: compare.compare_sets(c.connections, c.connections.where("conn_type <> 'lookup_stale'"), ["from_id", "to_id", "conn_type"]), "SELECT *, 'removed' AS status FROM cat_connection WHERE conn_type = 'lookup_stale'"),
