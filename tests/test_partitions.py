@@ -253,3 +253,15 @@ def test_cluster_table_gravity(spark):
     assert {got[f"a{k}"] for k in range(5)} == {"hub"} and {got[f"b{k}"] for k in range(4)} == {"other"}
     assert got["d0"] == got["n0"] == "__other__" and got["f0"] == got["f1"] == "f" and got["c0"] == "hub"
     assert got["e0"] == "other" and got["e1"] == "pair"
+
+
+def test_cluster_table_gravity_falls_back_to_the_first_twenty(spark):
+    """No table is used by 0.5 % of the sessions: the first twenty that are used twice are anchors, as in the reference."""
+    rows = [(f"a{t:02}{k}", f"t{t:02}") for t in range(25) for k in range(4)] + [("a030", "x"), ("a240", "x")]
+    access = spark.createDataFrame([(s, "source", t) for s, t in rows], "sid string, role string, tname string")
+    sessions = spark.createDataFrame([(s,) for s in sorted({s for s, _ in rows} | {f"n{k}" for k in range(900)})], "sid string")
+    got = {r.sid: (r.cluster, r.anchor) for r in partitions.cluster_table_gravity(access, sessions).collect()}
+    want = {s: (t, t) if t < "t20" else ("__other__", None) for s, t in rows if t != "x"} | {f"n{k}": ("__other__", None) for k in range(900)}
+    assert got == want | {"a240": ("t03", "t03")}
+    alone = partitions.cluster_table_gravity(access.where("sid like '%0' and tname <> 'x'"), sessions).collect()
+    assert all(r.cluster == r.sid and r.anchor is None for r in alone) and len(alone) == len(got)
