@@ -74,6 +74,24 @@ def test_ties_are_settled_by_text(spark):
     assert taken[0] == taken[1] == taken[2]
 
 
+def test_budgets_of_few_leaves_need_no_shuffle(spark, monkeypatch):
+    """The tree over few leaves is one plan without a shuffle; with more leaves than the bound the same is taken."""
+    rows = [(k, "w " * (k * 5 % 17), ["en", "de", "fr"][k % 3], f"src{k % 7}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plans, write = {}, mixing.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(mixing, "stored", noted)
+    few = sorted(map(repr, mixing.mix(docs, ["doc_id"]).collect()))
+    assert "Window" in plans["mixing-plan"] and "Exchange hashpartitioning" not in plans["mixing-plan"] and "Exchange SinglePartition" not in plans["mixing-plan"]
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, mixing.mix(docs, ["doc_id"]).collect())) == few and few
+    assert "Exchange hashpartitioning" in plans["mixing-plan"]
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, lang string, source string"), ["doc_id"]).count() == 0
 
